@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Text bytes hashed at once inside a task; bounds the numpy temporaries, not the text.
 CHUNK_BYTES = 1 << 20
 #: Fixed random constants of the rolling hash (odd multiplier and byte table from a fixed seed).
@@ -27,6 +29,7 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,7 +10,8 @@ documents without any match.
 Learned from labelled training rows only: insult words and word beginnings (log-odds, kept if their
 excess in toxic documents is significant against the number tried), reading factors and the base rate. A
 feature needs a support of SUPPORT of the toxic training documents, so the lexicon has at most
-(features a document) / SUPPORT entries, whatever the corpus. Exact copies count once in training.
+(features a document) / SUPPORT entries, whatever the corpus. Copies and
+most near copies count once in training, lest one copied document teach its words.
 
 Cases: null and empty texts get the base rate; a null id scores like any other row and cannot be a
 training row; contradictory labels of one id count as toxic; without any toxic training row every score is
@@ -25,11 +26,17 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shingles, utf8
+
 SUPPORT, LEAST, PREFIXES, BROADCAST_ROWS = 0.002, 3, range(3, 8), 2_000_000
+#: Least log-odds of an insult, and the logit below which the base rate is not believed.
+STRONG, LOWEST = 3.0, -6.0
+THREAT_KEY = "\0threat"
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 STOPS = frozenset(".!?;\n")
 
@@ -124,7 +131,7 @@ class Reader(dict):
             done = last
             if said & {"insult", "threat"}:
                 if not weight:
-                    weight = self.lexicon.get("threat", 0.0)
+                    weight = self.lexicon.get(THREAT_KEY, 0.0)
                 out.append(("+".join(sorted(said & {"threat", "target", "negated", "reported"})) or "plain", weight))
         return out
 
@@ -201,20 +208,25 @@ def learn(train: DataFrame) -> dict:
     for f, t in often.items():
         n = counts.get(f, 0)
         weight = math.log((t + 0.5) / (big_t + 1)) - math.log((n + 0.5) / (big_n + 1))
-        if t > n and weight > 2 and _tail(t, t + n, rate) + math.log(len(often)) < math.log(0.01):
+        if t >= 9 * n and weight > STRONG and _tail(t, t + n, rate) + math.log(len(often)) < math.log(0.01):
             lexicon[f] = weight
-    for f in list(lexicon):  # a beginning at least as strong makes the longer feature idle
-        if any(lexicon.get(f[:n], 0.0) >= lexicon[f] for n in PREFIXES if n < len(f.rstrip("$")) or (n == len(f) - 1 and f.endswith("$"))):
-            lexicon[f] = -lexicon[f]
-    model["lexicon"] = {f: w for f, w in lexicon.items() if w > 0}
+    # a beginning that is seen almost only in one longer feature is that feature
+    longest: dict[str, int] = {}
+    for f in lexicon:
+        for n in PREFIXES:
+            if n < len(f):
+                longest[f[:n]] = max(longest.get(f[:n], 0), often[f])
+    lexicon = {f: w for f, w in lexicon.items() if longest.get(f, 0) < 0.9 * often[f]}
+    # a beginning at least as strong makes the longer feature idle
+    model["lexicon"] = {f: w for f, w in lexicon.items() if not any(lexicon.get(f[:n], 0.0) >= w for n in PREFIXES if n < len(f))}
     if model["lexicon"]:
-        model["lexicon"]["threat"] = sorted(model["lexicon"].values())[len(model["lexicon"]) // 2]
+        model["lexicon"][THREAT_KEY] = sorted(model["lexicon"].values())[len(model["lexicon"]) // 2]
     held = spark.sparkContext.broadcast(model["lexicon"])
     seen = Counter()
     for r in train.mapInArrow(_readings(held), schema).groupBy("feature", "toxic").agg(F.sum("docs").alias("docs")).collect():
         seen[r["feature"], r["toxic"]] += r["docs"]
     logit = lambda k: math.log((seen[k, 1] + 0.5) / (seen[k, 0] + 0.5))
-    model["base"] = min(math.log((seen["", 1] + 0.5) / (seen["", 0] + 0.5)), -0.5)
+    model["base"] = max(LOWEST, min(logit(""), -0.5))
     for reading in {k for k, _ in seen} - {"", "mixed", "plain"}:
         prior = math.prod(FACTORS.get(part, 1.0) for part in reading.split("+"))
         n = seen[reading, 0] + seen[reading, 1]
@@ -243,14 +255,22 @@ def _score(shared):
     return run
 
 
+def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least shingle hash of each text: near copies mostly share it, other texts hardly ever."""
+    for batch in batches:
+        least = [int(x[0].view(np.int64)) if len(x) else None for x in shingles(utf8(batch.column("text")))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least, pa.int64())], names=["doc_id", "toxic", "family"])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled training rows, one for each text."""
+    """(text, toxic) of labelled training rows, one for each family of near copies."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = labels.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    firsts = docs.join(hint(labels), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
+    families = docs.join(hint(labels), "doc_id").mapInArrow(_family, "doc_id long, toxic int, family long")
+    firsts = families.groupBy("family").agg(F.min(F.struct("doc_id", "toxic")).alias("at")).select("at.*")
     return docs.join(hint(firsts), "doc_id").select("text", "toxic")
 
 
