@@ -1,14 +1,83 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, with the SQL each is held against."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, with the SQL each is held against.
+
+Query names start with the inventory rows they exercise. Bindings give the supplied tables the shapes the
+operators work on (documents with a company and a time, price series, edges with evidence, ...); they are SQL
+that both engines read, with tables as ``{name}``.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+BINDINGS = {
+    # dated documents of a company (user), with a label and JSON metadata
+    "docs": "SELECT event_id AS doc_id, user_id AS corp, ts, CAST(ts AS DATE) AS day, event_type AS label, props AS metadata, value FROM {events}",
+    # company (nation) to supplier edges, one row per evidence document (order)
+    "facts": """SELECT concat('N', CAST(c_nationkey AS STRING)) AS src, concat('S', CAST(l_suppkey AS STRING)) AS dst,
+        CASE l_returnflag WHEN 'R' THEN 'COMPETES_WITH' WHEN 'A' THEN 'SUPPLIES' ELSE 'INVESTS_IN' END AS type,
+        CASE WHEN l_linestatus = 'F' THEN 'extractor' END AS extracted_by, o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS day, l_discount * 100 - 1 AS stake
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",
+    # account values of a company by year, report and statement kind
+    "metrics": """SELECT concat('C', CAST(o_custkey % 40 AS STRING)) AS corp, o_orderpriority AS account, CAST(extract(year FROM o_orderdate) AS INT) AS year,
+        CASE CAST(extract(quarter FROM o_orderdate) AS INT) WHEN 1 THEN '11013' WHEN 2 THEN '11012' WHEN 3 THEN '11014' ELSE '11011' END AS report,
+        CASE WHEN o_orderstatus = 'F' THEN 'CFS' ELSE 'OFS' END AS fs, CAST(floor(o_totalprice) AS BIGINT) AS value, o_orderkey AS seq FROM {orders}""",
+    # stakes in a company, names with repeats
+    "stakes": """SELECT concat('N', CAST(s_nationkey AS STRING)) AS corp, concat(CASE WHEN s_suppkey % 3 = 0 THEN ' (Co) ' ELSE '' END, 'Holder ', CAST(s_suppkey % 7 AS STRING)) AS holder,
+        CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_acctbal / 100 END AS stake, s_suppkey AS seq FROM {supplier}""",
+    # daily prices of a company
+    "prices": "SELECT user_id AS corp, CAST(ts AS DATE) AS day, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS close, event_id AS seq FROM {events}",
+    # text chunks with their lines' company
+    "chunks": "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM {documents}",
+    "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
+}
+BINDINGS["edges"] = f"SELECT src, dst, type, extracted_by, count(DISTINCT doc_id) AS evidence_count, min(day) AS first_day, max(day) AS last_day, max(stake) AS stake FROM ({BINDINGS['facts']}) GROUP BY src, dst, type, extracted_by"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_NAMES = re.compile(r"\{(\w+)\}")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table, or a binding over supplied tables."""
+    ship(spark)
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    text = BINDINGS[name]
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_NAMES.findall(text))})
+
+
+def oracle(text: str) -> str:
+    """SQL over supplied tables and bindings; bindings used in it are added as common table expressions."""
+    used = [b for b in BINDINGS if re.search(rf"\b{b}\b", text)]
+    with_ = [f"{b} AS ({_NAMES.sub(lambda m: m[1], BINDINGS[b])})" for b in used]
+    body = text.strip()
+    if not with_:
+        return body
+    if body.upper().startswith("WITH "):
+        return f"WITH {', '.join(with_)}, {body[5:]}"
+    return f"WITH {', '.join(with_)} {body}"
+
+
+def query(sql: str | None = None):
+    """Register a function (read) -> DataFrame under its own name; ``read(name)`` gives a table or binding."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: read(spark, sf_dir, name))
+        if sql:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").count()
+    return QUERIES["gra1_ego_graph"](spark, sf_dir)
+
+
+from . import graph_plans, metric_plans, scalar_plans, store_plans, text_plans  # noqa: E402, F401
