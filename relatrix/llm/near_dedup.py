@@ -97,12 +97,13 @@ def _confirm(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 75, spare: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
-    Buckets of equal band keys are never expanded into all pairs while they may be one group of copies:
-    star rounds link each member with one leader of its bucket, links are confirmed on the full sets and
-    components formed; members still apart try another leader. Only when the pairs left between different
-    components of a bucket are fewer than ``spare`` times the bucket rows are those compared outright, so no
-    link between different texts that share a band is lost and near copies cost a few confirmations each.
-    A pair at the threshold shares no band with probability (1 - 0.75**4)**32 = 5e-6.
+    Buckets of equal band keys are never expanded into all pairs while they may be one group of copies. In
+    a star turn every member tries one leader of its buckets; the link is confirmed on the full sets,
+    components are formed, and buckets that are one component are done. Members still apart try other
+    leaders in further turns. Only when the pairs left between different components of a bucket are fewer
+    than ``spare`` times the bucket rows are all of them compared, so no link between different texts that
+    share a band is lost, and near copies cost a few confirmations each. A pair at the threshold shares no
+    band with probability (1 - 0.75**4)**32 = 5e-6.
     """
     docs = docs.select("doc_id", "text")
     signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
@@ -124,28 +125,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, spare: int = 4) -> DataF
             pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
             return pairs.mapInArrow(_confirm(percent), "u long, v long")
 
+        now = bucket.withColumn("comp", F.col("rep"))
+
+        def apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
+            """The bucket rows with their components now, without the buckets that are one component."""
+            moved = rows.join(comps.withColumnRenamed("component", "own"), rows.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("own", "rep").alias("comp"))
+            several = moved.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+            return cut(moved.join(several, "key", "left_semi"))
+
         for turn in range(12):
-            now = bucket.withColumn("comp", F.col("rep"))
-            if comps is not None:
-                now = bucket.join(comps, bucket.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-            open_ = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("parts")).where("parts > 1")
-            todo = open_.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()["pairs"] or 0
-            if not todo:
-                break
-            now = now.join(open_.select("key"), "key", "left_semi")
-            last = todo <= spare * rows
-            if last:
-                x, y = now.alias("x"), now.alias("y")
-                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-            else:
-                order = F.xxhash64("rep", "key", F.lit(turn)) if turn else F.col("rep")
-                lead = now.groupBy("key").agg(F.min_by(F.struct("rep", "comp", "n"), order).alias("lead"))
-                pairs = now.join(lead, "key").where("comp <> lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-            got = cut(confirmed(pairs))
+            near_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+            lead = now.groupBy("key").agg(F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("lead"))
+            pairs = now.join(lead, "key").where("comp <> lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+            one = F.min_by(F.struct("b", "na", "nb"), F.xxhash64("b", F.lit(turn)) if turn else F.col("b"))
+            got = cut(confirmed(pairs.where(near_size).groupBy("a").agg(one.alias("p")).select("a", "p.*")))
             links = got if links is None else links.unionByName(got)
             comps = components(links)
-            if last:
+            now = apart(now, comps)
+            todo = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()["pairs"] or 0
+            if todo <= spare * rows:
                 break
+        if todo:
+            x, y = now.alias("x"), now.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+            comps = components(links.unionByName(cut(confirmed(pairs))))
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     if comps is not None:
         reps = reps.join(comps, reps.rep == comps.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
