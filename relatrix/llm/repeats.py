@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): byte ranges covered by repeats; ranges of one document may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     segments = docs.mapInArrow(_segments, SEGMENT)
-    often = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = stored(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     met = stored(segments.join(often, "anchor"), "anchors")
     place = F.struct("doc_id", "first", "windows")
     firsts = met.groupBy("anchor", "content").agg(F.min(place).alias("at"))
