@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
 import regex
 
 #: Fixed value: the pattern by which this vocabulary's pre-tokenizer splits texts.
@@ -32,9 +32,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit bytes."""
+    """Piece of text after a space -> its ids, space included, as little-endian unsigned 32-bit bytes."""
 
-    LIMIT = 500_000  # remembered pieces a worker; beyond it the memory starts anew
+    LIMIT = 800_000  # pieces a worker remembers; frequent ones come early, later ones are encoded each time
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -42,26 +42,30 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.marks: dict[str, bytes] = {}  # ids of single closing marks
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
-            ids = self.whole(piece)
+            ids = self.whole(" " + piece)
+        elif piece.isalpha():
+            ids = self._word(" " + piece)
+        elif piece[-1] in ".," and piece[:-1].isalpha():
+            ids = self._word(" " + piece[:-1]) + (self.marks.get(piece[-1]) or self.marks.setdefault(piece[-1], self._word(piece[-1])))
         else:
-            ids = b"".join([self.words.get(w) or self._word(w) for w in _SPLIT.findall(piece)])
-        self[piece] = ids
+            ids = b"".join(map(self._word, _SPLIT.findall(" " + piece)))
+        if len(self) < self.LIMIT:
+            self[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        spelled = "".join([self.letters[b] for b in word.encode()])
-        ids = self.words[word] = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        return ids
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text, 4 bytes each; null is empty."""
@@ -69,14 +73,8 @@ class Encoder(dict):
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if len(self) > self.LIMIT or len(self.words) > self.LIMIT:
-            self.clear()
-            self.words.clear()
-        if _ODD_SPACE.search(text):
-            first, *rest = _JOINTS.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return b"".join([self[first], *map(self.__getitem__, [" " + p for p in rest])])
+        first, *rest = _JOINTS.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return b"".join([self.whole(first), *map(self.__getitem__, rest)])
 
 
 def encoder(path: str) -> Encoder:
