@@ -66,9 +66,6 @@ def fil8_new_items(read):
     return G.new_items(read("edges"), F.lit("2001-08-01").cast("date"), 365).select("src", "dst", "type", "evidence_count", "first_day")
 
 
-_NODES = "SELECT concat('P', CAST(p_partkey AS STRING)) AS node, concat(p_brand, CASE WHEN p_partkey % 2 = 0 THEN ' Inc' ELSE '' END) AS name FROM part"
-
-
 @query("""WITH n AS (SELECT concat('P', CAST(p_partkey AS VARCHAR)) AS node, concat(p_brand, CASE WHEN p_partkey % 2 = 0 THEN ' Inc' ELSE '' END) AS name, lower(regexp_replace(p_brand, '[^0-9A-Za-z_]+', '', 'g')) AS key FROM part),
 b AS (SELECT key, node AS new FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY length(name) DESC, node) AS rn FROM n) WHERE rn = 1) SELECT node AS old, new FROM n JOIN b USING (key) WHERE node <> new""")
 def ent6_survivors(read):
