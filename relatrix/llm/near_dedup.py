@@ -94,16 +94,62 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, spare: int = 4) -> DataFrame:
+def _link_apart(percent: int):
+    """Links between the components of one bucket (or two blocks of it), from the full sets of its members.
+
+    A member meets all later ones at once: the elements of the others are looked up in its own. Rows of the
+    largest component come last, so they are never compared among themselves; a link joins two components
+    at once, and what is one component is not compared further.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        comp = rows["comp"].to_numpy()
+        _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((comp, count[which]))
+        comp, held = comp[order].copy(), rows["shingle_set"].to_pylist()
+        sets = [np.frombuffer(held[i], dtype=np.uint64) for i in order]
+        n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        at = np.concatenate([[0], np.cumsum(n)])
+        elements, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.zeros(len(elements), dtype=bool)
+        u, v = [], []
+        for i in range(len(sets) - 1):
+            near = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+            if not len(near):
+                continue
+            lo, hi = near[0], near[-1] + 1
+            mine = flat[at[i] : at[i + 1]]
+            own[mine] = True
+            shared = np.add.reduceat(own[flat[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)[near - lo]
+            own[mine] = False
+            for c in np.unique(comp[near[100 * shared >= percent * (n[i] + n[near] - shared)]]):
+                u.append(int(comp[i]))
+                v.append(int(c))
+                comp[comp == c] = comp[i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _blocks(rows: DataFrame, members: int, elements: int) -> DataFrame:
+    """``rows`` with a ``block``: a bucket within both bounds is one block, of a larger one every two parts are."""
+    load = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    parts = F.ceil(F.greatest(F.col("c") / members, F.col("e") / elements)).cast("int")
+    rows = rows.join(load.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), "parts").cast("int"))
+    pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")), lambda p: F.least(p, F.col("part")) * F.col("parts") + F.greatest(p, F.col("part")))
+    return rows.select("key", "rep", "comp", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(pair)).alias("block"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, members: int = 512, elements: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
-    Buckets of equal band keys are never expanded into all pairs while they may be one group of copies. In
-    a star turn every member tries one leader of its buckets; the link is confirmed on the full sets,
-    components are formed, and buckets that are one component are done. Members still apart try other
-    leaders in further turns. Only when the pairs left between different components of a bucket are fewer
-    than ``spare`` times the bucket rows are all of them compared, so no link between different texts that
-    share a band is lost, and near copies cost a few confirmations each. A pair at the threshold shares no
-    band with probability (1 - 0.75**4)**32 = 5e-6.
+    Buckets of equal band keys are never expanded into pairs of rows. In the star turn every member tries
+    the smallest leader of its buckets; the link is confirmed on the full sets, components are formed, and
+    buckets that are one component are done. The members of the others meet inside tasks, a bucket at a
+    time, and only the links between components leave them; a bucket of more than ``members`` rows or
+    ``elements`` shingles is dealt in parts, of which every two meet in a task, so tasks are bounded and no
+    link between texts that share a band is lost. A pair at the threshold shares no band with probability
+    (1 - 0.75**4)**32 = 5e-6.
     """
     docs = docs.select("doc_id", "text")
     signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
@@ -113,42 +159,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, spare: int = 4) -> DataF
     banded = member.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowd = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     bucket = stored(banded.join(crowd, "key").distinct(), "buckets")
-    rows = bucket.count()
-    links = comps = None
-    if rows:
+    comps = None
+    if not bucket.isEmpty():
         near = docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = stored(near.mapInArrow(_sets, "doc_id long, shingle_set binary").dropDuplicates(["doc_id"]), "sets")
-
-        def confirmed(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-            pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
-            pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
-            return pairs.mapInArrow(_confirm(percent), "u long, v long")
-
-        now = bucket.withColumn("comp", F.col("rep"))
-
-        def apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
-            """The bucket rows with their components now, without the buckets that are one component."""
-            moved = rows.join(comps.withColumnRenamed("component", "own"), rows.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("own", "rep").alias("comp"))
-            several = moved.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-            return cut(moved.join(several, "key", "left_semi"))
-
-        for turn in range(12):
-            near_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-            lead = now.groupBy("key").agg(F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("lead"))
-            pairs = now.join(lead, "key").where("comp <> lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-            one = F.min_by(F.struct("b", "na", "nb"), F.xxhash64("b", F.lit(turn)) if turn else F.col("b"))
-            got = cut(confirmed(pairs.where(near_size).groupBy("a").agg(one.alias("p")).select("a", "p.*")))
-            links = got if links is None else links.unionByName(got)
-            comps = components(links)
-            now = apart(now, comps)
-            todo = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()["pairs"] or 0
-            if todo <= spare * rows:
-                break
-        if todo:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-            comps = components(links.unionByName(cut(confirmed(pairs))))
+        lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
+        tries = bucket.join(lead, "key").where(f"rep <> lead.rep and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
+        pairs = tries.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
+        pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
+        pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
+        comps = components(pairs.mapInArrow(_confirm(percent), "u long, v long"))
+        moved = bucket.join(comps, bucket.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        several = moved.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        apart = _blocks(cut(moved.join(several, "key", "left_semi")), members, elements)
+        apart = apart.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("key", "block", "comp", "shingle_set")
+        found = cut(apart.groupBy("key", "block").applyInArrow(_link_apart(percent), "u long, v long"))
+        if not found.isEmpty():
+            later = components(found).select(F.col("node").alias("component"), F.col("component").alias("final"))
+            alone = later.join(comps, later.component == comps.node, "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+            comps = comps.join(later, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(alone)
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     if comps is not None:
         reps = reps.join(comps, reps.rep == comps.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -73,6 +73,24 @@ def test_near_duplicates(docs, odd):
         assert got == want
 
 
+def test_near_duplicates_of_a_loose_family(spark):
+    """Copies that are alike to one text, to a few or to none, in buckets that are dealt in parts."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(1000, " ".join(base))]
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"new{i}_{at}"
+        rows.append((i, " ".join(words)))
+    want = brute.near_groups(rows)
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for members, elements in ((512, 1_000_000), (16, 1_000_000), (512, 3000)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, members=members, elements=elements).collect()}
+        assert got == want
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
