@@ -53,7 +53,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = utf8(batch.column("text")), batch.column("doc_id")
-        for a, b in chunks(texts, 1 << 22):
+        for a, b in chunks(texts, 1 << 21):
             sets = shingles(texts[a:b])
             sizes = np.fromiter(map(len, sets), dtype=np.int64, count=b - a)
             full = np.flatnonzero(sizes)
@@ -76,7 +76,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = utf8(batch.column("text"))
-        for a, b in chunks(texts, 1 << 23):
+        for a, b in chunks(texts, 1 << 22):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([s.tobytes() for s in shingles(texts[a:b])], pa.binary())], names=["doc_id", "shingle_set"])
 
 
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, members: int = 512, elem
         pairs = tries.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
         pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
         pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
-        comps = components(pairs.mapInArrow(_confirm(percent), "u long, v long"))
+        comps = components(cut(pairs.mapInArrow(_confirm(percent), "u long, v long")))  # one Python worker a task
         moved = bucket.join(comps, bucket.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         several = moved.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         apart = _blocks(cut(moved.join(several, "key", "left_semi")), members, elements)
