@@ -21,6 +21,9 @@ _PLAIN = re.compile("[\x20-\x7e\n\xa1-ɏ]+")
 _ODD_SPACE = re.compile(r" (?=\s)|\s |^ | $")
 _JOINTS = re.compile(r"(?<=\S) (?=\S)")
 _SPLIT = regex.compile(PATTERN)
+_LETTERS = re.compile("[A-Za-z]+")
+#: Fixed value: how the byte-level alphabet spells a space.
+SPACE_LETTER = "\u0120"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -35,6 +38,7 @@ class Encoder(dict):
     """Piece of text after a space -> its ids, space included, as little-endian unsigned 32-bit bytes."""
 
     LIMIT = 800_000  # pieces a worker remembers; frequent ones come early, later ones are encoded each time
+    LONGEST = 64  # longer pieces are not remembered
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -44,29 +48,45 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.marks: dict[str, bytes] = {}  # ids of single closing marks
+        self.tails: dict[str, bytes] = {}  # ids of what follows a piece's leading letters
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            ids = self.whole(" " + piece)
-        elif piece.isalpha():
-            ids = self._word(" " + piece)
-        elif piece[-1] in ".," and piece[:-1].isalpha():
-            ids = self._word(" " + piece[:-1]) + (self.marks.get(piece[-1]) or self.marks.setdefault(piece[-1], self._word(piece[-1])))
-        else:
-            ids = b"".join(map(self._word, _SPLIT.findall(" " + piece)))
-        if len(self) < self.LIMIT:
+        if not piece.isascii() or not (cut := _LETTERS.match(piece)):
+            ids = self._split(" " + piece) if _PLAIN.fullmatch(piece) else self.whole(" " + piece)
+        elif cut.end() == len(piece):
+            return self._keep(piece, self._plain(SPACE_LETTER + piece))
+        else:  # the letters are one split, and their ids are shared by all pieces that begin with them
+            head, tail = piece[: cut.end()], piece[cut.end() :]
+            ids = self.get(head) or self._keep(head, self._plain(SPACE_LETTER + head))
+            ids += self.tails.get(tail) or self._tail(tail)
+        return self._keep(piece, ids)
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(self) < self.LIMIT and len(piece) <= self.LONGEST:
             self[piece] = ids
         return ids
 
-    def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
+    def _tail(self, tail: str) -> bytes:
+        if not _PLAIN.fullmatch(tail):
+            return self.whole(tail)
+        ids = self._split(tail)
+        if len(self.tails) < self.LIMIT // 4 and len(tail) <= self.LONGEST:
+            self.tails[tail] = ids
+        return ids
+
+    def _split(self, text: str) -> bytes:
+        return b"".join([self._plain(w) if w.isalpha() and w.isascii() else self._word(w) for w in _SPLIT.findall(text)])
+
+    def _plain(self, spelled: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        return self._plain(word.encode().decode("latin-1").translate(self.letters))
+
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text, 4 bytes each; null is empty."""
         if not text:
