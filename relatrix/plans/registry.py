@@ -80,4 +80,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gra1_ego_graph"](spark, sf_dir)
 
 
-from . import graph_plans, metric_plans, scalar_plans, store_plans, text_plans  # noqa: E402, F401
+from . import graph_plans, metric_plans, scalar_plans, sentence_plans, store_plans, text_plans  # noqa: E402, F401
