@@ -1,8 +1,10 @@
 """Benchmark decontamination (DataFrame functions only).
 
-A window as long as a benchmark item slides over every document; it is placed wherever document and item
-share a shingle of five words (a window without one has similarity 0). Windows and items get 64-bit SimHash
-fingerprints of their words. The fingerprints are cut into BLOCKS blocks; two within RADIUS bits agree in
+A window as long as a benchmark item slides over every document. Of all its places those are read that end
+with a shingle of five words which the item holds too, or that begin the document: a window that ends with
+another shingle loses nothing when it moves left, so the first of the best windows is always among them. A
+window with fewer such shingles than the wanted similarity takes is left out. Windows and items get 64-bit
+SimHash fingerprints of their words. The fingerprints are cut into BLOCKS blocks; two within RADIUS bits agree in
 some block up to RADIUS // BLOCKS bits, so an index of all such variants of the items' blocks finds every
 item within the radius. Each one found is confirmed by the weighted Jaccard similarity of the shingles, a
 shingle's weight being how often it occurs: sum of the smaller over sum of the larger weights.
@@ -11,8 +13,8 @@ A window at similarity 0.75 differs from its item by a few words at most (about
 items of a dozen words, fewer for longer ones), hence the radius of 20.
 
 Cases: null, empty and wordless texts and items match nothing; items under five words have one shingle,
-the whole item; documents shorter than an item are one window; rows of a repeated id count as one
-document; null ids are not reported; empty tables give an empty result.
+the whole item; documents shorter than an item are one window; of equally similar windows the first is
+reported; rows of a repeated id count as one document; null ids are not reported; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -68,12 +70,16 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFr
     words = docs.select("doc_id", F.expr(_WORDS).alias("w")).where("doc_id is not null")
 
     def met(k: int) -> DataFrame:
-        own = items.where(F.col("k") == k).select("item_id", "n", F.posexplode(F.expr(_grams("iw", k))).alias("o", "h"))
+        own = items.where(F.col("k") == k).select("item_id", "n", F.explode(F.array_distinct(F.expr(_grams("iw", k)))).alias("h"))
         if own.count() <= BROADCAST_SHINGLES:
             own = F.broadcast(own)
         seen = words.where(F.size("w") >= k).select("doc_id", F.size("w").alias("m"), F.posexplode(F.expr(_grams("w", k))).alias("p", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("m") - F.col("n")))
-        return seen.join(own, "h").select("doc_id", F.lit(k).alias("k"), "n", start.cast("int").alias("start"))
+        at = seen.join(own, "h").groupBy("doc_id", "m", "item_id", "n").agg(F.array_sort(F.collect_set("p")).alias("at"))
+        # shared / (own + item's - shared) >= percent / 100 needs this many shared shingles
+        at = at.withColumn("least", F.expr(f"cast(greatest(1, ceil({percent} * (n + least(m, n) - {2 * k - 2}) / {100 + percent}D - 1e-6)) as int)"))
+        ends = f"filter(sequence(0, size(at) - 1), i -> i + 1 >= least and at[i] - at[greatest(0, i + 1 - least)] <= n - {k})"
+        starts = F.expr(f"array_distinct(transform({ends}, i -> greatest(0, at[i] - n + {k})))")
+        return at.select("doc_id", F.lit(k).alias("k"), "n", F.explode(starts).alias("start"))
 
     windows = reduce(DataFrame.unionByName, [met(k) for k in sizes]).distinct()
     whole = docs.select("doc_id", "text").join(windows.groupBy("doc_id").agg(F.collect_set(F.struct("k", "n", "start")).alias("places")), "doc_id")

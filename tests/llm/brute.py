@@ -146,3 +146,24 @@ def nearest(rows, is_query, near=10):
             by = np.lexsort((ids[keep], d[keep]))[:near]
             out[i] = list(zip(ids[keep][by].tolist(), d[keep][by].tolist(), strict=True))
     return out
+
+
+def contaminated_anywhere(docs, items, percent=75):
+    """(doc, item) -> (similarity, start) of the first of the best windows, with a window begun at every word."""
+    found = {}
+    for d, t in docs:
+        w = words(t)
+        for item, text in items:
+            iw = words(text)
+            k, best = max(1, min(5, len(iw))), None
+            grams = lambda x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))  # noqa: B023, E731
+            own = grams(iw)
+            for s in range(max(1, len(w) - len(iw) + 1) if own.keys() & grams(w).keys() else 0):
+                got = grams(w[s : s + len(iw)])
+                low = sum((got & own).values())
+                either = sum(got.values()) + sum(own.values()) - low
+                if low and 100 * low >= percent * either and (best is None or low / either > best[0]):
+                    best = (low / either, s)
+            if best:
+                found[d, item] = best
+    return found

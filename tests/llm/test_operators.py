@@ -114,6 +114,26 @@ def test_decontaminate(spark, docs, odd):
     assert decontaminate.keep_clean(odd, planted).columns == odd.columns
 
 
+def test_decontaminate_tries_every_start(spark, docs):
+    edited, plain = [], []
+    for i, (n, first, last, middle) in enumerate(((200, 10, 10, 20), (100, 4, 4, 8), (50, 1, 1, 2))):
+        own = [f"w{i}x{j}" for j in range(n)]
+        new = [f"new{i}x{j}" for j in range(n)]
+        text = [*new[:first], *own[first : n // 2], *new[first : first + middle], *own[n // 2 : n - last], *new[-last:]]
+        edited.append((i, " ".join(["before"] * 30 + text + ["after"] * 30)))
+        plain.append((i, " ".join(own)))
+    odd = [(10, "x y " * 60), (11, "p " * 40 + "x y " * 9), (12, "y x y x y x y"), (13, "a b"), (14, None)]
+    plain += [(20, "x y " * 10), (21, "x y x y x y"), (22, "a b c d e f"), (23, "p"), (24, "")]
+    want = brute.contaminated_anywhere([*edited, *odd], plain)
+    assert {(0, 0), (1, 1), (2, 2)} <= set(want)
+    frames = [spark.createDataFrame(x, f"{c} long, text string") for x, c in ((edited + odd, "doc_id"), (plain, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.contaminated(*frames).collect()}
+    assert got == want
+    items = table(spark, SF, "benchmark")
+    want = brute.contaminated_anywhere(rows_of(docs), [(r.item_id, r.text) for r in items.collect()])
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.contaminated(docs, items).collect()} == want
+
+
 def test_repeats(docs, odd):
     for df in both(docs, odd):
         want = brute.repeats(rows_of(df))
