@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one shared queue, exact reranking.
 
-Split directions are random; split points are medians of a bounded sample (``SAMPLE`` vectors of least
-id hash), so the trees are small and broadcast. Every vector is indexed: a task walks its vectors down
-all trees at once. A query pops nodes of all trees from one queue, nearest margin first, until the leaves it
-has reached hold ``ROWS`` vectors. Leaves are joined with the queries that want them, in parts of
+Split directions are random; split points are medians of a sample (``SAMPLE`` vectors of least id hash, or one in
+``SHARE`` if that is more, ``MOST`` at most), so the trees are small and broadcast; their depth grows with the
+sample, to leaves of ``LEAF`` vectors. Every vector is indexed: a task walks its vectors down all trees at once.
+A query pops nodes of all trees from one queue, nearest margin first, until the leaves it has reached hold
+as many vectors as the table needs: for ``PROBES`` of the queries the exact nearest are found in one pass over the
+table, and the budget is what reaches ``TARGET`` of them, a quarter of ``rows`` a tree at least. Equal vectors of a leaf count once. Where the budget is no
+less than the table, one tree is read whole instead, which is exact. Leaves are joined with the queries that want them, in parts of
 ``PART`` vectors where many equal vectors share a leaf; each part returns its 10 nearest by
-exact double-precision distance, and the best 10 of all parts are the answer.
+exact double-precision distance, without those farther than the 10th nearest of one in ``SHARE`` of the vectors
+(they cannot be among the best), and the best 10 of all parts are the answer.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most
 take no part; repeated ids count once, by their smallest distance; ties go to the smaller id; with no more
-than ``ROWS`` vectors the search is exact.
+than ``rows`` vectors the search is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SAMPLE, LEAF, ROWS, PART = 12, 20_000, 128, 12_000, 4096
+SHARE, MOST = 16, 1 << 18
+PROBES, TARGET = 128, 0.95
 USABLE = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
@@ -56,13 +62,27 @@ class Forest:
                 out[t] = 2 * out[t] + 1 + (shadow[:, level] > self.split[t, out[t]])
         return out - self.split.shape[1]
 
-    def search(self, vector: np.ndarray, held: np.ndarray, rows: int) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs by a shared queue until they hold ``rows`` vectors; held[t, leaf] counts them."""
+    def needed(self, vector: np.ndarray, leaves: np.ndarray, held: np.ndarray) -> list[int]:
+        """For each column of ``leaves``, how many vectors a search holds when it first reaches one of these leaves."""
+        inner = self.split.shape[1]
+        shadow = self.normal @ vector
+        margin = np.zeros((len(shadow), 1))
+        for level in range(self.depth):
+            gap = shadow[:, level : level + 1] - self.split[:, (1 << level) - 1 : (2 << level) - 1]
+            both = np.maximum(margin[:, :, None], np.abs(gap)[:, :, None] * np.stack([gap > 0, gap <= 0], axis=2))
+            margin = both.reshape(len(shadow), -1)
+        order = np.argsort(margin, axis=None, kind="stable")
+        reached = np.zeros(margin.size, np.int64)
+        reached[order] = np.cumsum(held.reshape(-1)[order])
+        return reached.reshape(-1, inner + 1)[np.arange(len(shadow))[:, None], leaves].min(axis=0).tolist()
+
+    def search(self, vector: np.ndarray, held: np.ndarray, rows: int, reach: int | None = None) -> list[tuple[int, int]]:
+        """(tree, leaf) pairs by a shared queue until they hold ``reach`` vectors, or as many as hold about ``rows`` distinct ones; held[t, leaf] counts them."""
         inner = self.split.shape[1]
         shadow = self.normal @ vector
         queue = [(0.0, t, 0, 0) for t in range(len(shadow))]
-        found, total, limit = [], 0, rows * len(shadow) // 4 if rows else 0
-        while queue and total < max(rows, limit):
+        found, total, limit = [], 0, max(rows, rows * len(shadow) // 4) if reach is None else reach
+        while queue and total < limit:
             margin, t, node, level = heapq.heappop(queue)
             while node < inner:
                 gap = shadow[t, level] - self.split[t, node]
@@ -91,15 +111,20 @@ def _index(shared):
     return run
 
 
-def _wanted(shared, counts, rows: int):
+def _wanted(shared, counts, reach: int, some, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: list[tuple[int, int, int, int]] = []
-            for i, vector in enumerate(_matrix(batch.column("embedding"))):
-                for t, leaf in shared.value.search(vector, counts.value, rows):
-                    got += [(t, leaf, part, i) for part in range(-(-int(counts.value[t, leaf]) // PART))]
+            names, rows = some.value
+            bounds = []
+            for i, (q, vector) in enumerate(zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("embedding")), strict=True)):
+                # a vector farther than the near-th of some other rows is not among the nearest
+                square = ((rows @ vector) * -2 + (rows * rows).sum(axis=1) + vector @ vector)[names != q]
+                bounds.append(math.sqrt(max(0.0, np.partition(square, near - 1)[near - 1]) + 1e-9 * (vector @ vector + np.abs(square).max())) if len(square) >= near else math.inf)
+                for t, leaf in shared.value.search(vector, counts.value[1], 0, reach):
+                    got += [(t, leaf, part, i) for part in range(-(-int(counts.value[0][t, leaf]) // PART))]
             t, leaf, part, i = (np.array(x, np.int32) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(part), batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i))], names=["tree", "leaf", "part", "query_id", "query"])
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(part), batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(bounds, pa.float64()).take(pa.array(i))], names=["tree", "leaf", "part", "query_id", "query", "bound"])
 
     return run
 
@@ -109,9 +134,9 @@ def _rank(near: int):
         out: list[list] = [[], [], []]
         if rows.num_rows and queries.num_rows:
             ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding").combine_chunks())
-            for q, v in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query").combine_chunks()), strict=True):
+            for q, v, bound in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query").combine_chunks()), queries.column("bound").to_pylist(), strict=True):
                 distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
-                ok = np.flatnonzero(ids != q)
+                ok = np.flatnonzero((ids != q) & (distance <= bound))
                 best = ok[np.lexsort((ids[ok], distance[ok]))[:near]]
                 out[0] += [q] * len(best)
                 out[1] += ids[best].tolist()
@@ -121,6 +146,65 @@ def _rank(near: int):
     return run
 
 
+def _nearest(shared, near: int):
+    """The nearest rows of each batch to every probe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, probes = shared.value
+        for batch in batches:
+            ids, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
+            for q, v in zip(names, probes, strict=True):
+                distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
+                ok = np.flatnonzero(ids != q)
+                if len(ok) > 4 * near:
+                    ok = ok[distance[ok] <= np.partition(distance[ok], near - 1)[near - 1]]
+                best = ok[np.lexsort((ids[ok], distance[ok]))[:near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), batch.column("vec_id").take(pa.array(best)), pa.array(distance[best]), batch.column("embedding").take(pa.array(best))], names=["query_id", "vec_id", "score", "embedding"])
+
+    return run
+
+
+def budget(usable: DataFrame, queries: DataFrame, forest: Forest, held: np.ndarray, near: int, probes: int = PROBES, target: float = TARGET) -> int:
+    """Vectors that searches have to reach for ``target`` of the exact nearest of some queries."""
+    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+    if not asked:
+        return 0
+    own = {r["vec_id"]: np.array(r["embedding"]) for r in asked}
+    shared = usable.sparkSession.sparkContext.broadcast((list(own), np.array(list(own.values()))))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    exact = usable.mapInArrow(_nearest(shared, near), "query_id long, vec_id long, score double, embedding array<double>")
+    exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy("score"))).where("r = 1")
+    needed: list[int] = []
+    wanted: dict[int, list] = {}
+    for r in exact.withColumn("r", F.row_number().over(order)).where(F.col("r") <= near).collect():
+        wanted.setdefault(r["query_id"], []).append(r["embedding"])
+    for q, vectors in wanted.items():
+        needed += forest.needed(own[q], forest.leaves(np.array(vectors)), held)
+    needed.sort()
+    return needed[max(0, math.ceil(target * len(needed)) - 1)] if needed else 0
+
+
+def _held(usable: DataFrame, forest: Forest) -> np.ndarray:
+    """(2 x trees x leaves): the vectors of each leaf, and the distinct ones."""
+    shared = usable.sparkSession.sparkContext.broadcast(forest)
+    distinct = usable.groupBy("embedding").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(shared.value.normal), 1 << shared.value.depth), np.int64)
+        for batch in batches:
+            for t, leaf in enumerate(shared.value.leaves(_matrix(batch.column("embedding")))):
+                np.add.at(seen[0, t], leaf, batch.column("n").to_numpy())
+                np.add.at(seen[1, t], leaf, 1)
+        t, leaf = np.nonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(seen[0][t, leaf]), pa.array(seen[1][t, leaf])], names=["tree", "leaf", "n", "d"])
+
+    out = np.zeros((2, len(forest.normal), 1 << forest.depth), np.int64)
+    sums = distinct.mapInArrow(run, "tree int, leaf int, n long, d long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toArrow()
+    t, leaf = sums.column("tree").to_numpy(), sums.column("leaf").to_numpy()
+    out[0, t, leaf], out[1, t, leaf] = sums.column("n").to_numpy(), sums.column("d").to_numpy()
+    return out
+
+
 def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int = 10, trees: int = TREES, rows: int = ROWS, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row where ``is_query`` holds."""
     spark = vectors.sparkSession
@@ -131,18 +215,29 @@ def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int
         return spark.createDataFrame([], schema)
     usable = usable.where(F.size("embedding") == sizes["d"])
     total = sizes["count"]
-    seed = np.array([r["embedding"] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()])
+    queries = usable.where(is_query).dropDuplicates(["vec_id"])
+    first = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, min(MOST, total // SHARE))).select("vec_id", "embedding").toArrow()
+    seed, names = _matrix(first.column("embedding").combine_chunks()), first.column("vec_id").to_numpy()
+    once = np.sort(np.unique(names, return_index=True)[1])[: max(10 * near, min(MOST, total // SHARE))]
+    some = spark.sparkContext.broadcast((names[once], seed[once]))
     depth = max(0, min(math.ceil(math.log2(max(1, total / LEAF))), int(math.log2(max(1, len(seed) / 8)))))
-    shared = spark.sparkContext.broadcast(Forest(seed, depth, trees))
-    indexed = usable.mapInArrow(_index(shared), "tree int, leaf int, vec_id long, embedding array<double>")
-    held = np.zeros((trees, 1 << depth), np.int64)
-    for r in indexed.groupBy("tree", "leaf").count().collect():  # trees x leaves rows, fixed by the sample
-        held[r["tree"], r["leaf"]] = r["count"]
+    reach = total  # one tree holds every vector once
+    if total > rows:
+        forest = Forest(seed, depth, trees)
+        held = _held(usable, forest)
+        reach = max(rows * trees // 4, budget(usable, queries, forest, held[1], near))
+    if total <= rows or reach >= total:
+        trees, reach = 1, total
+        forest = Forest(seed, depth, trees)
+        held = _held(usable, forest)
+    shared = spark.sparkContext.broadcast(forest)
     counts = spark.sparkContext.broadcast(held)
+    indexed = usable.mapInArrow(_index(shared), "tree int, leaf int, vec_id long, embedding array<double>")
+    held = held[0]
     per_leaf = spark.createDataFrame([(t, x, -(-int(held[t, x]) // PART)) for t in range(trees) for x in range(1 << depth) if held[t, x] > PART], "tree int, leaf int, parts int")
     indexed = indexed.join(F.broadcast(per_leaf), ["tree", "leaf"], "left")
     indexed = indexed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    wanted = usable.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(_wanted(shared, counts, rows), "tree int, leaf int, part int, query_id long, query array<double>")
+    wanted = queries.mapInArrow(_wanted(shared, counts, reach, some, near), "tree int, leaf int, part int, query_id long, query array<double>, bound double")
     found = indexed.groupBy("tree", "leaf", "part").cogroup(wanted.groupBy("tree", "leaf", "part")).applyInArrow(_rank(near), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -247,6 +247,22 @@ def test_neighbours(spark):
     assert neighbours.search_all(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_budget_grows(spark):
+    rng = np.random.default_rng(8)
+    for n, rows in ((8000, 500), (11000, neighbours.ROWS)):
+        data = rng.standard_normal((n, 64))
+        data[1000:4000] = data[1000]  # a hot group
+        data = [(i, v) for i, v in enumerate(data.tolist())]
+        want = brute.nearest(data, lambda i: i % 100 == 0)
+        frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        got = {q: [] for q in want}
+        for r in neighbours.search_all(frame, rows=rows).collect():
+            got[r.query_id].append(r.vec_id)
+        hits = sum(len(set(got[q]) & {i for i, _ in v}) for q, v in want.items() if not 1000 <= q < 4000)
+        all_ = sum(len(v) for q, v in want.items() if not 1000 <= q < 4000)
+        assert hits == all_ if n <= rows else hits >= 0.9 * all_
+
+
 def test_forest_recall():
     rng = np.random.default_rng(4)
     data = rng.standard_normal((3000, 8))
