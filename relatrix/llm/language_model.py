@@ -1,20 +1,21 @@
 """LM scoring with a hidden Markov model of word classes.
 
-A word's class is itself for the ``TOP`` most frequent training tokens, else one of ``TAILS`` classes by its
-last two characters. Hidden states emit classes; a tail class emits its words by absolute discounting of
+A word's class is itself for the most frequent training tokens (all with a count no lower than the least that leaves
+``TOP`` of them or fewer), else one of ``TAILS`` classes by its
+last two characters; the end token always has a class of its own. Hidden states emit classes; a tail class emits its words by absolute discounting of
 the training counts, the discount going to the one unknown type, so probabilities of all tokens (V known
 types and the unknown one, the same events as the base score's) sum to one:
 
     P(tokens) = P(classes) by the scaled forward recursion  *  product of P(word | tail class)
 
-Baum-Welch: every pass runs over all training documents; each task adds up expected counts, Spark sums them
-by cell, and the driver gets (STATES + 1) x (STATES + classes) numbers, whatever the corpus size. Only the
-starting values come from a bounded sample (``START_DOCS`` documents). Token counts, V and N cover all
+Baum-Welch: every pass runs over all training documents, from seeded starting values in which states are
+slow to change, so whole documents choose among them; each task adds up expected counts, Spark sums them
+by cell, and the driver gets (STATES + 1) x (STATES + classes) numbers, whatever the corpus size. Token counts, V and N cover all
 training documents and never leave Spark: rare words meet their counts in a join.
 
 Cases: null and empty texts are one end token; a null ``doc_id`` is hashed as the text "" and never held
-out unless crc32("") mod 10 is 0 (it is: such rows are held out); repeated ids are scored row by row when
-their texts are equal; an empty table gives an empty result.
+out unless crc32("") mod 10 is 0 (it is: such rows are held out); rows of a repeated id are scored row by row;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import pieces, stored, tidy, utf8
 
 TOP, TAILS, STATES = 8192, 512, 8
-PASSES, START_DOCS, START_PASSES = 3, 1500, 12
-END = b"\n"  # no word holds white space, so this names the end token
+PASSES, STICK = 4, 0.98
+END_CLASS = TOP  # between the top tokens and the tails
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAIL = f"{TOP} + crc32(cast(right(word, 2) as binary)) % {TAILS}"
+_TAIL = f"{TOP + 1} + crc32(cast(right(word, 2) as binary)) % {TAILS}"
 
 
 def held_out() -> Column:
@@ -49,18 +51,36 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
+#: Counts in steps that grow with them, some 15,000 at most, in the order of the counts.
+_STEP = "if(c < 4096, c, 4096 + cast(floor(log2(c) * 256) as bigint))"
+
+
+def top_tokens(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frequent, rare) words of the counts: ``TOP`` or fewer that are the most frequent, ties together, and the others."""
+    counts = counts.where("word <> '\n'").withColumn("step", F.expr(_STEP))
+    least, held = None, 0
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > TOP:
+            break
+        least = r["step"]
+    if least is None:
+        return counts.where("false"), counts
+    return counts.where(F.col("step") >= least), counts.where(F.col("step") < least)
+
+
 def _tail(word: bytes) -> int:
-    return TOP + zlib.crc32(word.decode()[-2:].encode()) % TAILS
+    return TOP + 1 + zlib.crc32(word.decode()[-2:].encode()) % TAILS
 
 
 def _encode(top: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tails: dict[bytes, int] = {}
-        for batch in batches:
+        row_id = TaskContext.get().partitionId() << 40
+        for batch in (part for whole in batches for part in pieces(whole)):
             ids, known, tail_words, tail_counts = [], [], [], []
             for text in utf8(batch.column("text")):
                 words = text.lower().split()
-                words.append(END)
                 row = list(map(top.get, words))
                 if None in row:
                     rare = [i for i, c in enumerate(row) if c is None]
@@ -77,12 +97,14 @@ def _encode(top: dict[bytes, int]):
                 else:
                     tail_words.append([])
                     tail_counts.append([])
+                row.append(END_CLASS)
                 ids.append(np.array(row, dtype=np.uint16).tobytes())
                 known.append(len(row))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(known, pa.int64()), pa.array(ids, pa.binary()), pa.array(tail_words, pa.list_(pa.string())), pa.array(tail_counts, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "n_tokens", "ids", "tail_words", "tail_counts"],
+                [pa.array(range(row_id, row_id + batch.num_rows), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(known, pa.int64()), pa.array(ids, pa.binary()), pa.array(tail_words, pa.list_(pa.string())), pa.array(tail_counts, pa.list_(pa.int32()))],
+                names=["row", "doc_id", "held_out", "n_tokens", "ids", "tail_words", "tail_counts"],
             )
+            row_id += batch.num_rows
 
     return run
 
@@ -166,7 +188,7 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
 def _e_step(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 2 << 20, "ids")):
             first, moves, emits, total = expected_counts(*model, _sequences(batch))
             one = np.concatenate([[total], first, moves.ravel(), emits.ravel()])
             cells = one if cells is None else cells + one
@@ -182,52 +204,44 @@ def _score(model: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray, h
     """base: log10 base probability of each top token; has: 1 where the class is a known top token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 8 << 20, "ids")):
             seqs = _sequences(batch)
             score = np.zeros(len(seqs))
             for take, grid in groups(seqs, 4_000_000):
                 score[take] = forward(*model, grid) / math.log(10)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array([int(has[s].sum()) for s in seqs], pa.int64()), pa.array([float(base[s].sum()) for s in seqs]), pa.array(score)],
-                names=["doc_id", "held_out", "n_tokens", "top_known", "top_base", "class_score"],
+                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array([int(has[s].sum()) for s in seqs], pa.int64()), pa.array([float(base[s].sum()) for s in seqs]), pa.array(score)],
+                names=["row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "class_score"],
             )
 
     return run
 
 
-def _starting_model(seqs: list[np.ndarray], unigram: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    emit = unigram[:, None] * rng.uniform(0.2, 1.8, (len(unigram), STATES))
-    emit /= emit.sum(axis=0)
-    move = np.full((STATES, STATES), 0.4 / (STATES - 1))
-    np.fill_diagonal(move, 0.6)
-    model = (np.full(STATES, 1 / STATES), move, emit)
-    for _ in range(passes if seqs else 0):
-        model = m_step(*expected_counts(*model, seqs)[:3], unigram)
-    return model
+def _starting_model(unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeded values: each state prefers some classes, and mostly stays."""
+    emit = unigram[:, None] * (np.random.default_rng(11).exponential(1.0, (len(unigram), STATES)) ** 2 + 0.05)
+    move = np.full((STATES, STATES), (1 - STICK) / (STATES - 1))
+    np.fill_diagonal(move, STICK)
+    return np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0)
 
 
-def score_documents(docs: DataFrame, passes: int = PASSES, start_docs: int = START_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = stored(training_counts(docs), "lm-counts")
-    sums = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    n, v = int(sums[0] or 0), int(sums[1])
-    once, twice = int(sums[2]), int(sums[3])
+    sums = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum(F.when(F.col("word") == "\n", F.col("c")))).first()
+    n, v, once, twice, ends = (int(x or 0) for x in sums)
     discount = once / (once + 2 * twice) if once else 0.5
     below = n + 0.1 * (v + 1)
-    top_rows = counts.orderBy(F.desc("c"), "word").limit(TOP).collect()
+    frequent, rare = top_tokens(counts)
+    top_rows = frequent.select("word", "c").collect()  # TOP at most
+    top_rows.sort(key=lambda r: (-r["c"], r["word"]))
     top = {r["word"].encode(): i for i, r in enumerate(top_rows)}
-    top.setdefault(END, len(top) % TOP)
-    unigram = np.full(TOP + TAILS, 1e-3)
-    base, has = np.zeros(TOP + TAILS), np.zeros(TOP + TAILS, dtype=np.int64)
-    for i, r in enumerate(top_rows):
-        unigram[i] += r["c"]
-        base[i], has[i] = math.log10((r["c"] + 0.1) / below), 1
-    if END not in {r["word"].encode() for r in top_rows}:
-        base[top[END]] = math.log10(0.1 / below)
-    last = (top_rows[-1]["c"], top_rows[-1]["word"]) if len(top_rows) == TOP else None
-    rare = counts.where(f"c < {last[0]}").unionByName(counts.where((F.col("c") == last[0]) & (F.col("word") > last[1]))) if last else counts.where("false")
+    classes = TOP + 1 + TAILS
+    unigram, base, has = np.full(classes, 1e-3), np.zeros(classes), np.zeros(classes, dtype=np.int64)
+    for i, c in [*enumerate(r["c"] for r in top_rows), (END_CLASS, ends)]:
+        unigram[i] += c
+        base[i], has[i] = math.log10((c + 0.1) / below), int(c > 0)
     tails = stored(rare.select("word", "c", F.expr(_TAIL).cast("int").alias("tail")), "lm-tails")
     per_tail = tails.groupBy("tail").agg(F.sum("c").alias("tail_n"), F.count("*").alias("tail_v"))
     for r in per_tail.collect():  # at most TAILS rows
@@ -237,35 +251,30 @@ def score_documents(docs: DataFrame, passes: int = PASSES, start_docs: int = STA
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(top)
     encoded = docs.select("doc_id", "text", held_out().alias("held_out"))
-    encoded = stored(encoded.mapInArrow(lambda it: _encode(shipped.value)(it), "doc_id long, held_out boolean, n_tokens long, ids binary, tail_words array<string>, tail_counts array<int>"), "lm-ids")
+    encoded = stored(encoded.mapInArrow(tidy(lambda it: _encode(shipped.value)(it)), "row long, doc_id long, held_out boolean, n_tokens long, ids binary, tail_words array<string>, tail_counts array<int>"), "lm-ids")
     train = encoded.where("not held_out").select("ids")
-    sample = encoded.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("ids").limit(start_docs)
-    seqs = [np.frombuffer(bytes(r["ids"]), dtype=np.uint16) for r in sample.collect()]
-    model = _starting_model(seqs, unigram, START_PASSES)
+    model = _starting_model(unigram)
     for _ in range(passes if n else 0):
         held = spark.sparkContext.broadcast(model)
-        cells = np.zeros(1 + STATES + STATES * STATES + (TOP + TAILS) * STATES)
-        for r in train.mapInArrow(lambda it, held=held: _e_step(held.value)(it), "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow().to_batches():
+        cells = np.zeros(1 + STATES + STATES * STATES + classes * STATES)
+        for r in train.mapInArrow(tidy(lambda it, held=held: _e_step(held.value)(it)), "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow().to_batches():
             cells[r.column("cell").to_numpy()] = r.column("x").to_numpy()
         k = STATES
         model = m_step(cells[1 : 1 + k], cells[1 + k : 1 + k + k * k].reshape(k, k), cells[1 + k + k * k :].reshape(-1, k), unigram)
     final = spark.sparkContext.broadcast((model, base, has))
-    scored = encoded.select("doc_id", "held_out", "n_tokens", "ids").mapInArrow(lambda it: _score(*final.value)(it), "doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, class_score double")
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(tidy(lambda it: _score(*final.value)(it)), "row long, doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, class_score double")
 
-    used = encoded.select("doc_id", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("w")).select("doc_id", F.col("w.tail_words").alias("word"), F.col("w.tail_counts").alias("k"))
+    used = encoded.select("row", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("w")).select("row", F.col("w.tail_words").alias("word"), F.col("w.tail_counts").alias("k"))
     used = used.join(tails.select("word", "c").hint("shuffle_hash"), "word", "left").withColumn("tail", F.expr(_TAIL).cast("int"))
     used = used.join(F.broadcast(per_tail), "tail", "left")  # at most TAILS rows
     share = F.when(F.col("c").isNotNull(), (F.col("c") - discount) / F.col("tail_n")).when(F.col("tail_n").isNotNull(), discount * F.col("tail_v") / F.col("tail_n")).otherwise(1.0)
-    used = used.groupBy("doc_id").agg(
+    used = used.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(below)))).alias("tail_base"),
         F.sum(F.col("k") * F.log10(share)).alias("tail_score"),
     )
-    # repeated ids: the sums of equal rows are divided by their number
-    times = encoded.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("doc_id", "times_id")
-    used = used.join(times, F.col("doc_id").eqNullSafe(F.col("times_id")), "left").drop("times_id").withColumnRenamed("doc_id", "used_id")
-    out = scored.join(used, F.col("doc_id").eqNullSafe(F.col("used_id")), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.coalesce("times", F.lit(1))
+    out = scored.join(used, "row", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = F.col("class_score") + zero("tail_score")
     return out.select(
         "doc_id", "held_out", "n_tokens",
