@@ -1,20 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are read as symbols: insult (learned), violence, will, target, negation, report, other. Five small
-transducers (insult, threat, target, negation, reported speech) are composed into one machine that runs over
-each clause that has an insult or a threat and names its reading, e.g. "insult+target" or
-"insult+negated". A clause's score is its strongest learned insult weight (or the threat weight) times the
-reading's factor; a document's logit is the best clause, a quarter of each further one, and the base rate of
-documents without any match.
+Words are read as symbols: insult (with a learned weight), violence, will, target, negation, report, other. Five small weighted
+transducers (insult, threat, target, negation, reported speech) are composed into one: the output of each is the
+input of the next and arc weights multiply, so a clause's words come out as hits such as "insult", "negated
+insult" or "reported threat", and the final state says whether they are aimed at someone. A clause (all words
+between stop marks) counts by its strongest hit; a document's logit is the best clause, a quarter of each further
+one, and the base rate of documents without any match.
 
 Learned from labelled training rows only: insult words and word beginnings (log-odds, kept if their
-excess in toxic documents is significant against the number tried), reading factors and the base rate. A
+excess in toxic documents is significant against the number tried), a factor for each kind of hit (the final weights) and the base rate. A
 feature needs a support of SUPPORT of the toxic training documents, so the lexicon has at most
-(features a document) / SUPPORT entries, whatever the corpus. Copies and
-most near copies count once in training, lest one copied document teach its words.
+(features a document) / SUPPORT entries, whatever the corpus. Training rows with the same set of word
+shingles count once, lest one copied document teach its words; rows without words count one by one.
 
 Cases: null and empty texts get the base rate; a null id scores like any other row and cannot be a
-training row; contradictory labels of one id count as toxic; without any toxic training row every score is
+training row; contradictory labels of one id, or of equal texts, count as toxic; without any toxic training row every score is
 the base rate; an empty table gives an empty result.
 """
 
@@ -23,17 +23,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles, utf8
+from .common import pieces, shingles, stored, tidy, utf8
 
-SUPPORT, LEAST, PREFIXES, BROADCAST_ROWS = 0.002, 3, range(3, 8), 2_000_000
+SUPPORT, LEAST, PREFIXES = 0.002, 3, range(3, 8)
+#: Labels up to this many are broadcast (about 100 bytes each); more are joined by shuffling.
+BROADCAST_ROWS = 300_000
+#: Words, and counted features, that a task remembers.
+REMEMBERED = 100_000
 #: Least log-odds of an insult, and the logit below which the base rate is not believed.
 STRONG, LOWEST = 3.0, -6.0
 THREAT_KEY = "\0threat"
@@ -47,38 +52,55 @@ REPORT = frozenset("said says say wrote writes claimed called reported quoted di
 WILL = frozenset("will gonna going shall should must vais va allons werde wird werden voy vas vamos".split())
 VIOLENCE = frozenset("kill hurt beat shoot stab burn destroy tuer frapper toten schlagen matar golpear".split())
 
-#: Each transducer: (state, symbol) -> (state, reading); a missing arc keeps the state. "*" is any symbol.
-INSULT = {(0, "insult"): (1, "insult")}
-THREAT = {(0, "will"): (1, ""), (1, "violence"): (2, "threat"), (0, "violence"): (0, ""), (2, "*"): (2, "")}
-AIM = {(0, "target"): (1, "target")}
-NEGATED = {(0, "negation"): (3, ""), (3, "insult"): (0, "negated"), (2, "insult"): (0, "negated"), (1, "insult"): (0, "negated"), (3, "violence"): (0, "negated"), (3, "negation"): (3, ""), (3, "*"): (2, ""), (2, "negation"): (3, ""), (2, "*"): (1, ""), (1, "negation"): (3, ""), (1, "*"): (0, "")}
-REPORTED = {(0, "report"): (1, ""), (1, "insult"): (1, "reported"), (1, "violence"): (1, "reported")}
-#: Factors of the readings before any label is seen, worth PRIOR documents each.
-FACTORS, PRIOR = {"target": 1.2, "negated": 0.5, "reported": 0.5}, 4.0
+class Transducer(NamedTuple):
+    """arcs: (state, symbol) -> (state, symbol, weight), "*" for any other symbol; a missing arc passes the symbol on. final: state -> (name, weight)."""
 
+    step: Callable
+    start: object
+    final: Callable
 
-def held_out() -> Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+def transducer(arcs: dict, final: dict | None = None) -> Transducer:
+    def step(state: int, symbol: str) -> tuple[int, str, float]:
+        to, out, weight = arcs.get((state, symbol)) or arcs.get((state, "*")) or (state, symbol, 1.0)
+        return to, symbol if out == "*" else out, weight
+
+    return Transducer(step, 0, lambda state: (final or {}).get(state, ("", 1.0)))
 
 
-def compose(*machines: dict) -> callable:
-    """Product of the transducers, built arc by arc as it is used: (states, symbol) -> (states, readings)."""
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """``second`` reads what ``first`` writes; arcs of the product are built as they are used."""
 
     @lru_cache(maxsize=None)
-    def step(states: tuple, symbol: str) -> tuple[tuple, tuple]:
-        after, said = [], []
-        for machine, state in zip(machines, states, strict=True):
-            state, reading = machine.get((state, symbol)) or machine.get((state, "*")) or (state, "")
-            after.append(state)
-            if reading:
-                said.append(reading)
-        return tuple(after), tuple(said)
+    def step(states: tuple, symbol: str) -> tuple[tuple, str, float]:
+        a, middle, w = first.step(states[0], symbol)
+        b, out, v = second.step(states[1], middle)
+        return (a, b), out, w * v
 
-    return step
+    def final(states: tuple) -> tuple[str, float]:
+        (name, w), (other, v) = first.final(states[0]), second.final(states[1])
+        return " ".join(x for x in (name, other) if x), w * v
 
+    return Transducer(step, (first.start, second.start), final)
 
-GRAMMAR = (INSULT, THREAT, AIM, NEGATED, REPORTED)
-STEP = compose(*GRAMMAR)
+
+HITS = ("insult", "threat")
+INSULTS = transducer({(0, "insult"): (0, "insult", 1.0)})
+#: A word of violence after one of intent is a threat; any other is no hit.
+THREATS = transducer({(0, "will"): (1, "*", 1.0), (0, "violence"): (0, "other", 1.0), (1, "violence"): (1, "threat", 1.0)})
+AIMED = transducer({(0, "target"): (1, "*", 1.0)}, {1: ("aimed", 1.2)})
+#: A negation reaches the three next words.
+NEGATED = transducer(
+    {(n, "negation"): (3, "*", 1.0) for n in range(4)} | {(n, "*"): (n - 1, "*", 1.0) for n in (1, 2, 3)} | {(n, h): (0, f"negated {h}", 0.5) for n in (1, 2, 3) for h in HITS}
+)
+REPORTED = transducer({(0, "report"): (1, "*", 1.0)} | {(1, x + h): (1, f"reported {x}{h}", 0.5) for x in ("", "negated ") for h in HITS})
+GRAMMAR = reduce(compose, (INSULTS, THREATS, AIMED, NEGATED, REPORTED))
+#: How many documents the grammar's own weights are worth against those seen.
+PRIOR = 4.0
+
+
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def _fixed(word: str) -> str:
@@ -96,82 +118,87 @@ def features(word: str) -> list[str]:
 class Reader(dict):
     """Word -> (symbol, weight) under a learned lexicon; remembers words."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], factors: dict[str, float] | None = None) -> None:
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.factors = lexicon, factors or {}
+        self.plain = {name: (name, 1.0) for name in ("target", "negation", "report", "will", "violence", "other")}
 
     def __missing__(self, word: str) -> tuple[str, float]:
         weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
-        out = ("insult", weight) if weight else (_fixed(word), 0.0)
-        if len(self) > 300_000:
+        out = ("insult", weight) if weight else self.plain[_fixed(word)]
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out
         return out
 
     def clauses(self, text: str) -> list[tuple[str, float]]:
-        """(reading, weight) of each clause that holds an insult or a threat."""
+        """(kind of the strongest hit, its weight) of each clause with a hit: lexicon weight times arcs, then the kind's factor."""
         words = TOKEN.findall(text.lower())
         hits = [i for i, w in enumerate(words) if w not in STOPS and self[w][0] in ("insult", "violence")]
-        out, done = [], -1
+        out, done, stop = [], -1, -1
         for i in hits:
             if i <= done:
                 continue
             first = i
-            while first and words[first - 1] not in STOPS and i - first < 40:
+            while first > stop + 1 and words[first - 1] not in STOPS:
                 first -= 1
-            last = i
-            while last + 1 < len(words) and words[last + 1] not in STOPS:
-                last += 1
-            states, said, weight = (0,) * len(GRAMMAR), set(), 0.0
-            for w in words[first : last + 1]:
+            done = i
+            while done + 1 < len(words) and words[done + 1] not in STOPS:
+                done += 1
+            stop = done + 1
+            state, found = GRAMMAR.start, []
+            for w in words[first : done + 1]:
                 symbol, own = self[w]
-                states, spoken = STEP(states, symbol)
-                said.update(spoken)
-                weight = max(weight, own)
-            done = last
-            if said & {"insult", "threat"}:
-                if not weight:
-                    weight = self.lexicon.get(THREAT_KEY, 0.0)
-                out.append(("+".join(sorted(said & {"threat", "target", "negated", "reported"})) or "plain", weight))
+                state, said, weight = GRAMMAR.step(state, symbol)
+                if said.endswith(HITS):
+                    found.append((weight * (own if symbol == "insult" else self.lexicon.get(THREAT_KEY, 0.0)), weight, said))
+            if found:
+                name, last = GRAMMAR.final(state)
+                best, arcs, said = max(found)
+                kind = f"{name} {said}".strip()
+                # a factor that was learned stands for the arcs' weights
+                out.append((kind, best / arcs * self.factors[kind] if kind in self.factors else best * last))
         return out
 
 
 def _count(wanted: frozenset | None, toxic_only: bool):
     """Documents holding each feature, by label; all features or the wanted ones."""
 
+    def rows(toxic: int, counts: Counter) -> Iterator[pa.RecordBatch]:
+        held = list(counts.items())
+        for i in range(0, len(held), 10_000):
+            f, n = zip(*held[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([toxic] * len(f), pa.int32()), pa.array(n, pa.int64())], names=["feature", "toxic", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        docs = [0, 0]
-        kept: dict[str, list[str]] = {}
-        for batch in batches:
+        kept: dict[str, tuple] = {}
+        for batch in (part for whole in batches for part in pieces(whole)):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                docs[toxic] += 1
-                own: set[str] = set()
+                own: set[str] = {""}
                 for word in set(TOKEN.findall((text or "").lower())) - STOPS:
                     if (f := kept.get(word)) is None:
-                        f = features(word)
-                        if wanted is not None:
-                            f = [x for x in f if x in wanted]
-                        if len(kept) > 300_000:
+                        f = tuple(features(word)) if wanted is None else tuple(x for x in features(word) if x in wanted)
+                        if len(kept) >= REMEMBERED:
                             kept.clear()
                         kept[word] = f
                     own.update(f)
                 seen[toxic].update(own)
+                if len(seen[toxic]) > 2 * REMEMBERED:  # counts so far, to be summed by Spark
+                    yield from rows(toxic, seen[toxic])
+                    seen[toxic].clear()
         for toxic in (1,) if toxic_only else (0, 1):
-            rows = [("", docs[toxic]), *seen[toxic].items()]
-            for i in range(0, len(rows), 10_000):
-                f, n = zip(*rows[i : i + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([toxic] * len(f), pa.int32()), pa.array(n, pa.int64())], names=["feature", "toxic", "docs"])
+            yield from rows(toxic, seen[toxic])
 
     return run
 
 
 def _readings(lexicon):
-    """Documents by label and their only reading ("" without a match, "mixed" with several)."""
+    """Documents by label and their only kind of hit ("" without a match, "mixed" with several)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(lexicon.value), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 kinds = {k for k, _ in reader.clauses(text or "")}
                 seen[(kinds.pop() if len(kinds) == 1 else "mixed" if kinds else "", toxic)] += 1
@@ -181,6 +208,12 @@ def _readings(lexicon):
     return run
 
 
+def prior(kind: str) -> float:
+    """The weight that the grammar's own arcs and final states give a kind of hit."""
+    out = 1.2 if kind.startswith("aimed ") else 1.0
+    return out * 0.5 ** (("negated" in kind) + ("reported" in kind))
+
+
 def _tail(t: int, n: int, p: float) -> float:
     """Log of the chance of at least t successes of n (largest term of the tail times its length)."""
     if t <= n * p:
@@ -193,14 +226,14 @@ def learn(train: DataFrame) -> dict:
     """Model from rows (text, toxic): lexicon, reading factors and base logit."""
     spark, schema = train.sparkSession, "feature string, toxic int, docs long"
     model = {"lexicon": {}, "factors": {}, "base": math.log(0.01 / 0.99)}
-    toxic = train.where("toxic = 1").mapInArrow(_count(None, True), schema).groupBy("feature").agg(F.sum("docs").alias("t"))
+    toxic = train.where("toxic = 1").mapInArrow(tidy(_count(None, True)), schema).groupBy("feature").agg(F.sum("docs").alias("t"))
     total = toxic.where("feature = ''").first()
     if total is None or not total["t"]:
         return model
     big_t = total["t"]
     often = {r["feature"]: r["t"] for r in toxic.where((F.col("t") >= max(LEAST, SUPPORT * big_t)) & (F.col("feature") != "")).collect()}
     shared = spark.sparkContext.broadcast(frozenset(often))
-    clean = train.where("toxic = 0").mapInArrow(lambda it: _count(shared.value, False)(it), schema).where("toxic = 0").groupBy("feature").agg(F.sum("docs").alias("n"))
+    clean = train.where("toxic = 0").mapInArrow(tidy(lambda it: _count(shared.value, False)(it)), schema).where("toxic = 0").groupBy("feature").agg(F.sum("docs").alias("n"))
     counts = {r["feature"]: r["n"] for r in clean.collect()}
     big_n = counts.get("", 0)
     rate = big_t / (big_t + big_n) if big_n else 0.5
@@ -223,62 +256,72 @@ def learn(train: DataFrame) -> dict:
         model["lexicon"][THREAT_KEY] = sorted(model["lexicon"].values())[len(model["lexicon"]) // 2]
     held = spark.sparkContext.broadcast(model["lexicon"])
     seen = Counter()
-    for r in train.mapInArrow(_readings(held), schema).groupBy("feature", "toxic").agg(F.sum("docs").alias("docs")).collect():
+    for r in train.mapInArrow(tidy(_readings(held)), schema).groupBy("feature", "toxic").agg(F.sum("docs").alias("docs")).collect():
         seen[r["feature"], r["toxic"]] += r["docs"]
     logit = lambda k: math.log((seen[k, 1] + 0.5) / (seen[k, 0] + 0.5))
     model["base"] = max(LOWEST, min(logit(""), -0.5))
-    for reading in {k for k, _ in seen} - {"", "mixed", "plain"}:
-        prior = math.prod(FACTORS.get(part, 1.0) for part in reading.split("+"))
+    for reading in {k for k, _ in seen} - {"", "mixed", "insult"}:
         n = seen[reading, 0] + seen[reading, 1]
-        plain = max(0.5, logit("plain") - model["base"])
+        plain = max(0.5, logit("insult") - model["base"])
         own = max(0.0, min(1.5, (logit(reading) - model["base"]) / plain))
         if n and seen[reading, 1] / n >= 0.9:
             own = max(own, 1.0)  # as toxic as can be told from so many documents
-        model["factors"][reading] = (own * n + prior * PRIOR) / (n + PRIOR)
+        model["factors"][reading] = (own * n + prior(reading) * PRIOR) / (n + PRIOR)
     return model
 
 
+def _scores(model: dict) -> Callable[[list], tuple[list, list]]:
+    reader = Reader(model["lexicon"], model["factors"])
+
+    def scores(texts: list) -> tuple[list, list]:
+        out, clauses = [], []
+        for text in texts:
+            found = sorted((w for _, w in reader.clauses(text or "")), reverse=True)
+            logit = model["base"] + (found[0] + 0.25 * sum(found[1:]) if found else 0.0)
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
+            clauses.append(len(found))
+        return out, clauses
+
+    return scores
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        reader = Reader(model["lexicon"])
-        for batch in batches:
-            scores, clauses = [], []
-            for text in batch.column("text").to_pylist():
-                found = sorted((w * model["factors"].get(k, math.prod(FACTORS.get(p, 1.0) for p in k.split("+"))) for k, w in reader.clauses(text or "")), reverse=True)
-                logit = model["base"] + (found[0] + 0.25 * sum(found[1:]) if found else 0.0)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
-                clauses.append(len(found))
+        scores = _scores(shared.value)
+        for batch in (part for whole in batches for part in pieces(whole)):
+            out, clauses = scores(batch.column("text").to_pylist())
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(clauses, pa.int32())], names=[*names, "score", "n_clauses"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.float64()), pa.array(clauses, pa.int32())], names=[*names, "score", "n_clauses"])
 
     return run
 
 
 def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least shingle hash of each text: near copies mostly share it, other texts hardly ever."""
-    for batch in batches:
-        least = [int(x[0].view(np.int64)) if len(x) else None for x in shingles(utf8(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least, pa.int64())], names=["doc_id", "toxic", "family"])
+    """Texts with the 128-bit hash of their shingle set; without words, a hash of the row's id."""
+    for batch in (part for whole in batches for part in pieces(whole)):
+        ids = batch.column("doc_id").to_pylist()
+        keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else str(i).encode() for x, i in zip(shingles(utf8(batch.column("text"))), ids, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.binary()), batch.column("text")], names=["doc_id", "toxic", "family", "text"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled training rows, one for each family of near copies."""
+    """(text, toxic) of labelled training rows, one for each set of shingles; a written table."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = labels.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    families = docs.join(hint(labels), "doc_id").mapInArrow(_family, "doc_id long, toxic int, family long")
-    firsts = families.groupBy("family").agg(F.min(F.struct("doc_id", "toxic")).alias("at")).select("at.*")
-    return docs.join(hint(firsts), "doc_id").select("text", "toxic")
+    rows = docs.join(F.broadcast(labels) if small else labels, "doc_id")
+    rows = stored(rows.mapInArrow(tidy(_family), "doc_id long, toxic int, family binary, text string"), "labelled")
+    firsts = rows.groupBy("family").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("label"))
+    firsts = rows.join(F.broadcast(firsts) if small else firsts, ["family", "doc_id"])
+    return stored(firsts.select("text", F.col("label").alias("toxic")), "training")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, n_clauses of every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(learn(training_rows(docs, labels)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, n_clauses int")
+    return rows.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, n_clauses int")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -286,9 +329,8 @@ def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFr
     model = docs.sparkSession.sparkContext.broadcast(learn(training_rows(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _score(model)
-        for batch in batches:
-            for scored in score(iter([batch.select(["text"])])):
-                yield batch.filter(pa.array([s < limit for s in scored.column("score").to_pylist()], pa.bool_()))
+        scores = _scores(model.value)
+        for batch in (part for whole in batches for part in pieces(whole)):
+            yield batch.filter(pa.array([s < limit for s in scores(batch.column("text").to_pylist())[0]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
