@@ -8,7 +8,8 @@ are dropped. Runs are tables, so nothing is held by the driver, and a lost execu
 
 Cases: null and empty texts are one empty line, which is too short to drop; repeats within one document
 stay (the contract counts documents); a null ``doc_id`` keeps all its lines and owns none; rows of one
-repeated id are the same document; an empty table gives an empty result.
+repeated id are the same document; an empty table gives an empty result; further columns of any name, those used here too, pass
+through untouched inside one struct.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import pieces, stored, tidy, utf8
 
 BATCHES, FANOUT, LEAST = 4, 3, 10
 
@@ -34,7 +35,7 @@ def line_key(line: bytes) -> bytes | None:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         docs, keys = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             own = {k for line in text.split(b"\n") if (k := line_key(line))}
@@ -77,7 +78,7 @@ def sorted_run(rows: DataFrame, level: int = 0) -> DataFrame:
 
 def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, key) of lines that are not in the smallest document holding them."""
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_keys, "doc_id long, key binary")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(tidy(_keys), "doc_id long, key binary")
     cuts = docs.where("doc_id is not null").select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)
     step = F.lit(0)
     for c in sorted(set(cuts)):
@@ -101,9 +102,9 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         lines, dropped, kept = [], [], []
-        for text, gone in zip(utf8(batch.column("text")), batch.column("dropped").to_pylist(), strict=True):
+        for text, gone in zip(utf8(batch.column("text")), batch.column("gone").to_pylist(), strict=True):
             own = text.split(b"\n")
             lines.append(len(own))
             if gone:
@@ -111,15 +112,14 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [x for x in own if line_key(x) not in gone]
             dropped.append(lines[-1] - len(own))
             kept.append(b"\n".join(own).decode())
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "dropped")]
-        names = [c for c in batch.schema.names if c not in ("text", "dropped")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_lines", "n_dropped", "kept_text"])
 
 
 def dedup_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns of ``keep``, n_lines, n_dropped and kept_text of every document."""
-    keep = ["doc_id", *(c for c in keep or [] if c not in ("doc_id", "text"))]
-    gone = dropped_keys(docs).groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
-    rows = docs.select(*keep, "text").join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(_rebuild, f"{fields}, n_lines long, n_dropped long, kept_text string")
+    """doc_id, n_lines, n_dropped and kept_text of every document; with ``keep`` also ``row``, a struct of those columns, whatever their names, and ``absent`` (the text was null)."""
+    gone = dropped_keys(docs).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    row = F.struct(F.col("doc_id"), F.col("text").isNull().alias("absent"), F.struct(*(F.col(f"`{c}`") for c in keep or ["doc_id"])).alias("kept"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text").join(gone, "doc_id", "left").select("row", "text", "gone")
+    out = rows.mapInArrow(tidy(_rebuild), f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
+    more = [F.col("row.kept").alias("row"), F.col("row.absent").alias("absent")] if keep else []
+    return out.select(F.col("row.doc_id").alias("doc_id"), *more, "n_lines", "n_dropped", "kept_text")
