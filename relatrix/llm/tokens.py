@@ -2,9 +2,10 @@
 
 Byte-level BPE first splits a text by a fixed pattern and never joins ids over such a split. A single
 space between two visible characters always starts a new split, so the text is cut there and every piece is
-encoded once and then remembered; the ids equal those of one call on the whole text (see the tests).
+encoded once and then remembered; the ids equal those of one call on the whole text (see the tests). A piece's
+leading letters are a split of their own and are shared by all pieces that begin with them.
 Pieces with characters outside Latin scripts, and texts that hold a special token's string, go to the
-library's ``encode`` whole.
+library's ``encode`` whole. The memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import regex
 #: Fixed value: the pattern by which this vocabulary's pre-tokenizer splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile("[\x20-\x7e\n\xa1-ɏ]+")
-_ODD_SPACE = re.compile(r" (?=\s)|\s |^ | $")
 _JOINTS = re.compile(r"(?<=\S) (?=\S)")
 _SPLIT = regex.compile(PATTERN)
-_LETTERS = re.compile("[A-Za-z]+")
+#: Latin letters; the numbers among these characters are not letters of the pattern.
+_LETTERS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
 #: Fixed value: how the byte-level alphabet spells a space.
 SPACE_LETTER = "\u0120"
 _ENCODERS: dict[str, Encoder] = {}
@@ -35,9 +36,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Piece of text after a space -> its ids, space included, as little-endian unsigned 32-bit bytes."""
+    """Piece of text after a space -> its ids, space included, as little-endian unsigned 32-bit bytes.
 
-    LIMIT = 800_000  # pieces a worker remembers; frequent ones come early, later ones are encoded each time
+    A piece that begins or ends with white space (none, if spaces meet) maps to None: such a text is cut with care.
+    """
+
+    LIMIT = 500_000  # pieces a worker remembers; frequent ones come early, later ones are encoded each time
     LONGEST = 64  # longer pieces are not remembered
 
     def __init__(self, path: str) -> None:
@@ -54,38 +58,36 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if not piece.isascii() or not (cut := _LETTERS.match(piece)):
-            ids = self._split(" " + piece) if _PLAIN.fullmatch(piece) else self.whole(" " + piece)
-        elif cut.end() == len(piece):
-            return self._keep(piece, self._plain(SPACE_LETTER + piece))
-        else:  # the letters are one split, and their ids are shared by all pieces that begin with them
-            head, tail = piece[: cut.end()], piece[cut.end() :]
-            ids = self.get(head) or self._keep(head, self._plain(SPACE_LETTER + head))
-            ids += self.tails.get(tail) or self._tail(tail)
-        return self._keep(piece, ids)
-
-    def _keep(self, piece: str, ids: bytes) -> bytes:
-        if len(self) < self.LIMIT and len(piece) <= self.LONGEST:
-            self[piece] = ids
-        return ids
-
-    def _tail(self, tail: str) -> bytes:
-        if not _PLAIN.fullmatch(tail):
-            return self.whole(tail)
-        ids = self._split(tail)
-        if len(self.tails) < self.LIMIT // 4 and len(tail) <= self.LONGEST:
-            self.tails[tail] = ids
+    def __missing__(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if not (cut := _LETTERS.match(piece)):
+            return self._keep(self, piece, self._split(" " + piece) if _PLAIN.fullmatch(piece) else self.whole(" " + piece))
+        at = cut.end()
+        if at == len(piece):
+            return self._keep(self, piece, self._plain(SPACE_LETTER + (piece if piece.isascii() else self._spell(piece))))
+        head, tail = piece[:at], piece[at:]
+        if (after := self.tails.get(tail)) is None:
+            if not _PLAIN.fullmatch(tail):  # marks beyond Latin may belong to the word
+                return self._keep(self, piece, self.whole(" " + piece))
+            after = self._keep(self.tails, tail, self._split(tail))
+        if ids := self.get(head):  # only pieces of words seen before are worth a place of their own
+            return self._keep(self, piece, ids + after)
+        return self[head] + after
+
+    def _keep(self, where: dict, key: str, ids: bytes) -> bytes:
+        if len(where) < self.LIMIT and len(key) <= self.LONGEST:
+            where[key] = ids
         return ids
 
     def _split(self, text: str) -> bytes:
-        return b"".join([self._plain(w) if w.isalpha() and w.isascii() else self._word(w) for w in _SPLIT.findall(text)])
+        return b"".join([self._plain(w if w.isalpha() and w.isascii() else self._spell(w)) for w in _SPLIT.findall(text)])
 
     def _plain(self, spelled: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return self._plain(word.encode().decode("latin-1").translate(self.letters))
+    def _spell(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text, 4 bytes each; null is empty."""
@@ -93,8 +95,13 @@ class Encoder(dict):
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = _JOINTS.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return b"".join([self.whole(first), *map(self.__getitem__, rest)])
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            rest = list(map(self.__getitem__, rest))
+            if None not in rest:
+                return b"".join([self.whole(first), *rest])
+        first, *rest = _JOINTS.split(text)  # no piece begins or ends with white space now, or has none beside
+        return b"".join([self.whole(first), *[self[x] or self.whole(" " + x) for x in rest]])
 
 
 def encoder(path: str) -> Encoder:
