@@ -1,14 +1,17 @@
 """Token-ID output in a Re-Pair grammar file, and random-access reading.
 
 Documents are range-partitioned by ``doc_id`` and sorted; each task cuts its run into blocks of about
-``BLOCK_IDS`` ids. Within a block, rounds of Re-Pair replace frequent pairs of symbols by nonterminals (pairs
-never span documents). A block is one row of the table in the shared folder:
+``BLOCK_IDS`` ids. Within a block, rounds of Re-Pair replace every pair of symbols that occurs ``LEAST`` times or
+more by a nonterminal, until no pair does (pairs never span documents). A block is one row of the table in
+the shared folder:
 
-    part, block, doc_ids, offsets (symbols before each document, and all), n_ids of each document,
-    symbols (u4), rules (pairs of u4; rule r defines symbol 2**24 + r), spans (ids each rule expands to)
+    part, block, doc_ids, no_id (documents whose id is null), offsets (symbols before each document, and
+    all), n_ids of each document, terms (the distinct ids), symbols, rules (pairs of symbols), spans (ids
+    each rule expands to)
 
-all little-endian. A document is read by expanding only its own symbols; ``slice_ids`` uses the spans to
-skip whole nonterminals before the wanted offset.
+all little-endian. Symbol s is the id terms[s], or rule s - len(terms); symbols and rules take two bytes each
+where a block has no more than 65536 symbols, else four. A document is read by expanding only its own
+symbols; ``slice_ids`` uses the spans to skip whole nonterminals before the wanted offset.
 
 Cases: null and empty texts are the end id alone; rows of a repeated id are written in any order among
 themselves; null ids come first; an empty table gives an empty file and an empty result.
@@ -25,73 +28,118 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, pieces, tidy
 from .tokens import default_tokenizer, encoder
 
-BLOCK_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 20, 5, 4096, 8
-RULE = 1 << 24
-FILE = "part int, block int, block_ids long, doc_ids binary, offsets binary, n_ids binary, symbols binary, rules binary, spans binary"
-
-
-def repair(ids: np.ndarray, docs: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, their documents, rules, spans) of one block; each round replaces its most frequent pairs."""
-    sym, rules, spans = ids.astype(np.int64), [], []
-    dense = np.zeros(0, dtype=np.int64)
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
-        code = (sym[:-1] << 26) | sym[1:]
-        same = docs[:-1] == docs[1:]
-        # a small table of hashed counts first drops pairs that cannot be frequent; then exact counts
-        slot = ((code * 0x9E3779B1) >> 7) & 0xFFFFF
-        often = same & (np.bincount(slot[same], minlength=1 << 20)[slot] >= least)
-        pairs, n = np.unique(code[often], return_counts=True)
-        pairs, n = pairs[n >= least], n[n >= least]
-        if not len(pairs):
+BLOCK_IDS, LEAST = 1 << 20, 8
+FILE = "part int, block int, block_ids long, doc_ids binary, no_id binary, offsets binary, n_ids binary, terms binary, symbols binary, rules binary, spans binary"
+
+
+def _repeated(sym: np.ndarray, alone: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, ...] | None:
+    """(places of repeated pairs, their pair numbers, left and right symbol of each pair); None if no pair is left.
+
+    ``alone`` marks symbols that end a document. Pairs are counted by sorting (pair, place) packed in 64 bits.
+    """
+    code = sym[:-1] * np.int64(symbols) + sym[1:]
+    # a small table of hashed counts first drops pairs that cannot be frequent
+    slot = ((code * 0x9E3779B1) >> 7) & 0xFFFFF
+    slot[alone[:-1]] = 1 << 20
+    counts = np.bincount(slot, minlength=(1 << 20) + 1)
+    counts[1 << 20] = 0
+    at = np.flatnonzero(counts[slot] >= least)
+    if not len(at):
+        return None
+    bits = int(len(sym)).bit_length()
+    if bits + 2 * int(symbols).bit_length() < 64:
+        packed = np.sort((code[at] << bits) | at)
+        code, at = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        by = np.argsort(code[at], kind="stable")
+        code, at = code[at][by], at[by]
+    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    n = np.diff(np.concatenate([edge, [len(code)]]))
+    many = n >= least
+    if not many.any():
+        return None
+    pair = code[edge[many]]
+    at = at[np.repeat(many, n)]
+    number = np.full(len(sym), -1, np.int64)
+    number[at] = np.repeat(np.arange(len(pair)), n[many])
+    at = np.flatnonzero(number >= 0)
+    return at, number[at], pair // symbols, pair % symbols
+
+
+def repair(ids: np.ndarray, docs: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, their documents, terms, rules, spans) of one block."""
+    terms = np.flatnonzero(np.bincount(ids, minlength=1))  # ids are numbers of a vocabulary
+    place = np.zeros(int(terms[-1]) + 1 if len(terms) else 0, np.int64)
+    place[terms] = np.arange(len(terms))
+    sym, length = place[ids], np.ones(len(terms), np.int64)
+    rules = np.zeros((0, 2), np.int64)
+    while len(sym) > 1:
+        ends = np.concatenate([docs[1:] != docs[:-1], [True]])
+        found = _repeated(sym, ends, len(length), least)
+        if found is None:
             break
-        best = np.sort(pairs[np.argsort(-n, kind="stable")[:per_round]])
-        place = np.searchsorted(best, code)
-        place[place == len(best)] = 0
-        hit = often & (best[place] == code)
-        at = np.flatnonzero(hit)
+        at, which, left, right = found
         # of overlapping hits in a run, every other one is taken, from the left
-        run = np.concatenate([[True], np.diff(at) != 1])
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[nth % 2 == 0]
-        first = len(rules)
-        length = lambda s: np.where(s < RULE, 1, dense[np.maximum(s - RULE, 0)]) if len(dense) else np.ones(len(s), np.int64)
-        left, right = best >> 26, best & ((1 << 26) - 1)
-        spans.append(length(left) + length(right))
-        dense = np.concatenate(spans)
-        rules += list(zip(left.tolist(), right.tolist(), strict=True))
-        sym[at] = RULE + first + place[at]
+        nth = np.arange(len(at))
+        nth -= np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) != 1]), nth, 0))
+        at, which = at[nth % 2 == 0], which[nth % 2 == 0]
+        # a pair whose places mostly went to its neighbours is left for a later round
+        used = np.bincount(which, minlength=len(left)) >= max(2, least // 2)
+        if not used.any():
+            break
+        at, which = at[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
+        left, right = left[used], right[used]
+        sym[at] = len(length) + which
+        rules = np.concatenate([rules, np.stack([left, right], axis=1)])
+        length = np.concatenate([length, length[left] + length[right]])
         stay = np.ones(len(sym), dtype=bool)
         stay[at + 1] = False
         sym, docs = sym[stay], docs[stay]
-    return sym.astype("<u4"), docs, np.array(rules, dtype="<u4").reshape(-1, 2), dense.astype("<u4")
+    kind = "<u2" if len(length) <= 1 << 16 else "<u4"
+    return sym.astype(kind), docs, terms.astype("<u4"), rules.astype(kind), length[len(terms) :].astype("<u4")
+
+
+def expansions(terms: np.ndarray, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all symbols one after another, where each symbol's begin); rules only use earlier symbols."""
+    n = len(terms)
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(n, np.int64), spans.astype(np.int64)]))])
+    flat = np.empty(int(begin[-1]), dtype="<u4")
+    flat[:n] = terms
+    left, right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
+    level = np.zeros(n + len(rules), np.int64)  # rounds of rules: each level only needs the ones before
+    ready, made = n, n
+    while made < len(level):
+        # rules are stored in order, so the ones whose parts are below ``ready`` are a prefix of the rest
+        late = np.flatnonzero(np.maximum(left[made - n :], right[made - n :]) >= ready)
+        stop = made + (int(late[0]) if len(late) else len(level) - made)
+        for part, shift in ((left[made - n : stop - n], None), (right[made - n : stop - n], left[made - n : stop - n])):
+            size = begin[part + 1] - begin[part]
+            first = begin[made:stop] + (0 if shift is None else begin[shift + 1] - begin[shift])
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            flat[np.repeat(first, size) + inner] = flat[np.repeat(begin[part], size) + inner]
+        ready = made = stop
+    return flat, begin
+
+
+def expand(symbols: np.ndarray, terms: np.ndarray, rules: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Ids that the symbols stand for."""
+    flat, begin = expansions(terms, rules, spans)
+    sym = symbols.astype(np.int64)
+    size = begin[sym + 1] - begin[sym]
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return flat[np.repeat(begin[sym], size) + inner]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Ids that the symbols stand for; one vectorised step for each nesting level."""
-    sym = symbols.astype(np.int64)
-    while (big := sym >= RULE).any():
-        width = np.where(big, 2, 1)
-        first = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), dtype=np.int64)
-        out[first[~big]] = sym[~big]
-        pair = rules[sym[big] - RULE]
-        out[first[big]], out[first[big] + 1] = pair[:, 0], pair[:, 1]
-        sym = out
-    return sym.astype("<u4")
-
-
-def slice_ids(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, start: int, stop: int) -> np.ndarray:
+def slice_ids(symbols: np.ndarray, terms: np.ndarray, rules: np.ndarray, spans: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a document without expanding the symbols before and after them."""
-    width = np.where(symbols >= RULE, spans[np.maximum(symbols.astype(np.int64) - RULE, 0)] if len(spans) else 1, 1)
+    width = np.concatenate([np.ones(len(terms), np.int64), spans.astype(np.int64)])[symbols]
     ends = np.cumsum(width)
     a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], rules)[start - before : stop - before]
+    return expand(symbols[a:b], terms, rules, spans)[start - before : stop - before]
 
 
 def _write(path: str, end: int):
@@ -103,15 +151,15 @@ def _write(path: str, end: int):
         def flush() -> pa.RecordBatch:
             nonlocal held, docs, size, block
             lengths = np.array([len(x) // 4 for x in held], dtype="<i8")
-            sym, owner, rules, spans = repair(np.frombuffer(b"".join(held), dtype="<u4"), np.repeat(np.arange(len(held)), lengths))
+            sym, owner, terms, rules, spans = repair(np.frombuffer(b"".join(held), dtype="<u4"), np.repeat(np.arange(len(held)), lengths))
             offsets = np.searchsorted(owner, np.arange(len(held) + 1)).astype("<i8")
-            keys = np.array([-(1 << 63) if d is None else d for d in docs], dtype="<i8")
-            row = [part, block, int(lengths.sum()), keys.tobytes(), offsets.tobytes(), lengths.tobytes(), sym.tobytes(), rules.tobytes(), spans.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            keys = np.array([d or 0 for d in docs], dtype="<i8")
+            row = [part, block, int(lengths.sum()), *(x.tobytes() for x in (keys, np.array([d is None for d in docs], "u1"), offsets, lengths, terms, sym, rules, spans))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
             held, docs, size, block = [], [], 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = enc.ids(text) + tail
                 held.append(ids)
@@ -127,24 +175,24 @@ def _write(path: str, end: int):
 
 def write_ids(docs: DataFrame, path: str, end: int = 2, tokenizer: str | None = None) -> None:
     """Write the ids of all documents in ascending ``doc_id`` order as grammar blocks under ``path``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_write(tokenizer or default_tokenizer(), end), FILE).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.mapInArrow(tidy(_write(tokenizer or default_tokenizer(), end)), FILE).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind, i=i, batch=batch: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=kind)
-            offsets, rules, n_ids, keys = get("offsets", "<i8"), get("rules", "<u4").reshape(-1, 2), get("n_ids", "<i8"), get("doc_ids", "<i8")
-            data = expand(get("symbols", "<u4"), rules).tobytes()
+            offsets, n_ids, keys, none = get("offsets", "<i8"), get("n_ids", "<i8"), get("doc_ids", "<i8"), get("no_id", "u1")
+            terms, spans = get("terms", "<u4"), get("spans", "<u4")
+            kind = "<u2" if len(terms) + len(spans) <= 1 << 16 else "<u4"
+            data = expand(get("symbols", kind), terms, get("rules", kind).reshape(-1, 2), spans).tobytes()
             ends = np.cumsum(n_ids)
             crc = [zlib.crc32(memoryview(data)[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), n_ids.tolist(), strict=True)]
             size = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, mask=keys == -(1 << 63)), pa.array(np.full(size, batch.column("part")[i].as_py(), np.int32)), pa.array(np.full(size, batch.column("block")[i].as_py(), np.int32)),
+                    pa.array(keys, mask=none == 1), pa.array(np.full(size, batch.column("part")[i].as_py(), np.int32)), pa.array(np.full(size, batch.column("block")[i].as_py(), np.int32)),
                     pa.array(ends - n_ids), pa.array(n_ids), pa.array(crc, pa.int64()), pa.array(np.diff(offsets)),
                 ],
                 names=["doc_id", "part", "block", "within", "n_tokens", "ids_crc32", "n_symbols"],
@@ -160,7 +208,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select(F.col("part").alias("p"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before_part"))
     firsts = sums.select(F.col("part").alias("p"), F.col("block").alias("b"), (F.sum("block_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("block_ids")).alias("before_block"))
     firsts = firsts.join(parts, "p")
-    rows = blocks.mapInArrow(_read, "doc_id long, part int, block int, within long, n_tokens long, ids_crc32 long, n_symbols long")
+    rows = blocks.mapInArrow(tidy(_read), "doc_id long, part int, block int, within long, n_tokens long, ids_crc32 long, n_symbols long")
     rows = rows.join(firsts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
     return rows.select("doc_id", (F.col("before_part") + F.col("before_block") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "n_symbols")
 
