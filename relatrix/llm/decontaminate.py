@@ -28,12 +28,18 @@ from pyspark.sql import functions as F
 SIZE, RADIUS, BLOCKS = 5, 20, 7
 #: Items' shingles up to this many are broadcast (16 bytes each); more are joined by shuffling.
 BROADCAST_SHINGLES = 500_000
-_WORDS = "filter(split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')"
+_LOWER = "if(octet_length(text) = length(text), lower(text), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"  # of ASCII, lower() is the same and faster
+_SPACE = "' \\t\\n\\u000b\\u000c\\r'"
+#: Words of the column ``text``; between the ends no piece is empty.
+_WORDS = f"case when trim(both {_SPACE} from text) <> '' then split(trim(both {_SPACE} from {_LOWER}), '[\\\\x20\\\\x09-\\\\x0D]+') else cast(array() as array<string>) end"
 
 
 def _grams(words: str, k: int) -> str:
-    """Hashes of all k-word shingles of an array column with at least k words."""
-    return f"transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64({', '.join(f'{words}[i - 1 + {j}]' for j in range(k))}))"
+    """Hashes of all k-word shingles of an array column with at least k words; each word is hashed once."""
+    own = f"transform({words}, w -> xxhash64(w))"
+    if k == 1:
+        return own
+    return f"transform(array({own}), h -> transform(sequence(0, size(h) - {k}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(k))})))[0]"
 
 
 def simhash(words: str) -> str:
