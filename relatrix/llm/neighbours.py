@@ -164,9 +164,14 @@ def _nearest(shared, near: int):
     return run
 
 
+def some_of(rows: DataFrame, wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` of ``total`` rows, those of least id hash: told row by row, so tasks send no more than these."""
+    return rows if wanted >= total else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(math.ceil(wanted / total * (1 << 40)))).limit(2 * wanted)
+
+
 def budget(usable: DataFrame, queries: DataFrame, forest: Forest, held: np.ndarray, near: int, probes: int = PROBES, target: float = TARGET) -> int:
     """Vectors that searches have to reach for ``target`` of the exact nearest of some queries."""
-    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+    asked = some_of(queries, probes, queries.count()).collect()
     if not asked:
         return 0
     own = {r["vec_id"]: np.array(r["embedding"]) for r in asked}
@@ -216,7 +221,7 @@ def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int
     usable = usable.where(F.size("embedding") == sizes["d"])
     total = sizes["count"]
     queries = usable.where(is_query).dropDuplicates(["vec_id"])
-    first = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, min(MOST, total // SHARE))).select("vec_id", "embedding").toArrow()
+    first = some_of(usable, max(sample, min(MOST, total // SHARE)), total).select("vec_id", "embedding").toArrow()
     seed, names = _matrix(first.column("embedding").combine_chunks()), first.column("vec_id").to_numpy()
     once = np.sort(np.unique(names, return_index=True)[1])[: max(10 * near, min(MOST, total // SHARE))]
     some = spark.sparkContext.broadcast((names[once], seed[once]))
