@@ -6,12 +6,14 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; on UTF-8 bytes that i
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +117,29 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, returning freed memory to the system at the end: a Python worker serves tasks of all kinds."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
+def pieces(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows that hold about ``limit`` bytes of text each, so that a task's copies of texts stay small."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64))
+    part = (np.cumsum(sizes) // limit).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in zip(edges, edges[1:]):  # noqa: B905
+        yield batch.slice(a, b - a)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

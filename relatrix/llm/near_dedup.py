@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ORDER, chunks, components, cut, mix, shingles, stored, utf8
+from .common import ORDER, chunks, components, cut, mix, pieces, shingles, stored, tidy, utf8
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
@@ -51,7 +51,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         texts, ids = utf8(batch.column("text")), batch.column("doc_id")
         for a, b in chunks(texts, 1 << 21):
             sets = shingles(texts[a:b])
@@ -74,7 +74,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         texts = utf8(batch.column("text"))
         for a, b in chunks(texts, 1 << 22):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([s.tobytes() for s in shingles(texts[a:b])], pa.binary())], names=["doc_id", "shingle_set"])
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, members: int = 512, elem
     (1 - 0.75**4)**32 = 5e-6.
     """
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    signed = stored(docs.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     with_set = signed.where("set_key is not null and doc_id is not null")
     first = with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = with_set.join(first, "set_key")
@@ -162,13 +162,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, members: int = 512, elem
     comps = None
     if not bucket.isEmpty():
         near = docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = stored(near.mapInArrow(_sets, "doc_id long, shingle_set binary").dropDuplicates(["doc_id"]), "sets")
+        sets = stored(near.mapInArrow(tidy(_sets), "doc_id long, shingle_set binary").dropDuplicates(["doc_id"]), "sets")
         lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
         tries = bucket.join(lead, "key").where(f"rep <> lead.rep and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
         pairs = tries.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
         pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
         pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
-        comps = components(cut(pairs.mapInArrow(_confirm(percent), "u long, v long")))  # one Python worker a task
+        comps = components(cut(pairs.mapInArrow(tidy(_confirm(percent)), "u long, v long")))  # one Python worker a task
         moved = bucket.join(comps, bucket.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         several = moved.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         apart = _blocks(cut(moved.join(several, "key", "left_semi")), members, elements)

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, tidy
 from .tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -136,7 +137,7 @@ def _pack(path: str, size: int, end: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
 
         row = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = enc.ids(text) + tail
                 ids[row], owed[row] = (doc, data), len(data) // 4
@@ -152,4 +153,4 @@ def _pack(path: str, size: int, end: int):
 def pack_documents(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None) -> DataFrame:
     """Pieces of documents in sequences of at most ``size`` tokens; ``tokenizer`` is a vocabulary file every executor has."""
     path = tokenizer or default_tokenizer()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(path, size, end), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_pack(path, size, end)), PIECES)

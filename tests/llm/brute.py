@@ -77,33 +77,43 @@ def repeats(rows, least=100):
     return out
 
 
-def lines(rows):
-    owner, holders = {}, defaultdict(set)
+def line_texts(rows):
+    """Each row's text without the lines that a smaller doc_id holds; rows without id keep all and own none."""
+    holders = defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UPPER)
     for d, t in rows:
-        for x in (t or "").split("\n"):
+        for x in (t or "").split("\n") if d is not None else ():
             if len(k := key(x)) >= 10:
                 holders[k].add(d)
     owner = {k: min(v) for k, v in holders.items() if len(v) > 1}
+    return ["\n".join(x for x in (t or "").split("\n") if d is None or owner.get(key(x), d) == d) for d, t in rows]
+
+
+def lines(rows):
     out = {}
-    for d, t in rows:
-        own = (t or "").split("\n")
-        kept = [x for x in own if owner.get(key(x), d) == d]
-        out[d] = (len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    for (d, t), kept in zip(rows, line_texts(rows), strict=True):
+        n = (t or "").count("\n") + 1
+        stay = 0 if kept == "" and t else kept.count("\n") + 1
+        if kept == "" and t:  # all lines are gone, or empty lines stay
+            own = (t or "").split("\n")
+            stay = 1 if own == [""] else sum(x == "" for x in own)
+        out[d] = (n, n - stay, hashlib.sha256(kept.encode()).hexdigest())
     return out
 
 
-def base_scores(rows):
-    c = Counter()
+def base_scores_by_row(rows):
+    c, held = Counter(), lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     for d, t in rows:
-        if zlib.crc32(str(d).encode()) % 10:
+        if not held(d):
             c.update([*words(t), "\n"])
     n, v = sum(c.values()), len(c)
-    out = {}
     for d, t in rows:
         w = [*words(t), "\n"]
-        out[d] = (zlib.crc32(str(d).encode()) % 10 == 0, len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-    return out
+        yield d, t, (held(d), len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+
+
+def base_scores(rows):
+    return {d: out for d, _, out in base_scores_by_row(rows)}
 
 
 def contaminated(docs, items, percent=75):

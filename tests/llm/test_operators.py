@@ -1,6 +1,8 @@
 """The training-data operators against plain versions, on the smallest tables and on odd rows."""
 
+import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,7 +44,7 @@ def both(docs, odd):
 def test_language_model(docs, odd):
     for df in both(docs, odd):
         want = brute.base_scores(rows_of(df))
-        got = language_model.score_documents(df, passes=1, start_docs=50).collect()
+        got = language_model.score_documents(df, passes=1).collect()
         assert len(got) == len(want)
         for r in got:
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
@@ -51,6 +53,17 @@ def test_language_model(docs, odd):
     assert held[0] > held[1]
 
 
+def test_language_model_of_odd_tables(spark):
+    """More frequent words than the end token by far, rows of one id with different texts, null ids."""
+    many = " ".join(f"w{i}" for i in range(9000))
+    rows = [(3, many + " " + many), (4, many + " " + many), (5, "w1 w2 never1"), (5, "w3 " * 7), (5, None), (None, "w1 new"), (6, "zz " * 200_000)]
+    want = Counter()
+    for d, t, ref in brute.base_scores_by_row(rows):
+        want[d, ref[0], ref[1], ref[2], ref[3], round(ref[4], 4)] += 1
+    got = language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), passes=1).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(1)
     start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T
@@ -122,8 +135,8 @@ def test_decontaminate_tries_every_start(spark, docs):
         text = [*new[:first], *own[first : n // 2], *new[first : first + middle], *own[n // 2 : n - last], *new[-last:]]
         edited.append((i, " ".join(["before"] * 30 + text + ["after"] * 30)))
         plain.append((i, " ".join(own)))
-    odd = [(10, "x y " * 60), (11, "p " * 40 + "x y " * 9), (12, "y x y x y x y"), (13, "a b"), (14, None)]
-    plain += [(20, "x y " * 10), (21, "x y x y x y"), (22, "a b c d e f"), (23, "p"), (24, "")]
+    odd = [(10, "x y " * 60), (11, "p " * 40 + "x y " * 9), (12, "y x y x y x y"), (13, "a b"), (14, None), (15, "\x0b\x0cx y x y\x0cb f\x0b x0b É\r"), (16, " \t\x0c ")]
+    plain += [(20, "x y " * 10), (21, "x y x y x y"), (22, "a b c d e f"), (23, "p"), (24, ""), (25, "X Y x y b F x0b É"), (26, "f"), (27, "b f x0b é")]
     want = brute.contaminated_anywhere([*edited, *odd], plain)
     assert {(0, 0), (1, 1), (2, 2)} <= set(want)
     frames = [spark.createDataFrame(x, f"{c} long, text string") for x, c in ((edited + odd, "doc_id"), (plain, "item_id"))]
@@ -141,6 +154,35 @@ def test_repeats(docs, odd):
         assert got == want
 
 
+def test_repeats_of_repeated_ids(spark):
+    """Rows of one id with different texts are documents of their own; equal rows share one result."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(n))
+    p, q = word(40), word(40)
+    rows = [(1, p), (2, p), (2, q), (3, q + p), (3, q + p), (None, p), (None, q), (4, word(3) + p[:120]), (5, None), (5, p[20:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    version = {(r.doc_id, r.text): r.v for r in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) v").collect()}
+    once = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], version[r]))
+    plain = brute.repeats([(i, t) for i, (_, t) in enumerate(once)])
+    want = Counter((d, *plain[once.index((d, t))]) if d is not None else (d, len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for d, t in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in repeats.remove_repeats(df).collect()) == want
+
+
+def test_meetings_of_an_anchor_that_fills_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BLOCK_SEGMENTS", 4)
+    kinds = [(a, c) for a, n in ((1, 1), (2, 3), (3, 11), (4, 4), (5, 5)) for c in range(n)]
+    rows = sorted((a, c, d, 0, (5 << 7) | 3) for a, c in kinds for d in ((1, 2) if c % 2 else (1,)))
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size], strict=True)], names=list("abcde")) for i in range(0, len(rows), size)]
+        out = [r for b in repeats._meet(iter(batches)) for r in b.to_pylist()]
+        assert sum(r["anchor"] is None for r in out) == sum(c % 2 for _, c in kinds)
+        met = Counter((r["anchor"], r["several"]) for r in out if r["anchor"] is not None)
+        assert met == {(2, False): 3, (3, True): 11, (4, False): 4, (5, True): 5}
+        assert max(Counter((r["anchor"], r["block"]) for r in out if r["anchor"] is not None).values()) <= 4
+
+
 def test_common_prefix_bounds():
     text = np.frombuffer(b"abracadabra" * 30 + b"xyz", dtype=np.uint8).astype(np.int64) + 1
     order = repeats.suffix_order(text)
@@ -184,11 +226,28 @@ def test_grammar_round_trip(docs, odd):
 def test_grammar_random_access():
     rng = np.random.default_rng(2)
     ids = np.tile(rng.integers(0, 50, 40), 60).astype("<u4")
-    sym, docs, rules, spans = grammar.repair(ids, np.zeros(len(ids), int))
+    sym, docs, terms, rules, spans = grammar.repair(ids, np.zeros(len(ids), int))
     assert len(sym) < len(ids) / 4
-    assert (grammar.expand(sym, rules) == ids).all()
+    assert (grammar.expand(sym, terms, rules, spans) == ids).all()
     for a, b in ((0, 5), (17, 1203), (2399, 2400)):
-        assert (grammar.slice_ids(sym, rules, spans, a, b) == ids[a:b]).all()
+        assert (grammar.slice_ids(sym, terms, rules, spans, a, b) == ids[a:b]).all()
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(9)
+    ids, owner = (rng.zipf(1.3, 30_000) % 300).astype("<u4"), np.sort(rng.integers(0, 40, 30_000))
+    sym, docs, terms, rules, spans = grammar.repair(ids, owner)
+    assert (grammar.expand(sym, terms, rules, spans) == ids).all()
+    pairs, last = Counter(), {}
+    for i in range(len(sym) - 1):  # occurrences that do not overlap
+        p = (int(sym[i]), int(sym[i + 1]))
+        if docs[i] == docs[i + 1] and last.get(p) != i - 1:
+            pairs[p] += 1
+            last[p] = i
+    assert max(pairs.values()) < 2 * grammar.LEAST
+    for r, (a, b) in enumerate(rules.tolist()):
+        assert max(a, b) < len(terms) + r
+        assert spans[r] == sum(1 if x < len(terms) else spans[x - len(terms)] for x in (a, b))
 
 
 def test_packing(docs, odd):
@@ -230,7 +289,37 @@ def test_toxicity(spark, docs, odd):
     model = toxicity.learn(train)
     assert any(f.startswith("idi") for f in model["lexicon"])
     said = dict(toxicity.Reader({"idiot$": 5.0}).clauses("You are not an idiot. He said: idiot!"))
-    assert said == {"negated+target": 5.0, "reported+target": 5.0}
+    assert said == {"aimed negated insult": pytest.approx(3.0), "aimed reported insult": pytest.approx(3.0)}
+
+
+def test_toxicity_reads_whole_clauses():
+    reader = toxicity.Reader({"idiot$": 4.0, "moron$": 6.0, toxicity.THREAT_KEY: 5.0}, {"aimed insult": 1.5})
+    far = "word " * 500
+    assert reader.clauses(f"you {far} idiot") == [("aimed insult", 6.0)]
+    assert reader.clauses(f"he said {far} idiot") == [("aimed reported insult", pytest.approx(4 * 0.5 * 1.2))]
+    assert reader.clauses("not an idiot but a moron") == [("insult", 6.0)]  # the strongest hit, with its own reading
+    assert reader.clauses("he is not a moron") == [("aimed negated insult", pytest.approx(6 * 0.5 * 1.2))]
+    assert reader.clauses("I will hurt you. We hurt. I will not kill it") == [("aimed threat", pytest.approx(6.0)), ("negated threat", pytest.approx(2.5))]
+    assert reader.clauses("said not a real idiot") == [("reported negated insult", pytest.approx(1.0))]
+    assert reader.clauses("") == reader.clauses(". .\n") == []
+    for kind, want in (("aimed reported negated insult", 0.3), ("threat", 1.0), ("negated insult", 0.5)):
+        assert toxicity.prior(kind) == pytest.approx(want)
+
+
+def test_toxicity_contract(spark):
+    rows = [(i, f"the {'idiot' if i % 8 == 0 else 'fox'} number{i} of plain{i} words{i}") for i in range(400)] + [(8, "a fox again"), (None, "idiot"), (None, None), (900, None), (901, " ")]
+    docs = spark.createDataFrame([(d, t, 0.5, "x") for d, t in rows], "doc_id long, text string, score double, toxic string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(400)] + [(7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 3 == 1
+    assert Counter((r.doc_id, r.held_out) for r in got) == Counter((d, held(d)) for d, _ in rows)
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id for r in got if r.score >= 0.7} == {*range(0, 400, 8), None}
+    kept = toxicity.keep_civil(docs, labels)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.score < 0.7)
+    # labels of held-out rows teach nothing
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert Counter((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, flipped).collect()) == Counter((r.doc_id, r.score) for r in got)
 
 
 def test_neighbours(spark):
