@@ -19,10 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document holds; ``n_chars`` follows the text, null texts stay null."""
-    out = line_dedup.dedup_lines(docs.withColumn("_null", F.col("text").isNull()), keep=["_null", *docs.columns])
-    text = F.when(~F.col("_null"), F.col("kept_text"))
-    new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(docs, keep=[c for c in docs.columns if c != "text"])
+    text = F.when(~F.col("absent"), F.col("kept_text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
