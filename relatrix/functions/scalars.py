@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Corporate forms stripped from names.
-CORPORATE_FORMS = r"(?i)\(주\)|㈜|주식회사|유한회사|\(유\)|\bCo\.?,?\s*Ltd\.?|\bInc\.?|\bCorp\.?|\bLtd\.?|\bLLC\b|\(Co\)"
+#: Corporate forms stripped from names, and what is stripped before a name is compared with its own company's.
+CORPORATE_FORMS = r"(?i)주식회사|㈜|\(주\)|株式会社|Co\.,?\s*Ltd\.?|Inc\.?|Corp\.?|Ltd\.?"
+OWN_FORMS = r"주식회사|㈜|\(주\)|\(주식회사\)|\s+"
 #: Report codes by priority, and the quarter each closes.
 REPORT_PRIORITY = {"11011": 4, "11014": 3, "11012": 2, "11013": 1}
 REPORT_QUARTER = {"11013": 1, "11012": 2, "11014": 3, "11011": 4}
@@ -40,8 +41,13 @@ def synthetic_code(name: Column) -> Column:
 
 
 def canonical_name(name: Column) -> Column:
-    """Corporate forms removed, spaces squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, CORPORATE_FORMS, " "), r"\s+", " "))
+    """Corporate forms removed, spaces squeezed; NULL gives an empty name."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), CORPORATE_FORMS, ""), r"\s+", " "))
+
+
+def own_name(name: Column) -> Column:
+    """FIL4: a name without the forms and spaces that do not make it another company's."""
+    return F.regexp_replace(F.coalesce(name, F.lit("")), OWN_FORMS, "")
 
 
 def aggressive_name(name: Column) -> Column:
@@ -74,13 +80,11 @@ def to_float(raw: Column) -> Column:
 
 
 def parse_date_loose(raw: Column) -> Column:
-    """ISO text of y.m.d, y/m/d, y-m-d or yyyymmdd; NULL otherwise."""
-    text = F.trim(raw)
-    part = lambda i: F.regexp_extract(text, r"^(\d{4})[.\-/\s]*(\d{1,2})[.\-/\s]*(\d{1,2})$", i)
-    solid = text.rlike(r"^\d{8}$")
-    loose = text.rlike(r"^\d{4}[./\-]\s*\d{1,2}[./\-]\s*\d{1,2}$")
+    """ISO text of a date that the text begins with (y.m.d, y/m/d or y-m-d), or that it is (yyyymmdd); NULL otherwise."""
+    text = F.regexp_replace(F.regexp_replace(raw, "[./]", "-"), r"\s+", "")
+    part = lambda i: F.regexp_extract(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})", i)
     iso = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    return F.when(solid, F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))).when(loose, iso)
+    return F.when(text.rlike(r"^\d{8}$"), F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).when(part(1) != "", iso)
 
 
 def format_time(raw: Column) -> Column:
@@ -99,12 +103,19 @@ def change_percent(now: Column, before: Column) -> Column:
     return F.when(before.isNotNull() & (before != 0), (now - before) / F.abs(before) * 100)
 
 
+#: Marks without width and no-break spaces; brackets with Chinese characters; lines that are page numbers.
+NO_WIDTH = "[\u200b\u200c\u200d\ufeff\u00a0]"
+HANJA_BRACKETS = r"\(\s*[^()]*[一-鿿][^()]*\)"
+PAGE_LINE = r"(?Ui)^\s*(?:-\s*)?(?:p\.?\s*)?\d{1,4}(?:\s*-)?\s*$"
+
+
 def normal_text(text: Column) -> Column:
-    """Zero-width marks and no-break spaces, page-number lines, runs of spaces and newlines."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[​‌‍﻿]", "")
-    t = F.regexp_replace(t, " ", " ")
-    t = F.regexp_replace(t, r"(?m)^\s*-?\s*\d{1,4}\s*-?\s*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Marks without width, bracketed Chinese and page-number lines go; spaces and empty lines are squeezed; NULL gives an empty text."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NO_WIDTH, ""), HANJA_BRACKETS, "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(PAGE_LINE))
+    t = F.array_join(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n")
+    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def strip_tags(xml: Column) -> Column:
@@ -132,7 +143,7 @@ def token_difference(a: Column, b: Column) -> Column:
 
 def is_blank(value: Column) -> Column:
     """Values that stand for nothing."""
-    return value.isNull() | F.trim(value).isin("", "-", "—", "해당없음", "해당사항없음", "N/A", "null", "None")
+    return value.isNull() | F.trim(value).isin("", "-", "—", "None", "null", "N/A")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -163,9 +174,10 @@ def alias_forms(name: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: F.length(x) > 0))
 
 
-def node_kind(node: Column, seed: Column, labels: Column) -> Column:
-    """PRJ6: seed, person, product, registered company (8 digits), else news entity."""
-    return F.when(node == seed, "seed").when(F.array_contains(labels, "Person"), "person").when(F.array_contains(labels, "Product"), "product").when(node.rlike(r"^\d{8}$"), "company").otherwise("news_entity")
+def node_kind(node: Column, is_seed: Column) -> Column:
+    """PRJ6: kind of a node by its id: seed, person, product, organisation (8 digits), else news entity, else organisation."""
+    kind = F.when(is_seed, "seed").when(node.startswith("news:per"), "person").when(node.startswith("news:prod"), "product")
+    return kind.when(node.rlike(r"^\d{8}$"), "org").when(node.startswith("news:"), "news_entity").otherwise("org")
 
 
 def noisy_surface(text: Column) -> Column:

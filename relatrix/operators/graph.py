@@ -13,10 +13,16 @@ from ..functions import scalars as S
 
 #: Predicates of the display groups.
 GROUPS = {
-    "COMPETES_WITH": "compete", "SUPPLIES": "supply", "BUYS_FROM": "supply", "PARTNERS_WITH": "partner", "UNIT_OF": "govern", "EXECUTIVE_OF": "govern",
-    "IS_MAJOR_SHAREHOLDER_OF": "govern", "IS_SUBSIDIARY_OF": "govern", "AFFILIATED_WITH": "govern", "INVESTS_IN": "invest", "DISPUTES_WITH": "dispute", "REGULATES": "dispute",
+    "SUPPLIES": "supply", "CUSTOMER_OF": "supply",
+    "COMPETES_WITH": "compete",
+    "PARTNERS_WITH": "partner", "JV_WITH": "partner", "LICENSES": "partner",
+    "INVESTS_IN": "invest", "ACQUIRES": "invest",
+    "IS_SUBSIDIARY_OF": "govern", "IS_MAJOR_SHAREHOLDER_OF": "govern", "AFFILIATED_WITH": "govern",
+    "LITIGATION": "dispute",
 }
-FUND_WORDS = r"(?i)펀드|투자조합|신탁|사모|fund|trust|partners|capital"
+#: Predicates drawn with an arrow; words of a fund's name.
+DIRECTED = ("SUPPLIES", "CUSTOMER_OF", "INVESTS_IN", "ACQUIRES", "IS_SUBSIDIARY_OF", "IS_MAJOR_SHAREHOLDER_OF")
+FUND_WORDS = r"신기술투자조합|SVIC|투자조합|펀드"
 ABBREVIATION = r"^[A-Za-z][A-Za-z0-9\-]{1,7}$"
 
 
@@ -27,17 +33,19 @@ def group_of(predicate: Column, default: str | None = None) -> Column:
 
 
 def visible_edges(edges: DataFrame, least: int = 2) -> DataFrame:
-    """FIL1 to FIL3: news edges with enough evidence (NULL counts as 1), filing edges but investments without stake."""
-    news = edges.where(F.col("extracted_by").isNotNull() & (F.coalesce("evidence_count", F.lit(1)) >= least)).withColumn("weight", F.col("evidence_count").cast("double")).withColumn("source", F.lit("news"))
-    filed = edges.where(F.col("extracted_by").isNull() & ~((F.col("type") == "INVESTS_IN") & (F.coalesce("stake", F.lit(0.0)) <= 0))).withColumn("weight", F.coalesce("stake", F.lit(1.0)).cast("double")).withColumn("source", F.lit("filing"))
-    return news.unionByName(filed)
+    """FIL1 to FIL3: news edges with enough evidence (NULL counts as 1), filing edges but investments without stake; one pass."""
+    news = F.col("extracted_by").isNotNull()
+    shown = F.when(news, F.coalesce("evidence_count", F.lit(1)) >= least).otherwise(~((F.col("type") == "INVESTS_IN") & (F.coalesce("stake", F.lit(0.0)) <= 0)))
+    weight = F.when(news, F.col("evidence_count").cast("double")).otherwise(F.coalesce("stake", F.lit(1.0)).cast("double"))
+    return edges.where(shown).withColumn("weight", weight).withColumn("source", F.when(news, "news").otherwise("filing"))
 
 
 def around(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """JON9, JON11, PRJ2: one row per orientation seen from a seed; an edge between two seeds gives two rows."""
-    out = edges.withColumn("centre", F.col("src")).withColumn("neighbour", F.col("dst"))
-    back = edges.withColumn("centre", F.col("dst")).withColumn("neighbour", F.col("src")).where("src <> dst")
-    return out.unionByName(back).join(F.broadcast(seeds) if seeds.columns == ["centre"] and _small(seeds) else seeds, "centre", "left_semi")
+    end = lambda a, b: F.struct(F.col(a).alias("centre"), F.col(b).alias("neighbour"))
+    ends = F.when(F.col("src") == F.col("dst"), F.array(end("src", "dst"))).otherwise(F.array(end("src", "dst"), end("dst", "src")))
+    rows = edges.withColumn("_end", F.explode(ends)).select(*edges.columns, "_end.centre", "_end.neighbour")
+    return rows.join(F.broadcast(seeds) if seeds.columns == ["centre"] and _small(seeds) else seeds, "centre", "left_semi")
 
 
 def _small(seeds: DataFrame, limit: int = 100_000) -> bool:
@@ -45,25 +53,28 @@ def _small(seeds: DataFrame, limit: int = 100_000) -> bool:
 
 
 def collapses(name: Column, known: Column) -> Column:
-    """FIL5: fund words collapse, known names do not, else short Latin abbreviations do."""
+    """FIL5: fund words collapse; names of the dictionary, or with a logo, do not; else short Latin abbreviations do."""
     return F.when(name.rlike(FUND_WORDS), True).when(known, False).otherwise(name.rlike(ABBREVIATION))
 
 
 def ego_graph(edges: DataFrame, seeds: DataFrame, known: DataFrame, cap: int = 12) -> DataFrame:
     """GRA1: links of each seed's map - capped groups, kept investments, and one collapse link to a meta node.
 
-    ``known``: (name) of dictionary names, which never collapse.
+    ``known``: (name) of names in the dictionary or with a logo, which never collapse. Shown and hidden rows come from one
+    window, so the edges are read once.
     """
     rows = around(visible_edges(edges), seeds).withColumn("grp", group_of(F.col("type"))).where(F.col("grp").isNotNull() & (F.col("neighbour") != F.col("centre")))
-    rows = rows.where(~((S.aggressive_name(F.col("neighbour")) == S.aggressive_name(F.col("centre"))) & (S.aggressive_name(F.col("centre")) != "")))
-    rows = rows.join(known.select(F.col("name").alias("neighbour")).distinct().withColumn("is_known", F.lit(True)), "neighbour", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
-    hidden = (F.col("grp") == "govern") | ((F.col("grp") == "invest") & collapses(F.col("neighbour"), F.col("is_known")))
-    rows = rows.withColumn("hidden", hidden)
-    order = Window.partitionBy("centre", "grp").orderBy(F.desc("weight"), "neighbour", "type", "source")
-    shown = rows.where("not hidden").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
-    links = shown.select("centre", "neighbour", "grp", "type", "source", "weight", "rank")
-    meta = rows.where("hidden").select("centre", "neighbour").distinct().join(shown.select("centre", "neighbour").distinct(), ["centre", "neighbour"], "left_anti")
-    meta = meta.groupBy("centre").agg(F.count("*").cast("double").alias("weight"))
+    rows = rows.where((S.own_name(F.col("neighbour")) == "") | (S.own_name(F.col("neighbour")) != S.own_name(F.col("centre"))))
+    names = known.select(F.lower(S.own_name(F.col("name"))).alias("key")).distinct().withColumn("is_known", F.lit(True))
+    rows = rows.withColumn("key", F.lower(S.own_name(F.col("neighbour")))).join(names, "key", "left")
+    hidden = (F.col("grp") == "govern") | ((F.col("grp") == "invest") & collapses(F.col("neighbour"), F.coalesce("is_known", F.lit(False))))
+    order = Window.partitionBy("centre", "grp", "hidden").orderBy(F.desc("weight"), "neighbour", "type", "source")
+    rows = rows.withColumn("hidden", hidden).withColumn("rank", F.row_number().over(order))
+    pair = Window.partitionBy("centre", "neighbour")
+    rows = rows.withColumn("shown", ~F.col("hidden") & (F.col("rank") <= cap)).withColumn("seen", F.max("shown").over(pair))
+    rows = rows.withColumn("first", F.row_number().over(pair.orderBy(F.desc("hidden"), "type", "source")) == 1)
+    links = rows.where("shown").select("centre", "neighbour", "grp", "type", "source", "weight", "rank")
+    meta = rows.where("hidden and not seen and first").groupBy("centre").agg(F.count("*").cast("double").alias("weight"))
     meta = meta.select("centre", F.concat(F.lit("__meta:govern:"), "centre").alias("neighbour"), F.lit("govern").alias("grp"), F.lit("META").alias("type"), F.lit("meta").alias("source"), "weight", F.lit(1).alias("rank"))
     return links.unionByName(meta)
 
@@ -137,5 +148,6 @@ def subsidiaries(edges: DataFrame, least: float = 50.0) -> DataFrame:
 
 
 def tier(validity: Column, confidence: Column, evidence: Column, many_sources: Column, event: Column) -> Column:
-    """ENT10: event, statement (sources or confidence), relation (validity), else plain edge."""
-    return F.when(event, "event").when(many_sources | (evidence >= 2), "statement").when(validity | confidence, "relation").otherwise("edge")
+    """ENT10: event; without any trigger a plain edge; with two or more documents or sources a relation; else a statement."""
+    strong = (F.coalesce(evidence, F.lit(1)) >= 2) | many_sources
+    return F.when(event, "event").when(~(validity | confidence | strong), "edge").when(strong, "relation").otherwise("statement")

@@ -36,7 +36,7 @@ def gra1_ego_graph(read):
 
 @query("""WITH a AS (SELECT src AS centre, dst AS neighbour, evidence_count, stake FROM edges WHERE type IN ('INVESTS_IN', 'SUPPLIES') UNION ALL SELECT dst, src, evidence_count, stake FROM edges WHERE type IN ('INVESTS_IN', 'SUPPLIES') AND src <> dst),
 s AS (SELECT concat('N', CAST(n_nationkey AS VARCHAR)) AS centre FROM nation), b AS (SELECT a.centre, neighbour, max(CASE WHEN coalesce(CAST(evidence_count AS DOUBLE), stake, 1.0) = 0 THEN 1.0 ELSE coalesce(CAST(evidence_count AS DOUBLE), stake, 1.0) END) AS weight FROM a JOIN s ON a.centre = s.centre GROUP BY a.centre, neighbour),
-r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY regexp_matches(neighbour, '(?i)fund|trust|partners|capital'), weight DESC, neighbour) AS rank FROM b)
+r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY regexp_matches(neighbour, '신기술투자조합|SVIC|투자조합|펀드'), weight DESC, neighbour) AS rank FROM b)
 SELECT centre, neighbour, weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 30 UNION ALL SELECT centre, 'etc', CAST(count(*) AS DOUBLE), 31 FROM r WHERE rank > 30 GROUP BY centre""")
 def gra2_meta_members(read):
     return G.meta_members(read("edges"), _nations(read), ["INVESTS_IN", "SUPPLIES"]).select("centre", "neighbour", "weight", F.col("rank").cast("int").alias("rank"))
@@ -86,7 +86,7 @@ def ent13_subsidiaries(read):
     return G.subsidiaries(read("edges"), 8.0).withColumn("stake", F.round("stake", 6))
 
 
-@query("SELECT tier, count(*) AS n FROM (SELECT CASE WHEN type = 'COMPETES_WITH' AND stake > 8 THEN 'event' WHEN evidence_count >= 2 THEN 'statement' WHEN first_day < last_day OR stake > 5 THEN 'relation' ELSE 'edge' END AS tier FROM edges) GROUP BY tier")
+@query("SELECT tier, count(*) AS n FROM (SELECT CASE WHEN type = 'COMPETES_WITH' AND stake > 8 THEN 'event' WHEN evidence_count >= 2 THEN 'relation' WHEN first_day < last_day OR stake > 5 THEN 'statement' ELSE 'edge' END AS tier FROM edges) GROUP BY tier")
 def ent10_tiers(read):
     kind = G.tier(F.col("first_day") < F.col("last_day"), F.col("stake") > 5, F.col("evidence_count"), F.lit(False), (F.col("type") == "COMPETES_WITH") & (F.col("stake") > 8))
     return read("edges").groupBy(kind.alias("tier")).agg(F.count("*").alias("n"))

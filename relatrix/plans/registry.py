@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -76,8 +77,19 @@ def query(sql: str | None = None):
     return add
 
 
+def by_case(key: str, values: list) -> Column:
+    """The value at place ``key`` mod (number of values): raw forms of a field, spread over a table's rows."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def sql_case(key: str, values: list) -> str:
+    """The same in SQL, for the values that are expected."""
+    shown = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values]
+    return f"CAST([{', '.join(shown)}][{key} % {len(values)} + 1] AS {'VARCHAR' if any(isinstance(v, str) for v in values) else 'BOOLEAN' if any(isinstance(v, bool) for v in values) else 'BIGINT' if any(isinstance(v, int) for v in values) else 'DOUBLE'})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gra1_ego_graph"](spark, sf_dir)
 
 
-from . import graph_plans, metric_plans, scalar_plans, sentence_plans, store_plans, text_plans  # noqa: E402, F401
+from . import extraction_plans, graph_plans, metric_plans, record_plans, scalar_plans, sentence_plans, store_plans, text_plans  # noqa: E402, F401

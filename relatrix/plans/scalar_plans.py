@@ -40,11 +40,11 @@ def s15_s18_s38_dates(read):
     return read("orders").select(F.col("o_orderkey").alias("id"), S.parse_date_loose(raw).alias("loose"), S.format_time(solid).alias("shown"), S.url_date(url).alias("url_day"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN concat(printf('%.1f', (p_partkey + 1) * 1e12 / 1e12), '조') WHEN p_partkey % 3 = 1 THEN concat(printf('%.0f', (p_partkey + 1) * 1e8 / 1e8), '억') ELSE concat(CAST(p_partkey + 1 AS VARCHAR), '원') END AS label FROM part WHERE p_partkey < 9000""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN concat(printf('%.1f', (p_partkey + 1) * 1e12 / 1e12), '조') WHEN p_partkey % 3 = 1 THEN concat(printf('%.0f', (p_partkey + 1) * 1e8 / 1e8), '억') ELSE concat(CAST(p_partkey + 1 AS VARCHAR), '원') END AS label  FROM part""")
 def prj8_s20_money(read):
     k = F.col("p_partkey") % 3
     won = (F.col("p_partkey") + 1) * F.when(k == 0, 1e12).when(k == 1, 1e8).otherwise(1.0)
-    return read("part").where("p_partkey < 9000").select(F.col("p_partkey").alias("id"), S.money_label(won).alias("label"))
+    return read("part").select(F.col("p_partkey").alias("id"), S.money_label(won).alias("label"))
 
 
 @query("""SELECT doc_id, corp, strftime(ts, '%Y-%m-%d') AS day, json_extract_string(metadata, '$.k') AS k, substring(coalesce(metadata, ''), 1, 6) AS cut FROM docs""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import retrieval as R
 from ..sources import readers
-from .registry import query
+from .registry import by_case, query, sql_case
 
 _COS = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))))"
 _DENSE = f"""s AS (SELECT q.vec_id AS qid, v.vec_id, v.label, {_COS} AS score FROM vectors q CROSS JOIN vectors v WHERE q.vec_id % 50 = 0), d AS (SELECT qid, vec_id, label, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)"""
@@ -102,8 +102,10 @@ def s26_strip_tags(read):
     return read("pages").select("page_id", F.length(S.strip_tags(F.col("html"))).cast("long").alias("n"))
 
 
-@query("SELECT CASE WHEN page_id % 7 = 0 THEN 'http_404' WHEN page_id % 5 = 0 THEN 'no_data' WHEN page_id % 3 = 0 THEN 'rate_limited' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY ALL")
+_CODES = [("000", "ok"), ("013", "no_data"), ("010", "key_error"), ("011", "key_error"), ("020", "rate_limit"), ("100", "bad_param"), ("101", "bad_param"), ("800", "maintenance"), ("900", "unknown_error"), ("021", "unknown_error"), (None, "unknown_error"), ("http_404", "http_error"), ("parse_error", "parse_error")]
+
+
+@query(f"SELECT CASE WHEN page_id % 17 = 0 THEN 'ok' ELSE {sql_case('page_id', [b for _, b in _CODES])} END AS status, count(*) AS n FROM pages GROUP BY ALL")
 def src32_classify(read):
-    k = F.col("page_id")
-    code = F.when(k % 5 == 0, "013").when(k % 3 == 0, "020").otherwise("000")
-    return read("pages").groupBy(readers.classify(code, F.lit(False), F.when(k % 7 == 0, 404).otherwise(200)).alias("status")).agg(F.count("*").alias("n"))
+    status = readers.classify(by_case("page_id", [a for a, _ in _CODES]), F.col("page_id") % 17 == 0)
+    return read("pages").groupBy(status.alias("status")).agg(F.count("*").alias("n"))

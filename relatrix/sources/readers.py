@@ -42,9 +42,20 @@ def dispatch(name: Column, patterns: list[tuple[str, str]]) -> Column:
     return out
 
 
-def classify(code: Column, binary: Column, http: Column) -> Column:
-    """SRC32: response status."""
-    return F.when(binary, "ok").when(http >= 400, F.concat(F.lit("http_"), http.cast("string"))).when(code.isNull(), "parse_error").when(code == "000", "ok").when(code == "013", "no_data").when(code.isin("020", "021"), "rate_limited").when(code.isin("010", "011", "012"), "key_error").otherwise(F.concat(F.lit("error_"), code))
+#: Response codes and what they mean.
+STATUS = {
+    "000": "ok", "013": "no_data",
+    "010": "key_error", "011": "key_error",
+    "020": "rate_limit", "100": "bad_param", "101": "bad_param",
+    "800": "maintenance", "900": "unknown_error",
+}
+
+
+def classify(code: Column, binary: Column) -> Column:
+    """SRC32: status of a response; a code is a number, "http_404" or "parse_error"; "key_error" stands for a run that must stop."""
+    table = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    known = F.coalesce(F.try_element_at(table, code), F.lit("unknown_error"))
+    return F.when(binary, "ok").when(code.startswith("http_"), "http_error").when(code == "parse_error", "parse_error").otherwise(known)
 
 
 class _Body(HTMLParser):
