@@ -69,29 +69,11 @@ def txt1_win14_scan(read):
     return R.dictionary_scan(read("chunks"), _SURFACES).groupBy("doc_id", "etype", "surface").agg(F.count("*").alias("hits"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM chunks), w AS (SELECT doc_id, pos, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS held FROM l)
-SELECT doc_id, CAST(floor((held - 1) / 1500) AS BIGINT) AS chunk, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM w WHERE length(line) > 0 GROUP BY ALL""")
-def txt6_line_chunks(read):
-    lines = read("chunks").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
-    held = F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("chunk", F.floor((held - 1) / 1500)).where("n > 0").groupBy("doc_id", "chunk").agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("chars"))
-
-
 @query("SELECT doc_id, md5(concat(source, ' ', lang, chr(10), chr(10), text)) AS digest FROM chunks")
 def txt8_prefix(read):
     return read("chunks").select("doc_id", F.md5(F.concat_ws(" ", "source", F.concat("lang", F.lit("\n\n"), "text"))).alias("digest"))
 
 
-@query("SELECT CAST(floor((rn - 1) / 10) AS BIGINT) AS batch, count(*) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, rn FROM (SELECT doc_id, doc_id + 1 AS rn FROM chunks)) GROUP BY ALL")
-def txt20_batches(read):
-    return read("chunks").groupBy(F.floor(F.col("doc_id") / 10).alias("batch")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
-
-
-@query("SELECT l.doc_id, CAST(max(CASE WHEN regexp_matches(c.text, 'http|www|@') THEN 1 ELSE 0 END) AS INT) AS triggered FROM labels l JOIN chunks c USING (doc_id) GROUP BY l.doc_id")
-def txt2_triggers(read):
-    return read("labels").select("doc_id").distinct().join(read("chunks"), "doc_id").groupBy("doc_id").agg(F.max(F.when(F.col("text").rlike("http|www|@"), 1).otherwise(0)).alias("triggered"))
-
-
 @query()
 def src14_s25_articles(read):
     return readers.articles(read("pages")).select("page_id", "url", "title", F.length("body").alias("n_chars"), F.md5("body").alias("digest"), S.url_date(F.col("url")).alias("day"))
