@@ -56,26 +56,41 @@ def top_and_rest(rows: DataFrame, top: int = 6) -> DataFrame:
 
 
 def monthly_ohlc(prices: DataFrame) -> DataFrame:
-    """AGG15: first and last close of a month by day, extremes, mean, change; months without a close drop out."""
+    """AGG15: first and last close of a month by day, extremes, mean, change, volume; months without a close drop out.
+
+    The mean volume is cut to a whole number; days without one do not count in it.
+    """
     at = F.struct("day", "seq")
     shown = F.col("close").isNotNull()
     g = prices.withColumn("month", F.date_format("day", "yyyy-MM")).groupBy("corp", "month").agg(
         F.min_by("close", F.when(shown, at)).alias("open"), F.max_by("close", F.when(shown, at)).alias("close"), F.max("close").alias("high"), F.min("close").alias("low"), F.avg("close").alias("mean"), F.count("*").alias("rows_"), F.count("close").alias("priced"),
+        *([F.sum("volume").alias("volume"), F.floor(F.avg("volume")).alias("mean_volume"), F.count_distinct("day").alias("days")] if "volume" in prices.columns else []),
     )
     return g.where("priced > 0").withColumn("change", F.when(F.col("open") != 0, (F.col("close") - F.col("open")) / F.col("open") * 100).otherwise(0.0))
 
 
 def series_summary(prices: DataFrame, last: int = 24) -> DataFrame:
-    """AGG16: last, mean, extremes, count and the latest samples in order of time."""
-    g = prices.where("close is not null").groupBy("corp").agg(F.max_by("close", F.struct("day", "seq")).alias("last"), F.avg("close").alias("mean"), F.min("close").alias("low"), F.max("close").alias("high"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("day", "seq", "close"))).alias("a"))
-    return g.withColumn("samples", F.expr(f"transform(slice(a, greatest(1, size(a) - {last - 1}), {last}), x -> x.close)")).drop("a")
+    """AGG16: last, mean, extremes, count and the latest samples in order of time; samples are ranked before they are gathered."""
+    rows = prices.where("close is not null")
+    g = rows.groupBy("corp").agg(F.max_by("close", F.struct("day", "seq")).alias("last"), F.avg("close").alias("mean"), F.min("close").alias("low"), F.max("close").alias("high"), F.count("*").alias("n"))
+    late = rows.withColumn("_r", F.row_number().over(Window.partitionBy("corp").orderBy(F.desc("day"), F.desc("seq")))).where(F.col("_r") <= last)
+    late = late.groupBy("corp").agg(F.array_sort(F.collect_list(F.struct("day", "seq", "close"))).alias("a"))
+    return g.join(late, "corp").withColumn("samples", F.expr("transform(a, x -> x.close)")).drop("a")
 
 
 def names_and_rest(rows: DataFrame, group: str, name: str, top: int = 5) -> DataFrame:
     """AGG17: the first names of a group and the count of the others."""
-    g = rows.groupBy(group).agg(F.array_sort(F.collect_set(name)).alias("a"))
-    more = F.size("a") - top
-    return g.select(group, F.concat(F.array_join(F.slice("a", 1, top), ", "), F.when(more > 0, F.concat(F.lit(" 외 "), more.cast("string"), F.lit("명"))).otherwise("")).alias("names"))
+    own = rows.select(group, name).where(F.col(name).isNotNull()).distinct()
+    own = own.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(name)))
+    g = own.groupBy(group).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.col(name)))).alias("_a"))
+    more = F.col("_n") - top
+    return g.select(group, F.concat(F.array_join("_a", ", "), F.when(more > 0, F.concat(F.lit(" 외 "), more.cast("string"), F.lit("명"))).otherwise("")).alias("names"))
+
+
+def page_buckets(rows: DataFrame, group: str, at: str, text: str, size: int) -> DataFrame:
+    """AGG17: texts of a group joined in order, ``size`` places in a bucket."""
+    g = rows.withColumn("bucket", F.floor(F.col(at) / size)).groupBy(group, "bucket").agg(F.array_sort(F.collect_list(F.struct(at, text))).alias("a"))
+    return g.select(group, "bucket", F.array_join(F.expr(f"transform(a, x -> x.`{text}`)"), "\n").alias("content"))
 
 
 def coverage(rows: DataFrame, expected: DataFrame, by: str, cells: list[str]) -> DataFrame:
@@ -115,7 +130,3 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> Da
 def pivot_counts(rows: DataFrame, by: str, status: str, values: list[str]) -> DataFrame:
     """AGG27: counter manifest."""
     return rows.groupBy(by).agg(*[F.count_if(F.col(status) == v).alias(v) for v in values], F.count("*").alias("total"))
-
-
-def first_wins(order: list[Column]) -> Column:
-    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,36 +12,69 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """RET1, TOP7, FIL20: nearest vectors of each query by cosine after the payload filter.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
 
-    ``queries`` (qid, query) is a stated set of bounded size and is broadcast against all vectors; of each
-    block of vectors only k per query leave the task that made them (two-step ranking), never all pairs.
+
+def _nearest(k: int):
+    """The k best of a slice of unit vectors for each query of a block."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if rows.num_rows and queries.num_rows:
+            ids, asked = rows["vec_id"].to_numpy(), queries["qid"].to_numpy()
+            score = _matrix(queries["unit"]) @ _matrix(rows["unit"]).T
+            by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+            out = [np.repeat(asked, by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()]
+        return pa.table([pa.array(x) for x in out], names=["qid", "vec_id", "score"])
+
+    return run
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 2048, slice_rows: int = 8192) -> DataFrame:
+    """RET1, TOP7, FIL20: nearest vectors of each query by cosine after the payload filter; zero and missing vectors take no part.
+
+    Vectors are normalised once. ``queries`` (qid, query) are a stated set; blocks of them meet slices of the vectors, both
+    of bounded size, and only k rows a query leave each meeting, so nothing is broadcast and no pairs are written.
     """
     rows = vectors.where(where) if where is not None else vectors
-    scored = rows.join(F.broadcast(queries)).withColumn("score", S.cosine(F.col("query"), F.col("embedding"))).where("score is not null")
-    scored = scored.select("qid", "vec_id", "score", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("slice"))
-    order = [F.desc("score"), "vec_id"]
-    part = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid", "slice").orderBy(*order))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k).select("qid", "vec_id", "score", "rank")
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / S.norm(F.col(c)))
+    rows = rows.where(S.norm(F.col("embedding")) > 0).select(F.col("vec_id").cast("long").alias("vec_id"), unit("embedding").alias("unit"))
+    asked = queries.where(S.norm(F.col("query")) > 0).select(F.col("qid").cast("long").alias("qid"), unit("query").alias("unit"))
+    slices, blocks = max(1, -(-rows.count() // slice_rows)), max(1, -(-asked.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).select("*", every(blocks).alias("block"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).select("*", every(slices).alias("slice"))
+    part = rows.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_nearest(k), "qid long, vec_id long, score double")
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "vec_id", "score", "rank")
+
+
+#: Asked terms up to this many are broadcast; more are joined by shuffling.
+BROADCAST_TERMS = 200_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """RET2: BM25 (Okapi) over the whole corpus; negative idf is floored at eps times the mean idf.
 
     ``queries`` (qid, text) and ``docs`` (doc_id, text). Statistics cover all documents; a query term repeated in
-    the query counts as often.
+    the query counts as often. Only terms that are asked for leave the documents as rows.
     """
-    terms = docs.select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = docs.select("doc_id", F.size(S.tokens(F.col("text"))).alias("dl"))
-    totals = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = docs.select("doc_id", S.tokens(F.col("text")).alias("w"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("raw", raw)
+    idf = df.crossJoin(F.broadcast(totals)).withColumn("raw", raw)
     floor = idf.agg((F.avg("raw") * eps).alias("floor"))
-    idf = idf.crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("qid", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    hits = tf.join(idf.join(F.broadcast(asked), "term"), "term").join(length, "doc_id")
+    terms = asked.select("term").distinct()
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
+    weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    idf = idf.join(small(terms), "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", weight.alias("idf"))
+    tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(small(idf), "term").join(small(asked), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("times")
     scored = hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")

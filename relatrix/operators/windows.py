@@ -16,18 +16,29 @@ def top_per_group(rows: DataFrame, by: list[str], order: list, n: int) -> DataFr
 
 
 def change_from_previous(prices: DataFrame) -> DataFrame:
-    """WIN4: change of each kept close against the one before; NULL closes drop out, a zero base gives NULL."""
+    """WIN4: change of each kept close against the one before, in percent; a value that comes with the row (``given``) wins.
+
+    NULL closes drop out; a zero base, and the first close, give NULL.
+    """
     w = Window.partitionBy("corp").orderBy("day", "seq")
-    return prices.where("close is not null").withColumn("previous", F.lag("close").over(w)).withColumn("change", S.change_percent(F.col("close"), F.col("previous")))
+    rows = prices.where("close is not null").withColumn("previous", F.lag("close").over(w))
+    own = F.when(F.col("previous") != 0, (F.col("close") - F.col("previous")) / F.col("previous") * 100)
+    return rows.withColumn("change", F.coalesce("given", own) if "given" in prices.columns else own)
 
 
 def incremental_change(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """WIN5: changes within a batch, the first against the last stored close before it (as-of); zero closes are skipped."""
+    """WIN5: changes within a batch, the first against the last stored close before it (as-of); zero closes are skipped.
+
+    Where there is nothing to compare with, the source's own share (``share``: below 1 a fraction, else percent) is taken.
+    """
     first = batch.groupBy("corp").agg(F.min("day").alias("from_day"))
     seed = stored.where("close is not null and close <> 0").join(first, "corp").where("day < from_day").groupBy("corp").agg(F.max_by("close", F.struct("day", "seq")).alias("seed"))
     w = Window.partitionBy("corp").orderBy("day", "seq")
     rows = batch.where("close is not null and close <> 0").join(seed, "corp", "left").withColumn("previous", F.coalesce(F.lag("close").over(w), F.col("seed")))
-    return rows.withColumn("change", S.change_percent(F.col("close"), F.col("previous"))).drop("seed")
+    own = F.when(F.col("previous") != 0, (F.col("close") - F.col("previous")) / F.col("previous") * 100)
+    if "share" in batch.columns:
+        own = F.coalesce(own, F.when(F.abs("share") < 1, F.col("share") * 100).otherwise(F.col("share")))
+    return rows.withColumn("change", own).drop("seed")
 
 
 def spark_line(prices: DataFrame, n: int = 30) -> DataFrame:

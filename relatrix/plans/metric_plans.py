@@ -80,14 +80,15 @@ def win12_year_on_year(read):
 
 @query("""WITH p AS (SELECT *, strftime(day, '%Y-%m') AS month FROM prices)
 SELECT corp, month, round(min_by(close, {'d': day, 's': seq}) FILTER (WHERE close IS NOT NULL), 6) AS open, round(max_by(close, {'d': day, 's': seq}) FILTER (WHERE close IS NOT NULL), 6) AS close, round(max(close), 6) AS high, round(min(close), 6) AS low,
-count(*) AS rows_, count(close) AS priced FROM p GROUP BY corp, month HAVING count(close) > 0""")
+round(avg(close), 4) AS mean, count(*) AS rows_, count(close) AS priced, CAST(sum(seq % 100) FILTER (WHERE seq % 5 > 0) AS BIGINT) AS volume, CAST(floor(avg(seq % 100) FILTER (WHERE seq % 5 > 0)) AS BIGINT) AS mean_volume, count(DISTINCT day) AS days FROM p GROUP BY corp, month HAVING count(close) > 0""")
 def agg15_monthly_ohlc(read):
-    return A.monthly_ohlc(read("prices")).select("corp", "month", *[r6(c).alias(c) for c in ("open", "close", "high", "low")], "rows_", "priced")
+    rows = read("prices").withColumn("volume", F.when(F.col("seq") % 5 > 0, F.col("seq") % 100))
+    return A.monthly_ohlc(rows).select("corp", "month", *[r6(c).alias(c) for c in ("open", "close", "high", "low")], F.round("mean", 4).alias("mean"), "rows_", "priced", "volume", "mean_volume", "days")
 
 
-@query("""SELECT corp, round(max_by(close, {'d': day, 's': seq}), 6) AS last, round(avg(close), 4) AS mean, round(min(close), 6) AS low, round(max(close), 6) AS high, count(*) AS n FROM prices WHERE close IS NOT NULL GROUP BY corp""")
+@query("""SELECT corp, round(max_by(close, {'d': day, 's': seq}), 6) AS last, round(avg(close), 4) AS mean, round(min(close), 6) AS low, round(max(close), 6) AS high, count(*) AS n, array_to_string(list(CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR) ORDER BY day, seq)[greatest(1, count(*) - 23):], ',') AS samples FROM prices WHERE close IS NOT NULL GROUP BY corp""")
 def agg16_series_summary(read):
-    return A.series_summary(read("prices")).select("corp", r6("last").alias("last"), F.round("mean", 4).alias("mean"), r6("low").alias("low"), r6("high").alias("high"), "n")
+    return A.series_summary(read("prices")).select("corp", r6("last").alias("last"), F.round("mean", 4).alias("mean"), r6("low").alias("low"), r6("high").alias("high"), "n", F.expr("array_join(transform(samples, x -> cast(cast(round(x * 100) as bigint) as string)), ',')").alias("samples"))
 
 
 @query("""WITH n AS (SELECT c_nationkey AS nation, list_sort(list(DISTINCT c_name)) AS a FROM customer GROUP BY c_nationkey)
@@ -96,6 +97,11 @@ def agg17_names_and_rest(read):
     return A.names_and_rest(read("customer").withColumnRenamed("c_nationkey", "nation"), "nation", "c_name")
 
 
+@query("SELECT conv_id, CAST(floor(turn / 3) AS BIGINT) AS bucket, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS content FROM conversations GROUP BY ALL")
+def agg17_page_buckets(read):
+    return A.page_buckets(read("conversations"), "conv_id", "turn", "text", 3).withColumn("content", F.md5("content"))
+
+
 @query("""WITH e AS (SELECT DISTINCT year, report FROM metrics), h AS (SELECT corp, count(*) AS have FROM (SELECT DISTINCT corp, year, report FROM metrics) GROUP BY corp)
 SELECT corp, have, round(have / CAST((SELECT count(*) FROM e) AS DOUBLE), 6) AS rate, CASE WHEN have / CAST((SELECT count(*) FROM e) AS DOUBLE) < 0.5 THEN 'FAIL' WHEN have / CAST((SELECT count(*) FROM e) AS DOUBLE) < 0.8 THEN 'WARN' ELSE 'PASS' END AS status FROM h""")
 def agg19_coverage(read):
@@ -103,9 +109,11 @@ def agg19_coverage(read):
     return A.coverage(m, m.select("year", "report").distinct(), "corp", ["year", "report"]).withColumn("rate", r6("rate"))
 
 
-@query("WITH c AS (SELECT corp, count(*) AS n FROM docs GROUP BY corp) SELECT corp, n FROM c WHERE n < 0.3 * (SELECT avg(n) FROM c) OR n > 3 * (SELECT avg(n) FROM c)")
+@query("WITH c AS (SELECT CASE WHEN corp % 10 = 0 THEN 0 ELSE corp END AS corp, count(*) AS n FROM docs WHERE corp % 7 > 0 OR doc_id % 10 = 0 GROUP BY 1) SELECT corp, n FROM c WHERE n < 0.3 * (SELECT avg(n) FROM c) OR n > 3 * (SELECT avg(n) FROM c)")
 def agg20_outliers(read):
-    return A.outliers(read("docs").groupBy("corp").agg(F.count("*").alias("n")))
+    """Every tenth company counts as company 0, every seventh keeps a tenth of its rows."""
+    rows = read("docs").where("corp % 7 > 0 or doc_id % 10 = 0").withColumn("corp", F.when(F.col("corp") % 10 == 0, 0).otherwise(F.col("corp")))
+    return A.outliers(rows.groupBy("corp").agg(F.count("*").alias("n")))
 
 
 @query("SELECT account, report, count(*) AS n, count(DISTINCT corp) AS corps FROM metrics GROUP BY account, report HAVING count(*) > 1")
@@ -166,16 +174,19 @@ def win3_headlines(read):
     return W.top_per_group(read("docs"), ["corp", "day"], [F.desc("ts"), "doc_id"], 2).select("corp", "day", "doc_id", "rank")
 
 
-@query("""SELECT corp, seq, round(close, 6) AS close, round(CASE WHEN p <> 0 THEN (close - p) / abs(p) * 100 END, 4) AS change FROM (SELECT *, lag(close) OVER (PARTITION BY corp ORDER BY day, seq) AS p FROM prices WHERE close IS NOT NULL)""")
+@query("""SELECT corp, seq, round(close, 6) AS close, round(CASE WHEN seq % 6 = 0 THEN seq % 10 - 5 WHEN p <> 0 THEN (close - p) / p * 100 END, 4) AS change FROM (SELECT *, lag(close) OVER (PARTITION BY corp ORDER BY day, seq) AS p FROM (SELECT corp, day, seq, CASE WHEN seq % 11 = 0 THEN 0 ELSE close END AS close FROM prices) WHERE close IS NOT NULL)""")
 def win4_change(read):
-    return W.change_from_previous(read("prices")).select("corp", "seq", r6("close").alias("close"), F.round("change", 4).alias("change"))
+    """Some rows bring a change of their own, some closes are zero."""
+    rows = read("prices").withColumn("close", F.when(F.col("seq") % 11 == 0, 0.0).otherwise(F.col("close"))).withColumn("given", F.when(F.col("seq") % 6 == 0, (F.col("seq") % 10 - 5).cast("double")))
+    return W.change_from_previous(rows).select("corp", "seq", r6("close").alias("close"), F.round("change", 4).alias("change"))
 
 
-@query("""WITH b AS (SELECT * FROM prices WHERE day >= DATE '2024-01-20'), s AS (SELECT corp, max_by(close, {'d': day, 's': seq}) AS seed FROM prices WHERE day < DATE '2024-01-20' AND close IS NOT NULL AND close <> 0 AND corp IN (SELECT corp FROM b) AND day < (SELECT min(day) FROM b b2 WHERE b2.corp = prices.corp) GROUP BY corp),
-l AS (SELECT b.corp, b.seq, b.close, coalesce(lag(b.close) OVER (PARTITION BY b.corp ORDER BY b.day, b.seq), s.seed) AS p FROM b LEFT JOIN s ON b.corp = s.corp WHERE b.close IS NOT NULL AND b.close <> 0)
-SELECT corp, seq, round(CASE WHEN p <> 0 THEN (close - p) / abs(p) * 100 END, 4) AS change FROM l""")
+@query("""WITH q AS (SELECT corp, day, seq, CASE WHEN seq % 11 = 0 THEN 0 ELSE close END AS close, CASE WHEN seq % 2 = 0 THEN 0.03 ELSE -2.5 END AS share FROM prices WHERE NOT (corp % 5 = 0 AND day < DATE '2024-01-20')), b AS (SELECT * FROM q WHERE day >= DATE '2024-01-20'), s AS (SELECT corp, max_by(close, {'d': day, 's': seq}) AS seed FROM q WHERE day < DATE '2024-01-20' AND close IS NOT NULL AND close <> 0 AND corp IN (SELECT corp FROM b) GROUP BY corp),
+l AS (SELECT b.corp, b.seq, b.close, b.share, coalesce(lag(b.close) OVER (PARTITION BY b.corp ORDER BY b.day, b.seq), s.seed) AS p FROM b LEFT JOIN s ON b.corp = s.corp WHERE b.close IS NOT NULL AND b.close <> 0)
+SELECT corp, seq, round(CASE WHEN p <> 0 THEN (close - p) / p * 100 WHEN abs(share) < 1 THEN share * 100 ELSE share END, 4) AS change FROM l""")
 def win5_incremental_change(read):
-    p = read("prices")
+    """Every fifth company has nothing stored, so its first change is the source's own."""
+    p = read("prices").where("not (corp % 5 = 0 and day < date'2024-01-20')").withColumn("close", F.when(F.col("seq") % 11 == 0, 0.0).otherwise(F.col("close"))).withColumn("share", F.when(F.col("seq") % 2 == 0, 0.03).otherwise(-2.5))
     cut = F.lit("2024-01-20").cast("date")
     return W.incremental_change(p.where(F.col("day") < cut), p.where(F.col("day") >= cut)).select("corp", "seq", F.round("change", 4).alias("change"))
 
@@ -223,10 +234,11 @@ def set1_union(read):
     return e.where("type = 'SUPPLIES'").select("src", "dst").union(e.where("type = 'INVESTS_IN'").select("src", "dst")).distinct()
 
 
-@query("SELECT c_custkey AS id, 'no_orders' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'no_customer' FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey AS id, 'no_orders' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT o_custkey, 'no_customer' FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def set7_jon13_membership(read):
-    c, o = read("customer").select(F.col("c_custkey").alias("id")), read("orders").select(F.col("o_custkey").alias("id")).distinct()
-    return c.join(o, "id", "left_anti").withColumn("kind", F.lit("no_orders")).unionByName(o.join(c, "id", "left_anti").withColumn("kind", F.lit("no_customer")))
+    c, o = read("customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), read("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct()
+    known = c.where("c_mktsegment <> 'BUILDING'")
+    return c.select("id").join(o, "id", "left_anti").withColumn("kind", F.lit("no_orders")).unionByName(o.join(known, "id", "left_anti").withColumn("kind", F.lit("no_customer")))
 
 
 @query("SELECT a.corp AS a, b.corp AS b, a.account, a.year, count(*) AS n FROM (SELECT DISTINCT corp, account, year FROM metrics) a JOIN (SELECT DISTINCT corp, account, year FROM metrics) b ON a.account = b.account AND a.year = b.year AND a.corp < b.corp GROUP BY ALL")
