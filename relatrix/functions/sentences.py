@@ -53,19 +53,34 @@ def enrich_amounts(text: Column) -> Column:
     return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, shown), ""))
 
 
-def account_sentences(corp: Column, fs: Column, account: Column, year: Column, now: Column, before: Column, earlier: Column, key_account: Column, missing: str = UNDISCLOSED) -> Column:
+#: Kinds of statements, and accounts that get a short sentence.
+STATEMENTS = {"BS": "재무상태표", "IS": "손익계산서", "CIS": "포괄손익계산서", "CF": "현금흐름표", "SCE": "자본변동표"}
+KEY_ACCOUNTS = (
+    "ifrs-full_Revenue", "ifrs-full_RevenueFromSaleOfGoods",
+    "ifrs-full_GrossProfit",
+    "ifrs-full_ProfitLossFromOperatingActivities", "dart_OperatingIncomeLoss",
+    "ifrs-full_ProfitLoss", "ifrs-full_ComprehensiveIncome",
+    "ifrs-full_Assets", "ifrs-full_Liabilities", "ifrs-full_Equity",
+    "ifrs-full_CashFlowsFromUsedInOperatingActivities",
+)
+
+
+def account_sentences(corp: Column, code: Column, fs: Column, statement: Column, statement_name: Column, account: Column, account_id: Column, year: Column, now: Column, before: Column, earlier: Column, missing: str = UNDISCLOSED) -> Column:
     """TXT12: array of (variant, content): full; key for key accounts with a value; comparison where the value before the last is known."""
     kind = F.when(fs == "CFS", "연결").otherwise("별도")
+    table = F.create_map(*[F.lit(x) for pair in STATEMENTS.items() for x in pair])
+    shown = F.coalesce(F.try_element_at(table, statement), statement_name, F.lit(""))
+    name, text = F.coalesce(account, F.lit("?")), F.coalesce(account_id, F.lit(""))
     a, b, c = amount_text(now, missing), amount_text(before, missing), amount_text(earlier, missing)
     y, y2 = change_text(now, before), change_text(before, earlier)
-    full = F.format_string("%s의 %d년 사업보고서 %s재무제표 항목 '%s'은 %s이며, 전년 %s 대비 %s.", corp, year, kind, account, a, b, y)
-    key = F.format_string("%s %d년 %s %s %s원", corp, year, kind, account, F.format_number(now, 0))
-    comparison = F.format_string("%s %s %s 3기 추이: %s → %s → %s (직전년 %s, 당기년 %s).", corp, kind, account, c, b, a, y2, y)
+    full = F.format_string("%s(%s)의 %d년 사업보고서 %s재무제표 %s 항목 '%s'(account_id=%s)은 %s이며, 전년 %s 대비 %s.", corp, F.coalesce(code, F.lit("")), year, kind, shown, name, text, a, b, y)
+    key = F.format_string("%s %d년 %s %s %s원", corp, year, kind, name, F.format_number(now, 0))
+    comparison = F.format_string("%s %s %s 3기 추이: %s → %s → %s (직전년 %s, 당기년 %s).", corp, kind, name, c, b, a, y2, y)
 
     def entry(variant: str, content: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(variant).alias("variant"), content.alias("content")))
 
-    return F.array_compact(F.array(entry("full", full, F.lit(True)), entry("key", key, key_account & now.isNotNull()), entry("comparison", comparison, earlier.isNotNull())))
+    return F.array_compact(F.array(entry("full", full, F.lit(True)), entry("key", key, text.isin(*KEY_ACCOUNTS) & now.isNotNull()), entry("comparison", comparison, earlier.isNotNull())))
 
 
 def comparison_question(text: Column) -> Column:

@@ -92,4 +92,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gra1_ego_graph"](spark, sf_dir)
 
 
-from . import diagnostic_plans, extraction_plans, graph_plans, lookup_plans, metric_plans, record_plans, scalar_plans, section_plans, sentence_plans, store_plans, table_plans, text_plans  # noqa: E402, F401
+from . import diagnostic_plans, document_plans, extraction_plans, graph_plans, lookup_plans, metric_plans, record_plans, scalar_plans, section_plans, sentence_plans, store_plans, table_plans, text_plans  # noqa: E402, F401

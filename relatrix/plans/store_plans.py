@@ -60,11 +60,6 @@ def snk13_soft_delete(read):
     return T.soft_delete(rows, ["%reserved%", "%License%"], ["src1", "src2"], 2000).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT src, type, dst, count(*) AS n, min(doc_id) AS first_doc FROM facts WHERE extracted_by IS NOT NULL GROUP BY ALL")
-def snk16_snapshot(read):
-    return read("facts").where("extracted_by is not null").groupBy("src", "type", "dst").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
 @query("SELECT corp, account, report, value FROM (SELECT *, row_number() OVER (PARTITION BY corp, account, report ORDER BY seq) AS rn FROM metrics) WHERE rn = 1")
 def snk22_keep_one(read):
     return T.keep_one(read("metrics").select("corp", "account", "report", "value", "seq"), ["corp", "account", "report"], F.col("seq")).drop("seq")

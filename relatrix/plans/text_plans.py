@@ -69,11 +69,6 @@ def txt1_win14_scan(read):
     return R.dictionary_scan(read("chunks"), _SURFACES).groupBy("doc_id", "etype", "surface").agg(F.count("*").alias("hits"))
 
 
-@query("SELECT doc_id, md5(concat(source, ' ', lang, chr(10), chr(10), text)) AS digest FROM chunks")
-def txt8_prefix(read):
-    return read("chunks").select("doc_id", F.md5(F.concat_ws(" ", "source", F.concat("lang", F.lit("\n\n"), "text"))).alias("digest"))
-
-
 @query()
 def src14_s25_articles(read):
     return readers.articles(read("pages")).select("page_id", "url", "title", F.length("body").alias("n_chars"), F.md5("body").alias("digest"), S.url_date(F.col("url")).alias("day"))
