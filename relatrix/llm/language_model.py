@@ -109,13 +109,13 @@ def _encode(top: dict[bytes, int]):
     return run
 
 
-def groups(sequences: list[np.ndarray], limit: int = 400_000) -> Iterator[tuple[list[int], np.ndarray]]:
+def groups(sequences: list[np.ndarray], limit: int = 1_600_000) -> Iterator[tuple[list[int], np.ndarray]]:
     """Sequences of like length together, longest first: indexes, and the ids by time step (time-major)."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest, take, held = len(sequences[order[at]]), [], 0
-        while at < len(order) and len(take) < 4096 and (not take or held + len(sequences[order[at]]) <= limit):
+        while at < len(order) and len(take) < 16384 and (not take or held + len(sequences[order[at]]) <= limit):
             held += len(sequences[order[at]])
             take.append(order[at])
             at += 1
@@ -134,7 +134,7 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, grid: np.ndar
     live = (grid >= 0).sum(axis=1)
     loglik = np.zeros(cols)
     alphas, scales = [], []
-    a = np.empty((0, len(start)))
+    a = np.empty((0, len(start)), dtype=emit.dtype)
     for t in range(steps):
         n = live[t]
         a = (start if t == 0 else a[:n] @ move) * emit[grid[t, :n]]
@@ -148,28 +148,32 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, grid: np.ndar
 
 
 def expected_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch E step over whole sequences: counts of first states, moves and emissions."""
+    """Baum-Welch E step over whole sequences: counts of first states, moves and emissions.
+
+    Steps are in single precision, sums over them in double; scores are computed apart, in double precision.
+    """
     k = len(start)
+    start, move, emit = (x.astype(np.float32) for x in (start, move, emit))
     first, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k)), 0.0
     for _, grid in groups(sequences):
         loglik, alphas, scales, live = forward(start, move, emit, grid, keep=True)
         total += float(loglik.sum())
-        beta = np.ones((0, k))
+        beta = np.ones((0, k), dtype=np.float32)
         gammas = [None] * len(alphas)
         for t in range(len(alphas) - 1, -1, -1):
             n, after = live[t], len(beta)
-            b = np.ones((n, k))
+            b = np.ones((n, k), dtype=np.float32)
             if after:
                 ahead = beta * emit[grid[t + 1, :after]] / scales[t + 1][:, None]
                 b[:after] = ahead @ move.T
                 moves += alphas[t][:after].T @ ahead
             gammas[t] = alphas[t] * b
             beta = b
-        first += gammas[0].sum(axis=0)
+        first += gammas[0].sum(axis=0, dtype=np.float64)
         flat, ids = np.concatenate(gammas), grid[grid >= 0]
         for s in range(k):
             emits[:, s] += np.bincount(ids, weights=flat[:, s], minlength=len(emit))
-    return first, moves * move, emits, total
+    return first, moves * move.astype(np.float64), emits, total
 
 
 def m_step(first: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigram: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +192,7 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
 def _e_step(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = None
-        for batch in (part for whole in batches for part in pieces(whole, 2 << 20, "ids")):
+        for batch in (part for whole in batches for part in pieces(whole, 16 << 20, "ids")):
             first, moves, emits, total = expected_counts(*model, _sequences(batch))
             one = np.concatenate([[total], first, moves.ravel(), emits.ravel()])
             cells = one if cells is None else cells + one
@@ -204,7 +208,7 @@ def _score(model: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray, h
     """base: log10 base probability of each top token; has: 1 where the class is a known top token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in pieces(whole, 8 << 20, "ids")):
+        for batch in (part for whole in batches for part in pieces(whole, 16 << 20, "ids")):
             seqs = _sequences(batch)
             score = np.zeros(len(seqs))
             for take, grid in groups(seqs, 4_000_000):
