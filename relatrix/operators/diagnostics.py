@@ -150,7 +150,7 @@ def complete_bodies(raw: DataFrame) -> DataFrame:
 
 
 def roll_up(*verdicts: DataFrame) -> DataFrame:
-    """DIA16, DIA20, DIA25: verdicts of each scope by status, and whether none failed."""
+    """DIA16, DIA25: verdicts of each scope by status, and whether none failed."""
     rows = reduce(DataFrame.unionByName, verdicts)
     sums = rows.groupBy("scope").agg(*(_n(F.col("status") == s).alias(s.lower()) for s in ("PASS", "WARN", "FAIL")), F.count("*").alias("checks"))
     return sums.withColumn("overall", F.when(F.col("fail") == 0, "PASS").otherwise("FAIL"))
