@@ -26,11 +26,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def xml_rows(pages: DataFrame, column: str, row_tag: str, fields: list[str]) -> DataFrame:
-    """SRC4: rows of XML pages, one per row tag, by the built-in xpath functions."""
-    lists = [F.expr(f"xpath({column}, '//{row_tag}/{f}/text()')").alias(f) for f in fields]
-    wide = pages.select(*[c for c in pages.columns if c != column], F.arrays_zip(*lists).alias("_rows"))
-    out = wide.select("*", F.explode("_rows").alias("_r")).drop("_rows")
-    return out.select(*[c for c in out.columns if c != "_r"], *[F.col(f"_r.{i}" if f not in fields else f"_r.`{i}`").alias(f) for i, f in enumerate(fields)])
+    """SRC4: rows of XML pages, one per row tag, each read by itself so that a missing field (NULL) moves no other."""
+    rest = [c for c in pages.columns if c != column]
+    items = pages.select(*rest, F.explode(F.regexp_extract_all(column, F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*?)</{row_tag}>"), F.lit(1))).alias("_item"))
+    items = items.withColumn("_item", F.concat(F.lit("<r>"), "_item", F.lit("</r>")))
+    return items.select(*rest, *(F.nullif(F.xpath_string("_item", F.lit(f"/r/{f}/text()")), F.lit("")).alias(f) for f in fields))
 
 
 def dispatch(name: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -70,3 +70,17 @@ def test_scans(spark):
     assert [r.id for r in C.scan_run(rows, "r1").collect()] == [1] and C.scan_run(rows, "r1", None).count() == 2
     nodes = spark.createDataFrame([(1, ["Organization", "LLMExtracted"]), (2, ["Person"])], "id int, labels array<string>")
     assert [r.id for r in C.scan_label(nodes, "Organization", "LLMExtracted").collect()] == [1]
+
+
+def test_lines_markup_and_names(spark, tmp_path):
+    from relatrix.sources import readers
+
+    at = write(tmp_path, {"a.jsonl": '{"x": 1, "y": "a"}\nbroken\n{"x": 2}\n\n'})
+    assert sorted((r.x, r.y) for r in readers.read_jsonl(spark, at, "x int, y string").collect()) == [(1, "a"), (2, None)]
+    xml = "<r><item><nm>A</nm><cd>1</cd></item><item><nm>B</nm></item><item a='1'><cd>3</cd></item></r>"
+    rows = readers.xml_rows(spark.createDataFrame([(7, xml), (8, "<r/>")], "page int, body string"), "body", "item", ["nm", "cd"])
+    assert sorted(((r.page, r.nm, r.cd) for r in rows.collect()), key=lambda r: r[1] or "C") == [(7, "A", "1"), (7, "B", None), (7, None, "3")]
+    patterns = [("group", r"^grp_(\d{6})_(\w+)\.xml$"), ("year", r"^all_(\d{4})()\.xml$")]
+    names = spark.createDataFrame([("grp_202405_SK.xml",), ("all_2023.xml",), ("other.xml",)], "n string")
+    got = [r.d and tuple(r.d) for r in names.select(readers.dispatch(F.col("n"), patterns).alias("d")).collect()]
+    assert got == [("group", "2024", "SK"), ("year", "2023", ""), None]
