@@ -1,4 +1,4 @@
-"""The ten registered queries: each applies its operator to its whole table and derives the digest columns."""
+"""The registered queries: each applies its operator to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grammar, language_model, line_dedup, near_dedup, neighbours, packing, repeats, sharding, toxicity
+from . import decontaminate, grammar, language_model, lexical, line_dedup, near_dedup, neighbours, packing, phrases, quality, repeats, sharding, toxicity
 from .common import table
 
 
@@ -55,8 +55,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hmm_score, op2_superminhash, op3_decontaminate, op4_repeats, op5_line_dedup, op6_repair_ids, op7_hash_tree, op8_toxicity, op9_neighbours, op10_pack)
+    f.__name__: f for f in (op1_hmm_score, op2_superminhash, op3_decontaminate, op4_repeats, op5_line_dedup, op6_repair_ids, op7_hash_tree, op8_toxicity, op9_neighbours, op10_pack, op11_lexical, op12_quality, op13_phrases)
 }
 
 _LINES = """
@@ -105,4 +118,60 @@ WITH w AS (
 SELECT doc_id, item_id, shared / either AS similarity, CAST(start AS INT) AS start_word, CAST(n_words AS INT) AS n_words FROM r WHERE rn = 1
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": _WINDOWS, "op5_line_dedup": _LINES}
+_RANKED = r"""
+WITH x AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), s AS (
+  SELECT count(*) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM x WHERE len(t) > 0
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM x) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, big_n
+), c AS (
+  SELECT tf.r, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * len(x.t) * s.big_n) // s.big_l))) AS part FROM tf JOIN w USING (term) JOIN x ON x.r = tf.r, s
+), g AS (
+  SELECT i.item_id, c.r, CAST(sum(c.part) AS BIGINT) AS score FROM i JOIN c USING (term) GROUP BY ALL
+), k AS (
+  SELECT g.item_id, x.doc_id, g.score, CAST(row_number() OVER (PARTITION BY g.item_id ORDER BY g.score DESC, x.doc_id) AS INT) AS rank
+  FROM g JOIN x ON x.r = g.r WHERE g.score > 0 AND x.doc_id IS NOT NULL
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+_PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, size, array_to_string(w[o + 1 : o + size], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(len(w) - size + 1)) AS o FROM w, range(1, 6) AS t(size) WHERE len(w) >= size)
+), f AS (
+  SELECT lang, CAST(size AS INT) AS size, phrase, count(*) AS a FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE size >= 2 AND a >= 100
+), e AS (
+  SELECT lang, part, size - 1 AS size, max(a) AS most FROM (
+    SELECT lang, size, a, unnest([array_to_string(string_split(phrase, ' ')[: size - 1], ' '), array_to_string(string_split(phrase, ' ')[2 :], ' ')]) AS part FROM c
+  ) GROUP BY ALL
+), o AS (
+  SELECT c.* FROM c LEFT JOIN e ON e.lang = c.lang AND e.size = c.size AND e.part = c.phrase WHERE e.most IS NULL OR e.most < c.a
+), k AS (
+  SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[: j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS j FROM o)
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.j, x.a AS l, y.a AS r, t.n, CAST((1000::HUGEINT * k.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.tail JOIN t ON t.lang = k.lang
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS rn FROM s
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE rn = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": _WINDOWS, "op5_line_dedup": _LINES, "op11_lexical": _RANKED, "op13_phrases": _PHRASES}
