@@ -9,12 +9,16 @@ the second); what both reach is a phrase one word longer whose two parts are liv
 Counts are summed across shards, phrases that reach the least count get a number, and the shards that hold them go on
 from there. So no shard drops a phrase by its own count, and the work of a length is bounded by the phrases alive.
 
+Frequent words and phrases of a length go to the shards' tasks by broadcast as long as they are BROADCAST_ROWS at most; then nothing but
+counts is shuffled: a task goes through the lengths again from the pairs that its index was stored with, and keeps the phrases that it finds among the broadcast
+ones. Beyond that bound the frequent ones are joined with the shards' own rows and dealt back to the shards by shuffling.
+
 A phrase is told by the numbers of its first and last parts (all but the last, all but the first word), so rows are a few numbers whatever
 the words. Scores are exact: products in 38 digits, divided to whole numbers. A candidate is dropped if a longer
 candidate around it is as frequent; then so is one longer by a word, which is what is compared.
 
 Bounds: a task holds one shard and its index (about 100 bytes a word). Shards are cut between pieces; a piece without any of the marks is
-never cut, whatever its length. Frequent words and phrases up to BROADCAST_ROWS rows are broadcast, more are joined by shuffling.
+never cut, whatever its length.
 
 Cases: null and empty texts have no words; a null lang is "und"; ids are not read, so null and repeated ids are documents
 like others, and equal documents count as often as they occur; langs without candidates have no rows; empty tables give an empty result.
@@ -35,13 +39,13 @@ from pyspark.sql import functions as F
 from .common import discard, new_path, pieces, tidy, utf8
 
 SHARD_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
-#: Frequent words or phrases up to this many are broadcast (about 60 bytes each).
+#: Frequent words or phrases of one length up to this many are broadcast (about 100 bytes a word, 24 bytes a phrase).
 BROADCAST_ROWS = 300_000
 SALTS = 64
 #: Marks that end a piece become a full stop, tabs a space, A-Z lower case.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _SHARD = "shard long, ids binary, vocab array<struct<id: int, lang: string, word: string, n: long>>"
-_INDEX = "shard long, left binary, right binary"
+_COUNTS = "pre long, suf long, n long"
 _FOUND = "shard long, l array<int>, r array<int>, n array<int>, pre array<long>, suf array<long>"
 
 
@@ -149,9 +153,8 @@ def _last_to_first(bwt: np.ndarray) -> np.ndarray:
     return out
 
 
-def _extend(bwt: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+def _extend(bwt: np.ndarray, to_first: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each interval by each word before it: (interval, row in the new interval's transform, offset in the other transform, width)."""
-    to_first = _last_to_first(bwt)
     which = np.repeat(np.arange(len(start)), width)
     begins = np.cumsum(width) - width
     at = start[which] + np.arange(len(which)) - begins[which]
@@ -165,10 +168,11 @@ def _extend(bwt: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.n
     return which[first], to_first[at[first]], first - begins[which[first]], n
 
 
-def extend(left: np.ndarray, right: np.ndarray, l: np.ndarray, r: np.ndarray, n: np.ndarray, gid: np.ndarray) -> tuple[np.ndarray, ...]:  # noqa: E741
+def extend(left: np.ndarray, right: np.ndarray, l: np.ndarray, r: np.ndarray, n: np.ndarray, gid: np.ndarray, firsts: tuple | None = None) -> tuple[np.ndarray, ...]:  # noqa: E741
     """Live phrases (intervals in both transforms, width, number) -> phrases one word longer whose two parts are live (l, r, n, pre, suf)."""
-    by, row, other, wide = _extend(left, l, n)  # a word before: the phrase is the longer one's last part
-    by_r, row_r, other_r, _ = _extend(right, r, n)  # a word after: the phrase is its first part
+    firsts = firsts or (_last_to_first(left), _last_to_first(right))
+    by, row, other, wide = _extend(left, firsts[0], l, n)  # a word before: the phrase is the longer one's last part
+    by_r, row_r, other_r, _ = _extend(right, firsts[1], r, n)  # a word after: the phrase is its first part
     _, a, b = np.intersect1d(row, l[by_r] + other_r, assume_unique=True, return_indices=True)
     return row[a], row_r[b], wide[a], gid[by_r[b]], gid[by[a]]
 
@@ -193,12 +197,23 @@ def build(ids: np.ndarray, local: np.ndarray, gid: np.ndarray, depth: int) -> tu
     return left, right, extend(left, right, start, start, n[1:], gid)
 
 
-def _build(depth: int):
+def _build(depth: int, shared=None):
+    """Index rows of shards; the numbers of their frequent words come with the row (``known``) or from a broadcast dictionary."""
+
+    def numbers(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if shared is None:
+            known = batch.column("known").slice(i, 1).flatten()
+            return tuple(known.field(c).to_numpy(zero_copy_only=False) for c in ("id", "gid"))
+        vocab = batch.column("vocab").slice(i, 1).flatten()
+        gid = np.fromiter((shared.value.get(x, -1) for x in zip(vocab.field("lang").to_pylist(), vocab.field("word").to_pylist(), strict=True)), dtype=np.int64, count=len(vocab))
+        return vocab.field("id").to_numpy(zero_copy_only=False)[gid >= 0], gid[gid >= 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                known = batch.column("known").slice(i, 1).flatten()
-                local, gid = (known.field(c).to_numpy(zero_copy_only=False) for c in ("id", "gid"))
+                local, gid = numbers(batch, i)
+                if not len(local):
+                    continue
                 left, right, found = build(_unpack(batch.column("ids")[i].as_py()), local, gid, depth)
                 shard = batch.column("shard")[i].as_py()
                 yield pa.RecordBatch.from_arrays([*_lists(shard, found), pa.array([_pack(left)], pa.binary()), pa.array([_pack(right)], pa.binary())], names=["shard", "l", "r", "n", "pre", "suf", "left", "right"])
@@ -206,6 +221,74 @@ def _build(depth: int):
     return run
 
 
+class Survivors:
+    """The frequent phrases of one length, looked up by their parts."""
+
+    def __init__(self, pre: np.ndarray, suf: np.ndarray, gid: np.ndarray) -> None:
+        self.parts = [np.unique(x) for x in (pre, suf)]
+        code = self._code(pre, suf)[0]
+        sort = np.argsort(code)
+        self.code, self.gid = code[sort], gid[sort]
+
+    def _code(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code, known = np.zeros(len(columns[0]), dtype=np.int64), np.ones(len(columns[0]), dtype=bool)
+        for x, values in zip(columns, self.parts, strict=True):
+            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            known &= values[at] == x
+            code = code * len(values) + at
+        return code, known
+
+    def find(self, pre: np.ndarray, suf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are frequent, their numbers)."""
+        code, known = self._code(pre, suf)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        known &= self.code[at] == code
+        return known, self.gid[at[known]]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a shard's pairs, as rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(c).flatten().cast(pa.int64()) for c in ("pre", "suf", "n")], names=["pre", "suf", "n"])
+
+
+def _phrases(batch: pa.RecordBatch, tables: list) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(shard, phrases) of the next length, from the shard's pairs through the broadcast frequent phrases of each length."""
+    for i in range(batch.num_rows):
+        found = tuple(batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("l", "r", "n", "pre", "suf"))
+        left, right = (_unpack(batch.column(c)[i].as_py()) for c in ("left", "right"))
+        firsts = _last_to_first(left), _last_to_first(right)
+        for table in tables:
+            live, gid = table.value.find(found[3], found[4])
+            if not live.any():
+                found = tuple(x[:0] for x in found)
+                break
+            found = extend(left, right, *(x[live] for x in found[:3]), gid, firsts)
+        yield batch.column("shard")[i].as_py(), found
+
+
+def _walk(tables: list):
+    """The counts of the shards' phrases of the next length, as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, (_, _, n, pre, suf) in _phrases(batch, tables):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pre, suf, n)], names=["pre", "suf", "n"])
+
+    return run
+
+
+def _found(tables: list):
+    """The shards' phrases of the next length with their intervals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, found in _phrases(batch, tables):
+                yield pa.RecordBatch.from_arrays(_lists(shard, found), names=["shard", "l", "r", "n", "pre", "suf"])
+
+    return run
+
+
 def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -215,10 +298,6 @@ def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(_lists(batch.column("shard")[i].as_py(), extend(left, right, l, r, n, gid)), names=["shard", "l", "r", "n", "pre", "suf"])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _kept(df: DataFrame, tag: str, files: int | None = None) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and its path; ``files``: at most so many rows a file."""
     path, write = new_path(df.sparkSession, tag), df.write.option("compression", "zstd")
@@ -239,25 +318,46 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     level = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id())
     level, _ = _kept(level.select("gid", "lang", F.array("word").alias("words"), F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("suf"), "n", F.array("n").alias("heads"), F.array("n").alias("tails")), "words")
     levels = [level]
-    known = words.join(_small(level.select("lang", F.col("words")[0].alias("word"), "gid")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("known"))
-    built = shards.select("shard", "ids").join(known, "shard").mapInArrow(tidy(_build(longest)), f"{_FOUND}, left binary, right binary")
+    if small := level.count() <= BROADCAST_ROWS:
+        found = level.select("lang", F.col("words")[0].alias("word"), "gid").toArrow()
+        names = zip(found.column("lang").to_pylist(), found.column("word").to_pylist(), strict=True)
+        shared = spark.sparkContext.broadcast(dict(zip(names, found.column("gid").to_pylist(), strict=True)))
+        built = shards.mapInArrow(tidy(_build(longest, shared)), f"{_FOUND}, left binary, right binary")
+    else:
+        known = words.join(level.select("lang", F.col("words")[0].alias("word"), "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("known"))
+        built = shards.select("shard", "ids").join(known, "shard").mapInArrow(tidy(_build(longest)), f"{_FOUND}, left binary, right binary")
     built, index = _kept(built, "index", 2)
     discard(spark, at)
-    index, paths, found = built.select("shard", "left", "right"), [index], built.drop("left", "right")
+    flat = lambda df: df.select("shard", F.inline(F.arrays_zip("l", "r", "n", "pre", "suf")))
+    paths, rows, tables = [index], flat(built), []
     for size in range(2, longest + 1):
-        rows = found.select("shard", F.inline(F.arrays_zip("l", "r", "n", "pre", "suf")))
-        sums = rows.groupBy("pre", "suf").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
+        counts = rows
+        if small:  # frequent phrases of all lengths so far are broadcast
+            counts = built.select("pre", "suf", "n").mapInArrow(tidy(_counts), _COUNTS) if size == 2 else built.mapInArrow(tidy(_walk(tables)), _COUNTS)
+        sums = counts.groupBy("pre", "suf").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
         a = level.select(F.col("gid").alias("pre"), "lang", "words", F.col("heads").alias("h"))
         b = level.select(F.col("gid").alias("suf"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
         now = sums.join(a, "pre").join(b, "suf").withColumn("gid", F.monotonically_increasing_id())
         own = F.array("n")
         level, _ = _kept(now.select("gid", "lang", F.concat("words", F.array("last")).alias("words"), "pre", "suf", "n", F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails")), f"phrases{size}")
         levels.append(level)
-        if size == longest or level.isEmpty():
+        total = level.count()
+        if size == longest or not total:
             break
-        live = rows.join(_small(level.select("pre", "suf", "gid")), ["pre", "suf"]).groupBy("shard").agg(F.collect_list(F.struct("l", "r", "n", "gid")).alias("live"))
-        found, path = _kept(index.join(live, "shard").mapInArrow(tidy(_step), _FOUND), "found", 2)
+        if small and total > BROADCAST_ROWS:  # from here on by shuffling: the shards' phrases so far become rows
+            small = False
+            if tables:
+                found, path = _kept(built.mapInArrow(tidy(_found(tables)), _FOUND), "found", 2)
+                paths.append(path)
+                rows = flat(found)
+        if small:
+            parts = level.select("pre", "suf", "gid").toArrow()
+            tables.append(spark.sparkContext.broadcast(Survivors(*(parts.column(c).to_numpy() for c in ("pre", "suf", "gid")))))
+            continue
+        live = rows.join(level.select("pre", "suf", "gid"), ["pre", "suf"]).groupBy("shard").agg(F.collect_list(F.struct("l", "r", "n", "gid")).alias("live"))
+        found, path = _kept(built.select("shard", "left", "right").join(live, "shard").mapInArrow(tidy(_step), _FOUND), "found", 2)
         paths.append(path)
+        rows = flat(found)
     for path in paths:
         discard(spark, path)
     return levels, totals

@@ -117,11 +117,27 @@ def test_phrases_on_odd_rows(spark, shard):
     assert phrases.mine_phrases(docs.limit(0)).collect() == [] == phrases.mine_phrases(docs, 10**6).collect()
 
 
-def test_phrases_joined_by_shuffling(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 0)
+def test_phrases_broadcast_and_shuffled(spark, monkeypatch):
+    """The bound is passed never, by the triples (from then on by shuffling), by the pairs, or by the words."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = mined([(r["text"], r["lang"]) for r in docs.collect()], 10)
-    assert {tuple(r) for r in phrases.mine_phrases(docs, 10, shard_bytes=50_000).collect()} == want and len(want) > 100
+    want = mined([(r["text"], r["lang"]) for r in docs.collect()], 5)
+    levels, _ = phrases.frequent_phrases(docs, 5)
+    words, pairs, triples = (x.count() for x in levels[:3])
+    assert len(want) > 100 and triples < words and triples < pairs
+    for bound in (10**6, 0):
+        monkeypatch.setattr(phrases, "BROADCAST_ROWS", bound)
+        assert {tuple(r) for r in phrases.mine_phrases(docs, 5, shard_bytes=50_000).collect()} == want
+
+
+def test_phrases_pass_the_bound_later(spark, monkeypatch):
+    """Few words, ever more phrases of them: the shards go on by shuffling from the length that passes the bound."""
+    rng = np.random.default_rng(0)
+    rows = [(" ".join(rng.choice(list("abcde"), 60)), "en") for _ in range(40)]
+    want = mined(rows, 3)
+    docs = spark.createDataFrame([(i, t, x, 1, 0.5, "n") for i, (t, x) in enumerate(rows)], DOCS).repartition(3)
+    for bound in (5, 30, 200):  # words 5, pairs 25, triples 125, then more
+        monkeypatch.setattr(phrases, "BROADCAST_ROWS", bound)
+        assert {tuple(r) for r in phrases.mine_phrases(docs, 3, shard_bytes=1000).collect()} == want
 
 
 def test_interval_extension():
