@@ -147,6 +147,27 @@ def test_decontaminate_tries_every_start(spark, docs):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.contaminated(docs, items).collect()} == want
 
 
+def test_decontaminate_with_repeated_words(spark):
+    """Items whose end is replaced by one word or pair of words many times, all just over the limit."""
+    import random
+
+    rng = random.Random(5)
+    edited, plain = [], []
+    for i in range(150):
+        n, keep, end = ((100, 87, "foo"), (200, 174, "-"), (200, 174, "the of"))[i % 3]
+        own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        tail = (end.split() * n)[: n - keep]
+        edited.append((i, " ".join([*own[:keep], *tail] if i % 2 else [*tail, *own[-keep:]])))
+        plain.append((i, " ".join(own)))
+        if i % 5 == 0:  # and items that repeat a word themselves
+            plain[-1] = (i, " ".join([*own[: n - 30], *["rep"] * 30]))
+            edited[-1] = (i, " ".join([*own[: n - 30], *["rep"] * 18, *["other"] * 12]))
+    want = {(d, d) for d, t in edited if brute.contaminated_anywhere([(d, t)], [plain[d]])}
+    frames = [spark.createDataFrame(x, f"{c} long, text string") for x, c in ((edited, "doc_id"), (plain, "item_id"))]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(*frames).collect()} == want and len(want) >= 120
+    assert {r.doc_id for r in decontaminate.keep_clean(*frames).collect()} == {d for d, _ in edited} - {d for d, _ in want}
+
+
 def test_repeats(docs, odd):
     for df in both(docs, odd):
         want = brute.repeats(rows_of(df))
