@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,12 +62,15 @@ def row_hash(*fields: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields))), 1, 16)
 
 
-def params_hash(params: Column) -> Column:
-    """First 8 hex digits of sha1 of a string map as JSON with sorted keys, without the key that signs requests."""
-    kept = F.array_sort(F.map_entries(F.map_filter(params, lambda k, v: k != "crtfc_key")))
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    items = F.transform(kept, lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
-    return F.substring(F.sha1(F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))), 1, 8)
+def params_hash(params: dict[str, Column]) -> Column:
+    """First 8 hex digits of sha1 of the parameters as JSON with sorted keys, without the key that signs requests.
+
+    Values keep their types: numbers and booleans stand bare, NULL is null, texts are quoted and escaped.
+    """
+    named = sorted(k for k in params if k != "crtfc_key")
+    field = lambda k: F.to_json(F.struct(params[k].alias("v")), {"ignoreNullFields": "false"})
+    items = [F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ": "), F.regexp_replace(field(k), r'(?s)^\{"v":(.*)\}$', "$1")) for k in named]
+    return F.substring(F.sha1(F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))), 1, 8)
 
 
 def flat_fields(names: Column, values: Column, labels: dict[str, str], excluded: tuple[str, ...] = (), cut: int = 800) -> Column:

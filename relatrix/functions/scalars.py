@@ -61,12 +61,13 @@ def holder_key(name: Column) -> Column:
 
 
 def parse_amount(raw: Column) -> Column:
-    """Signed whole amount; triangle, minus and brackets mean negative, dashes and text NULL."""
+    """Signed amount cut to a whole number; a triangle or minus in front, or brackets around, mean negative; dashes and any other text are NULL."""
     text = F.trim(raw)
-    negative = text.rlike(r"^[△▲\-−(]")
-    digits = F.regexp_replace(text, r"[△▲\-−(),\s]", "")
-    whole = F.floor(digits.try_cast("decimal(30,6)")).cast("bigint")
-    return F.when(text.isin("", "-", "—", "–"), None).otherwise(F.when(negative, -whole).otherwise(whole))
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[△-]+", ""), "[, ]", "")
+    bracketed = bare.rlike(r"^\(.*\)$")
+    inner = F.when(bracketed, F.regexp_replace(bare, r"^\((.*)\)$", "$1")).otherwise(bare)
+    whole = F.when(inner.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), inner.try_cast("double").cast("bigint"))
+    return F.when(text.rlike(r"^[△-]") | bracketed, -whole).otherwise(whole)
 
 
 def parse_rate(raw: Column) -> Column:
@@ -155,6 +156,17 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def normalised(vector: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    size = norm(vector)
+    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+
+def broken(vector: Column) -> Column:
+    """Places of a vector that are NULL or no number."""
+    return F.size(F.filter(vector, lambda x: x.isNull() | F.isnan(x)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; NULL if a norm is zero."""
     n = norm(a) * norm(b)
@@ -174,10 +186,15 @@ def alias_forms(name: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: F.length(x) > 0))
 
 
-def node_kind(node: Column, is_seed: Column) -> Column:
-    """PRJ6: kind of a node by its id: seed, person, product, organisation (8 digits), else news entity, else organisation."""
-    kind = F.when(is_seed, "seed").when(node.startswith("news:per"), "person").when(node.startswith("news:prod"), "product")
-    return kind.when(node.rlike(r"^\d{8}$"), "org").when(node.startswith("news:"), "news_entity").otherwise("org")
+def node_kind(node: Column, is_seed: Column, has_code: Column | None = None) -> Column:
+    """PRJ6: kind of a node by its id: seed, person, product, organisation (8 digits), else news entity, else organisation.
+
+    Where it is known whether the node has a company's code, those that have one are organisations first, and what the id does not tell is a news entity.
+    """
+    kind = F.when(is_seed, "seed")
+    kind = kind if has_code is None else kind.when(has_code, "org")
+    kind = kind.when(node.startswith("news:per"), "person").when(node.startswith("news:prod"), "product")
+    return kind.when(node.rlike(r"^\d{8}$"), "org").when(node.startswith("news:"), "news_entity").otherwise("org" if has_code is None else "news_entity")
 
 
 def noisy_surface(text: Column) -> Column:

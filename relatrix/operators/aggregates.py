@@ -64,7 +64,7 @@ def monthly_ohlc(prices: DataFrame) -> DataFrame:
     shown = F.col("close").isNotNull()
     g = prices.withColumn("month", F.date_format("day", "yyyy-MM")).groupBy("corp", "month").agg(
         F.min_by("close", F.when(shown, at)).alias("open"), F.max_by("close", F.when(shown, at)).alias("close"), F.max("close").alias("high"), F.min("close").alias("low"), F.avg("close").alias("mean"), F.count("*").alias("rows_"), F.count("close").alias("priced"),
-        *([F.sum("volume").alias("volume"), F.floor(F.avg("volume")).alias("mean_volume"), F.count_distinct("day").alias("days")] if "volume" in prices.columns else []),
+        *([F.sum("volume").alias("volume"), F.floor(F.avg("volume")).alias("mean_volume"), F.size(F.collect_set("day")).cast("long").alias("days")] if "volume" in prices.columns else []),
     )
     return g.where("priced > 0").withColumn("change", F.when(F.col("open") != 0, (F.col("close") - F.col("open")) / F.col("open") * 100).otherwise(0.0))
 
@@ -96,7 +96,7 @@ def page_buckets(rows: DataFrame, group: str, at: str, text: str, size: int) ->
 def coverage(rows: DataFrame, expected: DataFrame, by: str, cells: list[str]) -> DataFrame:
     """AGG19: share of the expected grid that each group has, with the verdict of its thresholds."""
     total = expected.count()
-    have = rows.select(by, *cells).distinct().join(F.broadcast(expected), cells, "left_semi").groupBy(by).agg(F.count("*").alias("have"))
+    have = rows.select(by, *cells).distinct().join(expected.distinct(), cells, "left_semi").groupBy(by).agg(F.count("*").alias("have"))
     rate = F.col("have") / F.lit(total)
     return have.select(by, "have", rate.alias("rate"), F.when(rate < 0.5, "FAIL").when(rate < 0.8, "WARN").otherwise("PASS").alias("status"))
 

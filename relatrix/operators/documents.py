@@ -23,38 +23,47 @@ def page_index(body: Column) -> Column:
 
 
 def document_rows(summaries: DataFrame, reports: DataFrame, bodies: DataFrame) -> DataFrame:
-    """TXT7: index rows: report name without its mark (the summary's kind where there is no report), ISO day of 8 digits, headings, length.
+    """TXT7: index rows of summarised documents: report name without its mark (the summary's kind where there is no report), ISO day of 8 digits, headings, digest, length.
 
-    ``summaries`` (receipt, kind, short), ``reports`` (receipt, name, received), ``bodies`` (receipt, body).
+    ``summaries`` (receipt, kind, short, method, verified, facts), ``reports`` (receipt, name, received, filer), ``bodies`` (receipt, body). Missing texts are
+    empty, a missing verdict is false, a document without a body has an empty digest.
     """
     rows = summaries.join(reports, "receipt", "left").join(bodies, "receipt", "left")
-    name = R.report_name(F.col("name"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    raw = F.trim(blank("name"))
+    close = F.locate("]", raw)
+    name = F.when(raw.startswith("[") & (close > 1), F.trim(F.substr(raw, close + 1))).otherwise(raw)
     day = F.when(F.length("received") == 8, F.regexp_replace("received", r"^(.{4})(.{2})(.{2})$", "$1-$2-$3")).otherwise("")
-    return rows.select("receipt", F.when(name == "", F.coalesce("kind", F.lit(""))).otherwise(name).alias("kind"), name.alias("title"), day.alias("day"), F.coalesce("short", F.lit("")).alias("short"), page_index(F.col("body")).alias("pages"), F.coalesce(F.length("body"), F.lit(0)).alias("chars"))
+    return rows.select(
+        "receipt", F.when(name == "", blank("kind")).otherwise(name).alias("kind"), raw.alias("report"), name.alias("title"), day.alias("day"), blank("filer").alias("filer"), blank("short").alias("short"),
+        blank("method").alias("method"), F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("facts", F.array().cast("array<string>")).alias("facts"),
+        F.when(F.col("body").isNull(), "").otherwise(F.substring(F.sha1("body"), 1, 16)).alias("hash16"), page_index(F.col("body")).alias("pages"), F.coalesce(F.length("body"), F.lit(0)).alias("chars"),
+    )
 
 
 def matched_news(news: DataFrame, rules: DataFrame, models: DataFrame) -> DataFrame:
-    """TXT9: (news_id, companies, method) of news (news_id, title, body, old_method, old_companies, recheck).
+    """TXT9: (news_id, companies, method) of news (news_id, title, body, old_method, old_companies, old_rules, old_models, recheck).
 
     Rows with a method and no need to be checked again keep what they have; empty texts are left out; else the
-    rules' companies, and the model's where no rule hits. On a recheck the model's stay beside the rules', and a company
-    that only the rules now find changes the method. ``rules`` and ``models``: (news_id, company).
+    rules' companies, and the model's where no rule hits. On a recheck only the rules run again: the model's old companies stay beside the
+    rules', and a company that the rules did not find before changes the method. ``rules`` and ``models``: (news_id, company).
     """
     lists = lambda d, name: d.groupBy("news_id").agg(F.array_sort(F.collect_set("company")).alias(name))
     rows = news.join(lists(rules, "r"), "news_id", "left").join(lists(models, "m"), "news_id", "left")
     none = F.array().cast("array<string>")
-    for c in ("r", "m", "old_companies"):
+    for c in ("r", "m", "old_companies", "old_rules", "old_models"):
         rows = rows.withColumn(c, F.coalesce(c, none))
-    done = F.col("old_method").isNotNull() & ~F.coalesce("recheck", F.lit(False))
+    recheck = F.coalesce("recheck", F.lit(False))
+    old = F.when(F.coalesce("old_method", F.lit("")) != "", F.col("old_method"))
+    done = old.isNotNull() & ~recheck
     text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
-    any_rule, any_model = F.size("r") > 0, F.size("m") > 0
-    fresh = F.size(F.array_except("r", "old_companies")) > 0
-    again = F.coalesce("old_method", F.when(any_rule, "rule").otherwise("none"))
-    again = F.when(fresh, F.when(any_model, F.concat(again, F.lit("+rule_recheck"))).otherwise("rule")).otherwise(again)
+    any_rule, any_model, kept_model = F.size("r") > 0, F.size("m") > 0, F.size("old_models") > 0
+    fresh = F.size(F.array_except("r", "old_rules")) > 0
+    again = F.coalesce(old, F.when(any_rule, "rule").otherwise("none"))
+    again = F.when(fresh, F.when(kept_model, F.concat(again, F.lit("+rule_recheck"))).otherwise("rule")).otherwise(again)
     first = F.when(any_rule, "rule").when(any_model, "llm").otherwise("none")
-    recheck = F.coalesce("recheck", F.lit(False))
-    found = F.when(recheck, F.array_sort(F.array_union("m", "r"))).when(any_rule, F.col("r")).otherwise(F.col("m"))
-    return rows.where(done | (text != "")).select("news_id", F.when(done, F.array_sort("old_companies")).otherwise(found).alias("companies"), F.when(done, F.col("old_method")).when(recheck, again).otherwise(first).alias("method"))
+    found = F.when(recheck, F.array_sort(F.array_union("old_models", "r"))).when(any_rule, F.col("r")).otherwise(F.col("m"))
+    return rows.where(done | (text != "")).select("news_id", F.when(done, F.array_sort("old_companies")).otherwise(found).alias("companies"), F.when(done, old).when(recheck, again).otherwise(first).alias("method"))
 
 
 def to_summarise(chunks: DataFrame, sidecar: DataFrame, pending_only: bool = False, force: bool = False) -> DataFrame:

@@ -45,15 +45,26 @@ def linked_only(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, groups: li
 def contexts(chunks: DataFrame, links: DataFrame, most: int = 5) -> DataFrame:
     """JON16, RET7: the first few neighbours of each chunk by kind, as arrays; chunks without any keep empty arrays.
 
-    ``links``: (chunk, kind, item). Rows are ranked before they are gathered, so only ``most`` of a kind meet.
+    ``links``: (chunk, kind, item), and ``pos`` if they have an order of their own. Rows are ranked before they are gathered, so only ``most`` of a kind meet.
     """
     kinds = ("org", "person", "product", "tech", "fact", "event")
-    first = links.withColumn("_r", F.row_number().over(Window.partitionBy("chunk", "kind").orderBy("item"))).where(F.col("_r") <= most)
-    lists = first.groupBy("chunk").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("item")))).alias(k) for k in kinds))
+    order = [c for c in ("pos", "item") if c in links.columns]
+    first = links.withColumn("_r", F.row_number().over(Window.partitionBy("chunk", "kind").orderBy(*order))).where(F.col("_r") <= most)
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("_r", "item"))))
+    lists = first.groupBy("chunk").agg(*(F.transform(of(k), lambda x: x["item"]).alias(k) for k in kinds))
     out = chunks.select("chunk").distinct().join(lists, "chunk", "left")
     return out.select("chunk", *(F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds))
 
 
+def context_item(kind: Column, *, name: Column, code: Column, category: Column, subject: Column, predicate: Column, target: Column, confidence: Column, event: Column, day: Column, label: Column) -> Column:
+    """RET7: how a neighbour is written: 'name(code)', 'name', 'name(category)', 'a -[p]-> b (conf=0.00)' or 'event @ day — label'; missing parts are None."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    with_ = lambda c: F.concat(text(name), F.lit("("), text(c), F.lit(")"))
+    fact = F.concat(text(subject), F.lit(" -["), text(predicate), F.lit("]-> "), text(target), F.lit(" (conf="), F.format_string("%.2f", F.coalesce(confidence, F.lit(0.0))), F.lit(")"))
+    happened = F.concat(text(event), F.lit(" @ "), text(day), F.lit(" — "), text(label))
+    return F.when(kind == "org", with_(code)).when(kind == "person", text(name)).when(kind.isin("product", "tech"), with_(category)).when(kind == "fact", fact).when(kind == "event", happened)
+
+
 #: Headings of the lines of a context block.
 CONTEXT_LINES = (("org", "관련 회사"), ("person", "관련 인물"), ("product", "제품"), ("tech", "기술"))
 
@@ -181,15 +192,16 @@ def rebuilt(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def flagged(meta: Column, key: str, value: str) -> Column:
-    """SNK18: a JSON object with one field set; NULL or malformed texts count as empty."""
-    held = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """SNK18: a JSON object with one field set to a JSON value; the other fields keep theirs, whatever their types. NULL or malformed texts count as empty."""
+    empty = F.from_json(F.lit("{}"), "map<string,variant>")
+    held = F.coalesce(F.from_json(meta, "map<string,variant>"), empty)
     kept = F.map_filter(held, lambda k, v: k != key)
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.lit(value))))
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(F.lit(value)))))
 
 
 def feeds(news: DataFrame, table: DataFrame) -> DataFrame:
     """SNK25: publisher and category of each legacy row by its feed; unknown feeds keep their name as publisher."""
-    rows = news.join(F.broadcast(table), "feed", "left")
+    rows = news.join(table, "feed", "left")
     return rows.withColumn("publisher", F.coalesce("publisher", "feed")).withColumn("category", F.coalesce("category", F.lit("")))
 
 

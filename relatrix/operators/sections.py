@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Headings of three levels, and the sections that are kept.
 HEADINGS = (("roman", r"^\s*([IVXLCDM]+)\.\s+(.+?)\s*$"), ("arabic", r"^\s*(\d+)\.\s+(.+?)\s*$"), ("hangul", r"^\s*([가-힣])\.\s+(.+?)\s*$"))
@@ -55,15 +59,24 @@ def sections(docs: DataFrame, least: int = 30) -> DataFrame:
 
 
 def packed(sizes: Column, most: int) -> Column:
-    """WIN16: for each size the number of its pack: a pack is closed when the next item would pass ``most``; larger items stand alone."""
+    """WIN16: for each size the number of its pack: a pack that holds something is closed when the next item would pass ``most``; larger items stand alone.
+
+    One pass over Arrow batches; a fold in the JVM would copy the list at every step.
+    """
+
+    def number(rows: pd.Series) -> pd.Series:
+        def one(own: Iterable[int]) -> list[int]:
+            out, held, pack = [], 0, 0
+            for n in own:
+                if out and held + n > most and out[-1] == pack:
+                    held, pack = 0, pack + 1
+                held += n
+                out.append(pack)
+            return out
 
-    def step(s: Column, n: Column) -> Column:
-        new = (s["held"] > 0) & (s["held"] + n > most)
-        at = s["pack"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(s["held"] + n).cast("bigint").alias("held"), at.alias("pack"), F.concat(s["out"], F.array(at)).alias("out"))
+        return rows.map(lambda own: None if own is None else one(own))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return F.pandas_udf(number, ArrayType(IntegerType()))(sizes)
 
 
 def paragraph_packs(docs: DataFrame, most: int) -> DataFrame:
@@ -74,28 +87,32 @@ def paragraph_packs(docs: DataFrame, most: int) -> DataFrame:
     return items.groupBy("doc_id", F.col("k").alias("pack")).agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("a")).select("doc_id", "pack", F.array_join(F.expr("transform(a, x -> x.p)"), "\n\n").alias("text"))
 
 
-def chunk_kind(chars: Column, micro: int = 1500, macro: int = 3000) -> Column:
-    """TXT6: a section within the first bound is one small chunk, within the second one large chunk, else it is split."""
-    return F.when(chars <= micro, "text_micro").when(chars <= macro, "text_macro").otherwise("split")
-
-
-def section_chunks(rows: DataFrame, most: int, micro: int = 1500, macro: int = 3000) -> DataFrame:
-    """TXT6: (doc_id, part, kind, text): whole sections or, for long ones, their paragraph packs as small chunks under a large parent cut at ``macro``."""
-    kind = chunk_kind(F.length("text"), micro, macro)
-    rows = rows.withColumn("kind", kind)
-    whole = rows.where("kind <> 'split'").select("doc_id", F.lit(0).alias("part"), "kind", "text")
-    long = rows.where("kind = 'split'")
-    parent = long.select("doc_id", F.lit(-1).alias("part"), F.lit("text_macro").alias("kind"), F.substring("text", 1, macro).alias("text"))
-    small = paragraph_packs(long.select("doc_id", "text"), most).select("doc_id", F.col("pack").alias("part"), F.lit("text_micro").alias("kind"), "text")
-    return whole.unionByName(parent).unionByName(small)
+#: Ranges that rows are numbered in side by side, as two steps of so many each.
+STEPS, SAMPLED = 32, 20_000
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``row_no`` from 0 in key order, gapless: ranges of the key are numbered side by side, and each starts where those before it end."""
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sums = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task
-    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.join(F.broadcast(before), "_part").withColumn("row_no", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    """Rows with ``row_no`` from 0 in key order (NULL first), gapless.
+
+    The key's range is cut at places that a sample shows; a row's range depends on its key alone, so counting the ranges and numbering the rows in
+    them agree, however Spark deals the rows out. Ranges are numbered side by side and each starts where those before it end. The key should be nearly
+    unique: equal keys share a range.
+    """
+    share = min(1.0, SAMPLED / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.select(key).sample(share, 7).collect() if r[0] is not None)
+    cuts = sorted({seen[i * len(seen) // STEPS**2] for i in range(STEPS**2)}) if seen else []
+    groups = [cuts[i : i + STEPS] for i in range(0, len(cuts), STEPS)]
+    kind = rows.schema[key].dataType
+    before = lambda values: F.size(F.filter(values, lambda x: x <= F.col(key)))
+    literal = lambda values: F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")
+    high = before(literal([g[0] for g in groups]))
+    low = before(F.get(F.array(*[literal(g) for g in groups]), high - 1)) if groups else F.lit(0)
+    part = F.when(F.col(key).isNull(), F.lit(-1)).when(high == 0, F.lit(0)).otherwise(high * (STEPS + 1) + low)
+    parts = rows.withColumn("_part", part)
+    sums = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # at most STEPS * STEPS + 2 rows
+    starts = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return parts.withColumn("_at", at).join(F.broadcast(starts), "_part").withColumn("row_no", F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
 
 
 def batches(docs: DataFrame, size: int = 10, cut: int = 2000) -> DataFrame:
@@ -105,7 +122,29 @@ def batches(docs: DataFrame, size: int = 10, cut: int = 2000) -> DataFrame:
     return g.agg(F.array_sort(F.collect_list(F.struct("doc_id", "body"))).alias("docs"))
 
 
-def triggers(text: Column, words: dict[str, tuple[str, ...]]) -> Column:
-    """TXT2: categories whose trigger words the text holds, in order; an empty list is no trigger."""
-    hit = lambda ws: F.reduce(F.array(*[F.lit(w) for w in ws]), F.lit(False), lambda s, w: s | F.contains(F.coalesce(text, F.lit("")), w))
-    return F.array_compact(F.array(*[F.when(hit(ws), F.lit(c)) for c, ws in words.items()]))
+#: Words that make a text worth a model's reading, by what they may tell.
+TRIGGERS = {
+    "events": (
+        "인수", "합병", "M&A", "취득", "분할", "분할합병", "흡수합병", "주식 교환", "주식교환", "주식 이전", "주식이전",
+        "증자", "유상증자", "무상증자", "감자", "유무상증자", "전환사채", "신주인수권", "교환사채", "사채 발행", "자기주식",
+        "영업양수", "영업양도", "영업 양수", "영업 양도", "양수도", "공급계약", "단일판매", "공급 계약", "수주",
+        "임원 변경", "이사회 결의", "사내이사", "사외이사", "대표이사 선임", "최대주주 변경", "지분 매각", "지분 인수",
+        "상장", "상장폐지", "코스피 이전", "부도", "법정관리", "회생절차", "정정공시", "해산", "소송",
+    ),
+    "relations": (
+        "공급", "납품", "협력사", "협력업체", "공급망", "공급사", "고객사", "주요 고객", "원료 공급", "경쟁", "라이벌", "시장 점유율",
+        "자회사", "관계회사", "계열사", "지분 보유", "생산", "제조", "출시", "양산", "개발", "조달", "구매",
+    ),
+    "tech": (
+        "도입", "적용", "전환", "개발 완료", "양산 적용", "EUV", "ArF", "GAA", "FinFET", "HBM", "DRAM", "NAND",
+        "CoWoS", "TC 본더", "TC본더", "포토레지스트", "감광액", "파운드리", "패키징", "후공정", "전공정", "노광", "식각", "증착",
+    ),
+}
+
+
+def triggers(text: Column, words: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """TXT2: array of (category, hits) of the categories whose trigger words the text holds, in the order of the table; an empty list is no trigger."""
+    held = F.coalesce(text, F.lit(""))
+    hits = lambda ws: F.filter(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(held, w))
+    rows = [F.struct(F.lit(c).alias("category"), hits(ws).alias("hits")) for c, ws in (words or TRIGGERS).items()]
+    return F.filter(F.array(*rows), lambda r: F.size(r["hits"]) > 0)

@@ -12,29 +12,31 @@ _BODIES = [("머리\nI. 회사의 개요\n글\n II.사업 \nIV 없음", '{"2":["
 _NAMED = [("[기재정정]사업보고서 (2024.12)", "사업보고서 (2024.12)", "사업보고서 (2024.12)"), (None, "기타", ""), ("반기보고서", "반기보고서", "반기보고서")]
 
 
-@query(f"""SELECT o_orderkey AS receipt, {sql_case('o_orderkey', [b for _, b, _ in _NAMED])} AS kind, {sql_case('o_orderkey', [c for *_, c in _NAMED])} AS title, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS day, '' AS short, {sql_case('o_orderkey', [b for _, b in _BODIES])} AS pages, CAST({sql_case('o_orderkey', [len(a or '') for a, _ in _BODIES])} AS INT) AS chars FROM orders""")
+@query(f"""SELECT o_orderkey AS receipt, {sql_case('o_orderkey', [b for _, b, _ in _NAMED])} AS kind, {sql_case('o_orderkey', [c for *_, c in _NAMED])} AS title, {sql_case('o_orderkey', [a or '' for a, *_ in _NAMED])} AS report, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority ELSE '' END AS filer, CASE WHEN o_orderkey % 2 = 0 THEN 'claude_temp' ELSE '' END AS method, o_orderkey % 5 = 0 AS verified,
+CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END AS facts, CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE sha1({sql_case('o_orderkey', [a or '' for a, _ in _BODIES])})[1:16] END AS hash16, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS day, '' AS short, {sql_case('o_orderkey', [b for _, b in _BODIES])} AS pages, CAST({sql_case('o_orderkey', [len(a or '') for a, _ in _BODIES])} AS INT) AS chars FROM orders""")
 def txt7_s40_document_rows(read):
     k = F.col("o_orderkey")
     o = read("orders")
-    summaries = o.select(k.alias("receipt"), F.lit("기타").alias("kind"), F.lit(None).cast("string").alias("short"))
-    reports = o.where("o_orderkey % 3 <> 1").select(k.alias("receipt"), by_case("o_orderkey", [a for a, *_ in _NAMED]).alias("name"), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyyMM")).alias("received"))
+    summaries = o.select(k.alias("receipt"), F.lit("기타").alias("kind"), F.lit(None).cast("string").alias("short"), F.when(k % 2 == 0, "claude_temp").alias("method"), F.when(k % 5 == 0, True).alias("verified"), F.when(k % 2 == 0, F.array("o_orderstatus")).alias("facts"))
+    reports = o.where("o_orderkey % 3 <> 1").select(k.alias("receipt"), by_case("o_orderkey", [a for a, *_ in _NAMED]).alias("name"), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyyMM")).alias("received"), F.col("o_orderpriority").alias("filer"))
     bodies = o.where("o_orderkey % 4 <> 2").select(k.alias("receipt"), by_case("o_orderkey", [a for a, _ in _BODIES]).alias("body"))
-    return D.document_rows(summaries, reports, bodies)
+    return D.document_rows(summaries, reports, bodies).withColumn("facts", F.array_join("facts", ","))
 
 
-#: (old method, old companies, recheck, text, rule companies, model companies) -> (companies, method), None if the row is left out.
+#: (old method, old companies, recheck, text, rule companies, model companies, old rule companies, old model companies) -> (companies, method), None if the row is left out.
 _NEWS = [
-    (("rule", "A", False, "t", "B", "C"), ("A", "rule")), ((None, "", False, "t", "A,B", "C"), ("A,B", "rule")), ((None, "", False, "t", "", "C"), ("C", "llm")),
-    ((None, "", False, "t", "", ""), ("", "none")), ((None, "", False, " ", "A", ""), None), (("llm", "C", True, "t", "B", "C"), ("B,C", "llm+rule_recheck")),
-    (("none", "", True, "t", "B", ""), ("B", "rule")), (("rule", "B", True, "t", "B", "C"), ("B,C", "rule")),
+    (("rule", "A", False, "t", "B", "C", "A", ""), ("A", "rule")), ((None, "", False, "t", "A,B", "C", "", ""), ("A,B", "rule")), ((None, "", False, "t", "", "C", "", ""), ("C", "llm")),
+    ((None, "", False, "t", "", "", "", ""), ("", "none")), ((None, "", False, " ", "A", "", "", ""), None), (("llm", "C", True, "t", "B", "X", "", "C"), ("B,C", "llm+rule_recheck")),
+    (("none", "", True, "t", "B", "", "", ""), ("B", "rule")), (("rule", "B", True, "t", "B", "C", "B", ""), ("B", "rule")), (("llm", "C", True, "t", "C", "", "", "C"), ("C", "llm+rule_recheck")),
+    (("", "A", False, "t", "B", "", "A", ""), ("B", "rule")), ((None, "", True, "t", "", "C", "", "D"), ("D", "none")),
 ]
 
 
-@query(f"SELECT * FROM (SELECT o_orderkey AS news_id, {sql_case('o_orderkey', [w and w[0] for _, w in _NEWS])} AS companies, {sql_case('o_orderkey', [w and w[1] for _, w in _NEWS])} AS method FROM orders) WHERE method IS NOT NULL")
+@query(f"SELECT * FROM (SELECT doc_id AS news_id, {sql_case('doc_id', [w and w[0] for _, w in _NEWS])} AS companies, {sql_case('doc_id', [w and w[1] for _, w in _NEWS])} AS method FROM chunks) WHERE method IS NOT NULL")
 def txt9_matched_news(read):
-    c = lambda i: by_case("o_orderkey", [a[i] for a, _ in _NEWS])
+    c = lambda i: by_case("doc_id", [a[i] for a, _ in _NEWS])
     many = lambda x: F.filter(F.split(x, ","), lambda y: y != "")
-    o = read("orders").select(F.col("o_orderkey").alias("news_id"), c(0).alias("old_method"), many(c(1)).alias("old_companies"), c(2).alias("recheck"), c(3).alias("title"), F.lit("").alias("body"), many(c(4)).alias("r"), many(c(5)).alias("m"))
+    o = read("chunks").select(F.col("doc_id").alias("news_id"), c(0).alias("old_method"), many(c(1)).alias("old_companies"), c(2).alias("recheck"), c(3).alias("title"), F.when(c(3) == " ", "").otherwise(F.col("text")).alias("body"), many(c(4)).alias("r"), many(c(5)).alias("m"), many(c(6)).alias("old_rules"), many(c(7)).alias("old_models"))
     hits = lambda x: o.select("news_id", F.explode(x).alias("company"))
     return D.matched_news(o.drop("r", "m"), hits("r"), hits("m")).withColumn("companies", F.array_join("companies", ","))
 

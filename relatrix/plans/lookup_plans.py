@@ -53,22 +53,25 @@ def jon26_patched(read):
 _VIEW = "SELECT src, dst, type AS grp, CAST(evidence_count AS DOUBLE) AS weight FROM edges WHERE type IN ('SUPPLIES', 'COMPETES_WITH') AND evidence_count >= {n}"
 
 
-@query(f"WITH v AS ({_VIEW.format(n=60)}) SELECT DISTINCT node FROM (SELECT src AS node FROM v UNION ALL SELECT dst FROM v UNION ALL SELECT 'N0')")
+@query(f"WITH v AS ({_VIEW.format(n=4)}) SELECT DISTINCT node FROM (SELECT src AS node FROM v UNION ALL SELECT dst FROM v UNION ALL SELECT 'N0')")
 def fil23_view_nodes(read):
     e = read("edges").select("src", "dst", F.col("type").alias("grp"), F.col("evidence_count").cast("double").alias("weight"))
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).union(read("region").limit(1).select(F.lit("N0"))).distinct()
-    return L.linked_only(nodes, e, read("region").limit(1).select(F.lit("N0").alias("node")), ["SUPPLIES", "COMPETES_WITH"], 60.0)[0]
+    return L.linked_only(nodes, e, read("region").limit(1).select(F.lit("N0").alias("node")), ["SUPPLIES", "COMPETES_WITH"], 4.0)[0]
 
 
-_LINKS = "SELECT DISTINCT l_orderkey AS chunk, CASE l_suppkey % 4 WHEN 0 THEN 'org' WHEN 1 THEN 'person' WHEN 2 THEN 'product' ELSE 'fact' END AS kind, concat('E', CAST(l_suppkey AS VARCHAR)) AS item FROM lineitem WHERE l_orderkey % 3 > 0"
+_LINKS = "SELECT DISTINCT l_orderkey AS chunk, CASE l_suppkey % 5 WHEN 0 THEN 'org' WHEN 1 THEN 'person' WHEN 2 THEN 'product' WHEN 3 THEN 'fact' ELSE 'event' END AS kind, concat('E', CAST(l_suppkey AS VARCHAR)) AS item FROM lineitem WHERE l_orderkey % 3 > 0"
 
 
-@query(f"""WITH l AS ({_LINKS}), r AS (SELECT *, row_number() OVER (PARTITION BY chunk, kind ORDER BY item) AS rn FROM l), g AS (SELECT chunk, string_agg(item, ', ' ORDER BY item) FILTER (WHERE kind = 'org') AS o, string_agg(item, ', ' ORDER BY item) FILTER (WHERE kind = 'person') AS p,
-string_agg(item, ', ' ORDER BY item) FILTER (WHERE kind = 'product') AS q, string_agg(concat('  fact: ', item), chr(10) ORDER BY item) FILTER (WHERE kind = 'fact') AS f FROM r WHERE rn <= 2 GROUP BY chunk)
-SELECT o_orderkey AS chunk, concat_ws(chr(10), concat('[chunk:', CAST(o_orderkey AS VARCHAR), ']'), '  관련 회사: ' || o, '  관련 인물: ' || p, '  제품: ' || q, f) AS block FROM orders LEFT JOIN g ON o_orderkey = chunk""")
+@query(f"""WITH l AS ({_LINKS}), r AS (SELECT *, row_number() OVER (PARTITION BY chunk, kind ORDER BY item) AS rn FROM l), g AS (SELECT chunk, string_agg(concat(item, '(', item, ')'), ', ' ORDER BY item) FILTER (WHERE kind = 'org') AS o, string_agg(item, ', ' ORDER BY item) FILTER (WHERE kind = 'person') AS p,
+string_agg(concat(item, '(None)'), ', ' ORDER BY item) FILTER (WHERE kind = 'product') AS q, string_agg(concat('  fact: ', item, ' -[SUPPLIES]-> E0 (conf=0.50)'), chr(10) ORDER BY item) FILTER (WHERE kind = 'fact') AS f,
+string_agg(concat('  event: MERGED_WITH @ 1999 — ', item), chr(10) ORDER BY item) FILTER (WHERE kind = 'event') AS e FROM r WHERE rn <= 2 GROUP BY chunk)
+SELECT o_orderkey AS chunk, concat_ws(chr(10), concat('[chunk:', CAST(o_orderkey AS VARCHAR), ']'), '  관련 회사: ' || o, '  관련 인물: ' || p, '  제품: ' || q, f, e) AS block FROM orders LEFT JOIN g ON o_orderkey = chunk""")
 def jon16_ret7_contexts(read):
-    k = F.col("l_suppkey") % 4
-    links = read("lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("chunk"), F.when(k == 0, "org").when(k == 1, "person").when(k == 2, "product").otherwise("fact").alias("kind"), F.concat(F.lit("E"), F.col("l_suppkey").cast("string")).alias("item")).distinct()
+    k, own, none = F.col("l_suppkey") % 5, F.concat(F.lit("E"), F.col("l_suppkey").cast("string")), F.lit(None).cast("string")
+    kind = F.when(k == 0, "org").when(k == 1, "person").when(k == 2, "product").when(k == 3, "fact").otherwise("event")
+    item = L.context_item(kind, name=own, code=own, category=none, subject=own, predicate=F.lit("SUPPLIES"), target=F.lit("E0"), confidence=F.lit(0.5), event=F.lit("MERGED_WITH"), day=F.lit("1999"), label=own)
+    links = read("lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("chunk"), kind.alias("kind"), item.alias("item"), own.alias("pos")).distinct()
     return L.context_block(L.contexts(read("orders").select(F.col("o_orderkey").alias("chunk")), links, 2))
 
 
@@ -217,11 +220,11 @@ def snk12_snk23_updates(read):
     return L.filled_where_null(L.marked_ready(rows, "F"), "body", F.lit("none")).select("id", "line", "status", "body")
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, 'true' AS flag FROM events""")
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN '{"needs_rule":true}' ELSE concat('{"k":', json_extract_string(props, '$.k'), CASE WHEN event_id % 3 = 2 THEN ',"b":{"c":2},"e":[1,null,"x"]' ELSE '' END, ',"needs_rule":true}') END AS meta FROM events""")
 def snk18_flagged(read):
-    meta = F.when(F.col("event_id") % 3 == 1, F.col("props")).when(F.col("event_id") % 3 == 2, F.regexp_replace("props", r"\}$", ', "needs_rule": "false"}'))
+    meta = F.when(F.col("event_id") % 3 == 1, F.col("props")).when(F.col("event_id") % 3 == 2, F.regexp_replace("props", r"\}$", ', "needs_rule": "false", "b": {"c": 2}, "e": [1, null, "x"]}')).otherwise(F.when(F.col("event_id") % 2 == 0, "{broken"))
     out = L.flagged(meta, "needs_rule", "true")
-    return read("events").select(F.col("event_id").alias("id"), F.get_json_object(out, "$.k").alias("k"), F.get_json_object(out, "$.needs_rule").alias("flag"))
+    return read("events").select(F.col("event_id").alias("id"), out.alias("meta"))
 
 
 @query("SELECT doc_id, CASE WHEN source LIKE '%1%' THEN 'one' ELSE source END AS publisher, CASE WHEN source LIKE '%1%' THEN 'economy' ELSE '' END AS category FROM documents")

@@ -80,10 +80,10 @@ def win12_year_on_year(read):
 
 @query("""WITH p AS (SELECT *, strftime(day, '%Y-%m') AS month FROM prices)
 SELECT corp, month, round(min_by(close, {'d': day, 's': seq}) FILTER (WHERE close IS NOT NULL), 6) AS open, round(max_by(close, {'d': day, 's': seq}) FILTER (WHERE close IS NOT NULL), 6) AS close, round(max(close), 6) AS high, round(min(close), 6) AS low,
-round(avg(close), 4) AS mean, count(*) AS rows_, count(close) AS priced, CAST(sum(seq % 100) FILTER (WHERE seq % 5 > 0) AS BIGINT) AS volume, CAST(floor(avg(seq % 100) FILTER (WHERE seq % 5 > 0)) AS BIGINT) AS mean_volume, count(DISTINCT day) AS days FROM p GROUP BY corp, month HAVING count(close) > 0""")
+round(avg(close), 9) AS mean, count(*) AS rows_, count(close) AS priced, CAST(sum(seq % 100) FILTER (WHERE seq % 5 > 0) AS BIGINT) AS volume, CAST(floor(avg(seq % 100) FILTER (WHERE seq % 5 > 0)) AS BIGINT) AS mean_volume, count(DISTINCT day) AS days FROM p GROUP BY corp, month HAVING count(close) > 0""")
 def agg15_monthly_ohlc(read):
     rows = read("prices").withColumn("volume", F.when(F.col("seq") % 5 > 0, F.col("seq") % 100))
-    return A.monthly_ohlc(rows).select("corp", "month", *[r6(c).alias(c) for c in ("open", "close", "high", "low")], F.round("mean", 4).alias("mean"), "rows_", "priced", "volume", "mean_volume", "days")
+    return A.monthly_ohlc(rows).select("corp", "month", *[r6(c).alias(c) for c in ("open", "close", "high", "low")], F.round("mean", 9).alias("mean"), "rows_", "priced", "volume", "mean_volume", "days")
 
 
 @query("""SELECT corp, round(max_by(close, {'d': day, 's': seq}), 6) AS last, round(avg(close), 4) AS mean, round(min(close), 6) AS low, round(max(close), 6) AS high, count(*) AS n, array_to_string(list(CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR) ORDER BY day, seq)[greatest(1, count(*) - 23):], ',') AS samples FROM prices WHERE close IS NOT NULL GROUP BY corp""")

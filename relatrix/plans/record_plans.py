@@ -55,10 +55,10 @@ def s19_years_and_periods(read):
 
 
 @query("""SELECT c_custkey AS id, md5(concat(c_name, '|', c_nationkey, '|', c_mktsegment, '|CFS|BS|11011'))[1:16] AS metric, sha1(concat(c_name, '|', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END))[1:16] AS row_key,
-sha1(concat('{"bgn_de": "', CAST(c_custkey AS VARCHAR), '", "corp_code": "', c_name, '"}'))[1:8] AS params FROM customer""")
+sha1(concat('{"bgn_de": ', CAST(c_custkey AS VARCHAR), ', "corp_code": "', c_name, '", "last": ', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'null' END, ', "memo": "a\\n\\"b\\\\c"}'))[1:8] AS params FROM customer""")
 def s6_s30_s31_keys(read):
     part = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
-    params = F.create_map(F.lit("corp_code"), F.col("c_name"), F.lit("crtfc_key"), F.lit("secret"), F.lit("bgn_de"), F.col("c_custkey").cast("string"))
+    params = {"corp_code": F.col("c_name"), "crtfc_key": F.lit("secret"), "bgn_de": F.col("c_custkey"), "last": F.when(F.col("c_custkey") % 2 == 0, True), "memo": F.lit('a\n"b\\c')}
     metric = R.metric_id(F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.lit("CFS"), F.lit("BS"), F.lit("11011"))
     return read("customer").select(F.col("c_custkey").alias("id"), metric.alias("metric"), R.row_hash(F.col("c_name"), part).alias("row_key"), R.params_hash(params).alias("params"))
 
@@ -154,9 +154,9 @@ def fil14_agg28_routes(read):
     return class_samples(rows, "route", "id", 5).select("route", F.col("n").alias("chunks"), F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 
-@query("SELECT user_id AS corp, count(*) AS days FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15' AND event_type IN (SELECT DISTINCT event_type FROM events WHERE event_type LIKE '%c%') GROUP BY user_id")
+@query("SELECT user_id AS corp, count(*) AS days FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15' AND event_type IN ('click', 'purchase', 'view') AND event_type LIKE '%c%' GROUP BY user_id")
 def fil9_fil21_fil25_subset(read):
     from ..operators.extraction import subset
 
-    rows = subset(read("events"), {"event_type": None, "user_id": []}).where((F.col("ts").cast("date") >= F.lit("2024-01-15").cast("date")) & F.col("event_type").rlike("^.*c.*$"))
+    rows = subset(read("events"), {"event_type": ["click", "purchase", "view"], "user_id": [], "props": None}).where((F.col("ts").cast("date") >= F.lit("2024-01-15").cast("date")) & F.col("event_type").rlike("^.*c.*$"))
     return rows.groupBy(F.col("user_id").alias("corp")).agg(F.count("*").alias("days"))

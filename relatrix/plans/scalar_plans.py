@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .registry import query
+from .registry import by_case, query, sql_case
 
 
 @query("""SELECT c_custkey AS id, md5(concat('corp', '|', c_name, '|', CAST(c_nationkey AS VARCHAR)))[1:16] AS h16, regexp_replace(md5(c_name), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS uuid,
@@ -21,13 +21,17 @@ def s8_s10_names(read):
     return read("supplier").select(F.col("s_suppkey").alias("id"), S.canonical_name(raw).alias("canonical"), S.aggressive_name(raw).alias("aggressive"), S.holder_key(F.concat("s_name", F.lit(" (Co)"))).alias("holder"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 < 3 THEN -CAST(floor(o_totalprice) AS BIGINT) ELSE CAST(floor(o_totalprice) AS BIGINT) END AS amount, CAST(o_orderkey % 100 AS DOUBLE) / 10 AS rate FROM orders""")
+#: Forms of an amount whose value is the same in every row, and that value.
+_AMOUNTS = [("2024-01-01", None), ("1-2", None), ("12(3", None), ("▲5", None), ("△-1,234", -1234), ("(1 234.9)", -1234), ("-(5)", -5), ("—", None), ("", None), (" 1.5e3 ", 1500), ("12d", None), ("(-7)", 7), ("+8", 8)]
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 < 3 THEN -CAST(floor(o_totalprice) AS BIGINT) ELSE CAST(floor(o_totalprice) AS BIGINT) END AS amount, {sql_case('o_orderkey', [b for _, b in _AMOUNTS])} AS form, CAST(o_orderkey % 100 AS DOUBLE) / 10 AS rate FROM orders""")
 def s11_s14_amounts(read):
     n = F.format_number(F.floor("o_totalprice"), 0)
     k = F.col("o_orderkey") % 5
     raw = F.when(k == 0, "-").when(k == 1, F.concat(F.lit("△"), n)).when(k == 2, F.concat(F.lit("("), n, F.lit(")"))).otherwise(n)
     rate = F.concat((F.col("o_orderkey") % 100 / 10).cast("string"), F.lit("%"))
-    return read("orders").select(F.col("o_orderkey").alias("id"), S.parse_amount(raw).alias("amount"), S.parse_rate(rate).alias("rate"))
+    return read("orders").select(F.col("o_orderkey").alias("id"), S.parse_amount(raw).alias("amount"), S.parse_amount(by_case("o_orderkey", [a for a, _ in _AMOUNTS])).alias("form"), S.parse_rate(rate).alias("rate"))
 
 
 @query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS loose, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS shown, CASE WHEN year(o_orderdate) >= 2000 THEN CAST(o_orderdate AS DATE) END AS url_day FROM orders""")
@@ -40,7 +44,7 @@ def s15_s18_s38_dates(read):
     return read("orders").select(F.col("o_orderkey").alias("id"), S.parse_date_loose(raw).alias("loose"), S.format_time(solid).alias("shown"), S.url_date(url).alias("url_day"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN concat(printf('%.1f', (p_partkey + 1) * 1e12 / 1e12), '조') WHEN p_partkey % 3 = 1 THEN concat(printf('%.0f', (p_partkey + 1) * 1e8 / 1e8), '억') ELSE concat(CAST(p_partkey + 1 AS VARCHAR), '원') END AS label  FROM part""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN concat(printf('%.1f', (p_partkey + 1) * 1e12 / 1e12), '조') WHEN p_partkey % 3 = 1 AND p_partkey >= 9999 THEN concat(printf('%.1f', (p_partkey + 1) * 1e8 / 1e12), '조') WHEN p_partkey % 3 = 1 THEN concat(printf('%.0f', (p_partkey + 1) * 1e8 / 1e8), '억') ELSE concat(CAST(p_partkey + 1 AS VARCHAR), '원') END AS label  FROM part""")
 def prj8_s20_money(read):
     k = F.col("p_partkey") % 3
     won = (F.col("p_partkey") + 1) * F.when(k == 0, 1e12).when(k == 1, 1e8).otherwise(1.0)

@@ -52,7 +52,7 @@ SELECT qid, item, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PA
 def ret3_set5_fuse(read):
     words = read("chunks").select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
     asked = read("benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
-    n = words.join(F.broadcast(asked), "term").groupBy("qid", "item").agg(F.count("*").alias("n"))
+    n = words.join(asked, "term").groupBy("qid", "item").agg(F.count("*").alias("n"))
     overlap = n.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "item"))).where("rank <= 50")
     return R.fuse(_bm25(read, 50).withColumnRenamed("doc_id", "item"), overlap).select("qid", "item", F.round("score", 9).alias("score"))
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import published
@@ -39,7 +39,14 @@ def read_catalogue(spark: SparkSession, path: str, names: dict[str, str]) -> Dat
 
 
 #: Named entities that feeds use without declaring them.
-FEED_ENTITIES = {"nbsp": " ", "hellip": "…", "middot": "·", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’"}
+FEED_ENTITIES = {
+    "nbsp": " ", "copy": "(c)", "reg": "(R)", "trade": "(TM)",
+    "hellip": "...", "ndash": "-", "mdash": "--",
+    "lsquo": "'", "rsquo": "'", "ldquo": '"', "rdquo": '"',
+    "laquo": "<<", "raquo": ">>", "times": "x", "divide": "/",
+    "deg": "deg", "euro": "EUR", "pound": "GBP", "yen": "JPY", "cent": "c",
+    "middot": "*", "bull": "*",
+}
 
 
 def clean_feed(text: Column) -> Column:
@@ -111,35 +118,40 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, "key string, name string, aliases array<string>, tickers array<string>, domain string")
 
 
-def page_lookup(pages: DataFrame, texts: DataFrame, head: int = 80) -> DataFrame:
-    """SRC21: (text_id, page): the first page (1-based) of the document whose text holds the first characters of a text, spaces aside; NULL if none does.
+def page_lookup(pages: DataFrame, texts: DataFrame, head: int = 80, least: int = 20) -> DataFrame:
+    """SRC21: (text_id, page): the first page (1-based) of the document whose text holds the first characters of a text, spaces squeezed; NULL if none does.
 
-    ``pages``: (doc, page, content); ``texts``: (doc, text_id, content).
+    ``pages``: (doc, page, content); ``texts``: (doc, text_id, content). Texts of fewer than ``least`` characters are on no page.
     """
-    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), "^ | $", "")
     t = texts.select("doc", "text_id", F.substring(bare("content"), 1, head).alias("head"))
     p = pages.select("doc", "page", bare("content").alias("body"))
-    hits = t.where("head <> ''").join(p, "doc").where(F.contains("body", "head")).groupBy("doc", "text_id").agg(F.min("page").alias("page"))
+    hits = t.where(F.length("head") >= least).join(p, "doc").where(F.contains("body", "head")).groupBy("doc", "text_id").agg(F.min("page").alias("page"))
     return t.join(hits, ["doc", "text_id"], "left").select("doc", "text_id", "page")
 
 
 def read_vectors(spark: SparkSession, vectors: str, ids: str, size: int) -> DataFrame:
-    """SRC22: (id, embedding) of a raw little-endian float matrix of ``size`` columns (``.npy`` header allowed) and a text file of ids, line by line.
+    """SRC22: (id, embedding) of raw little-endian float matrices of ``size`` columns (``.npy`` header allowed) and a text file of ids, line by line.
 
-    Both are numbered by their place; the matrix is read as binary rows, split by Spark where the file is large.
+    Both are numbered by their place; the rows of several matrix files go on in the order of their names. A matrix file is read by
+    one task, so large matrices belong in several files; the ids are one small file beside them.
     """
-    raw = spark.read.format("binaryFile").load(vectors).select("content")
+    files = spark.read.format("binaryFile").load(vectors)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 at = 10 + int.from_bytes(data[8:10], "little") if data[:6] == b"\x93NUMPY" else 0
                 m = np.frombuffer(data, dtype="<f4", offset=at).reshape(-1, size)
                 for i in range(0, len(m), 10_000):
                     part = m[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_(pa.float32()))], names=["place", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_(pa.float32()))], names=["path", "at", "embedding"])
 
+    found = files.select("path", "content").mapInArrow(rows, "path string, at long, embedding array<float>")
+    counts = found.groupBy("path").agg(F.count("*").alias("n"))  # a row for each file
+    before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
     names = spark.read.text(ids, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("place", "id"))
-    return raw.mapInArrow(rows, "place long, embedding array<float>").join(names, "place").select("id", "embedding")
+    placed = found.join(before, "path").withColumn("place", F.col("before") + F.col("at"))
+    return placed.join(names, "place").select("id", "embedding")
