@@ -104,11 +104,11 @@ def pay_sentences(corp: Column, year: Column, name: Column, post: Column, total:
     return _rows(("full", _text(corp, " ", year.cast("string"), "년 보수 — '", _or(name), "' ", _or(post), ": 총액 ", _won(total), also, "."), None))
 
 
-def event_sentences(corp: Column, code: Column, received: Column, label: str, fields: Column) -> Column:
+def event_sentences(corp: Column, code: Column, received: Column, label: Column | str, fields: Column) -> Column:
     """TXT16: a decision and its fields (flat_fields)."""
-    return _rows(("full", _text(corp, "(", _or(code), ")는 ", normalize_date(received), f" {label} 결정. 세부: ", fields), None))
+    return _rows(("full", _text(corp, "(", _or(code), ")는 ", normalize_date(received), " ", label, " 결정. 세부: ", fields), None))
 
 
-def table_sentences(corp: Column, code: Column, year: Column, label: str, fields: Column) -> Column:
+def table_sentences(corp: Column, code: Column, year: Column, label: Column | str, fields: Column) -> Column:
     """TXT16: any other table row; nothing without fields."""
-    return _rows(("full", _text(corp, "(", _or(code), ") ", year.cast("string"), f"년 {label}: ", fields), fields != ""))
+    return _rows(("full", _text(corp, "(", _or(code), ") ", year.cast("string"), "년 ", label, ": ", fields), fields != ""))

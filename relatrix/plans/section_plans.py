@@ -23,10 +23,15 @@ _T = _BODY.strip()
 _WANT = [("II", 2, 4, f"{_T} \n가. 밖의 글자"), ("II/1", 5, 6, None), ("II/1/가", 7, 8, _T), ("III/3", 15, 16, _T), ("III/6", 17, 18, _T)]
 
 
-@query(" UNION ALL ".join(f"SELECT s_suppkey AS doc_id, {a} AS start_line, {b} AS end_line, '{p}' AS path, " + (f"concat('{_T} ', CAST(s_suppkey AS VARCHAR))" if t is None else "replace('" + t.replace("\n", "|") + "', '|', chr(10))") + " AS text FROM supplier" for p, a, b, t in _WANT))
+_OWN = "trim(replace(replace(text, chr(10), ' '), chr(9), ' '))"
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, {a} AS start_line, {b} AS end_line, '{p}' AS path, " + (f"concat('{_T} ', {_OWN})" if t is None else "replace('" + t.replace("\n", "|") + "', '|', chr(10))") + " AS text FROM chunks" for p, a, b, t in _WANT))
 def win17_sections(read):
-    text = F.concat(*[x for i, line in enumerate(_FILING) for x in (F.lit("" if i == 0 else "\n"), *([F.lit(line.replace("{id}", "")), F.col("s_suppkey").cast("string")] if "{id}" in line else [F.lit(line)]))])
-    out = X.sections(read("supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+    """The third part of each filing is a document's own text in one line."""
+    own = F.trim(F.translate(F.col("text"), "\n\t", "  "))
+    text = F.concat(*[x for i, line in enumerate(_FILING) for x in (F.lit("" if i == 0 else "\n"), *([F.lit(line.replace("{id}", "")), own] if "{id}" in line else [F.lit(line)]))])
+    out = X.sections(read("chunks").select("doc_id", text.alias("text")))
     return out.select("doc_id", "start_line", "end_line", F.array_join("path", "/").alias("path"), "text")
 
 
@@ -39,14 +44,6 @@ def win16_packs(read):
     return rows.select("id", F.array_join(X.packed(F.expr("transform(a, x -> cast(x.l_quantity as bigint))"), 60).cast("array<string>"), ",").alias("packs"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, length(text) AS n FROM chunks)
-SELECT doc_id, CASE WHEN n <= 1500 THEN 'text_micro' ELSE 'text_macro' END AS kind, n AS chars, md5(text) AS digest FROM d WHERE n <= 3000 UNION ALL SELECT doc_id, 'text_macro', 3000, md5(text[1:3000]) FROM d WHERE n > 3000 UNION ALL SELECT doc_id, 'text_micro', n, md5(text) FROM d WHERE n > 3000""")
-def txt6_section_chunks(read):
-    """The documents hold no empty lines, so a long one is one pack under its parent."""
-    out = X.section_chunks(read("chunks").select("doc_id", "text"), 400)
-    return out.select("doc_id", "kind", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
-
-
 @query("""WITH r AS (SELECT doc_id, text[1:2000] AS body, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM chunks WHERE doc_id % 7 > 0)
 SELECT CAST(floor(rn / 10) AS BIGINT) AS batch, count(*) AS docs, min(doc_id) AS first_doc, md5(string_agg(body, '|' ORDER BY doc_id)) AS digest FROM r GROUP BY 1""")
 def txt20_batches(read):
@@ -54,6 +51,12 @@ def txt20_batches(read):
     return out.select("batch", F.size("docs").cast("long").alias("docs"), F.expr("docs[0].doc_id").alias("first_doc"), F.md5(F.array_join(F.expr("transform(docs, x -> x.body)"), "|")).alias("digest"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN contains(text, 'http') OR contains(text, 'www') THEN 'web' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN contains(text, 'License') THEN 'legal' END) AS categories FROM chunks")
+#: Texts put behind a document's own: each tells of some categories, or of none.
+_TOLD = [("", ""), ("삼성이 인수합병을 공시", "events:인수+합병"), ("HBM 개발 완료, 공급계약", "events:공급계약|relations:공급+개발|tech:개발 완료+HBM"), ("TC본더 양산", "relations:양산|tech:TC본더"), ("날씨", ""), ("M&A", "events:M&A")]
+
+
+@query(f"SELECT doc_id, {sql_case('doc_id', [b for _, b in _TOLD])} AS found FROM chunks")
 def txt2_triggers(read):
-    return read("chunks").select("doc_id", F.array_join(X.triggers(F.col("text"), {"web": ("http", "www"), "mail": ("@",), "legal": ("License",)}), ",").alias("categories"))
+    found = X.triggers(F.concat("text", by_case("doc_id", [a for a, _ in _TOLD])))
+    said = F.transform(found, lambda r: F.concat(r["category"], F.lit(":"), F.array_join(r["hits"], "+")))
+    return read("chunks").select("doc_id", F.array_join(said, "|").alias("found"))
