@@ -18,8 +18,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
 
 
-def _nearest(k: int):
-    """The k best of a slice of unit vectors for each query of a block."""
+def _nearest(k: int, on: str | None = None):
+    """The k best of a slice of unit vectors for each query of a block; with ``on``, all rows have one value of that column."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -28,28 +28,66 @@ def _nearest(k: int):
             score = _matrix(queries["unit"]) @ _matrix(rows["unit"]).T
             by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
             out = [np.repeat(asked, by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()]
-        return pa.table([pa.array(x) for x in out], names=["qid", "vec_id", "score"])
+        columns = [pa.array(x) for x in out]
+        if on:
+            kind = rows.schema.field(on).type
+            columns.insert(0, pa.array([rows[on][0].as_py() if len(out[0]) else None] * len(out[0]), kind))
+        return pa.table(columns, names=[*([on] if on else []), "qid", "vec_id", "score"])
 
     return run
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 2048, slice_rows: int = 8192) -> DataFrame:
+def payload_filter(must: dict[str, object]) -> Column | None:
+    """FIL20: all of the conditions hold: a field equals a value, or is one of a list; None and empty lists ask for nothing."""
+    out = None
+    for field, wanted in must.items():
+        if wanted is None or wanted == [] or wanted == ():
+            continue
+        one = F.col(field).isin(*wanted) if isinstance(wanted, (list, tuple)) else F.col(field) == F.lit(wanted)
+        out = one if out is None else out & one
+    return out
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 2048, slice_rows: int = 8192, on: str | None = None) -> DataFrame:
     """RET1, TOP7, FIL20: nearest vectors of each query by cosine after the payload filter; zero and missing vectors take no part.
 
     Vectors are normalised once. ``queries`` (qid, query) are a stated set; blocks of them meet slices of the vectors, both
-    of bounded size, and only k rows a query leave each meeting, so nothing is broadcast and no pairs are written.
+    of bounded size, and only k rows a query leave each meeting, so nothing is broadcast and no pairs are written. With ``on``, both
+    frames have that column, a query may have several rows, and each row only meets the vectors of its own value; the column is returned.
     """
     rows = vectors.where(where) if where is not None else vectors
+    own = [on] if on else []
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / S.norm(F.col(c)))
-    rows = rows.where(S.norm(F.col("embedding")) > 0).select(F.col("vec_id").cast("long").alias("vec_id"), unit("embedding").alias("unit"))
-    asked = queries.where(S.norm(F.col("query")) > 0).select(F.col("qid").cast("long").alias("qid"), unit("query").alias("unit"))
+    rows = rows.where(S.norm(F.col("embedding")) > 0).select(*own, F.col("vec_id").cast("long").alias("vec_id"), unit("embedding").alias("unit"))
+    asked = queries.where(S.norm(F.col("query")) > 0).select(*own, F.col("qid").cast("long").alias("qid"), unit("query").alias("unit"))
     slices, blocks = max(1, -(-rows.count() // slice_rows)), max(1, -(-asked.count() // block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).select("*", every(blocks).alias("block"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).select("*", every(slices).alias("slice"))
-    part = rows.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_nearest(k), "qid long, vec_id long, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "vec_id", "score", "rank")
+    at = [*own, "block", "slice"]
+    kind = f"{vectors.schema[on].dataType.simpleString()} " if on else ""
+    part = rows.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_nearest(k, on), f"{f'`{on}` {kind}, ' if on else ''}qid long, vec_id long, score double")
+    order = Window.partitionBy("qid", *own).orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*own, "qid", "vec_id", "score", "rank")
+
+
+def company_search(queries: DataFrame, vectors: DataFrame, k: int, pool: int, where: Column | None = None) -> DataFrame:
+    """RET5: (qid, rank, corp, vec_id, score): a question about several companies, asked once for each of them.
+
+    ``queries``: (qid, query, corps, balanced); ``vectors``: (vec_id, corp, embedding, payload columns). Every company is searched by itself for
+    ``pool`` vectors. Balanced questions take max(1, k div companies) of each company first, in the order in which they were named; if these are fewer
+    than k, the rest follow by score until ``pool`` are held. Others take the ``pool`` best of all. A company named twice is one; one without vectors gives none.
+    """
+    named = queries.withColumn("corps", F.array_distinct(F.coalesce("corps", F.array().cast("array<string>"))))
+    asked = named.select("qid", "query", F.size("corps").alias("n"), "balanced", F.posexplode("corps").alias("place", "corp")).where("corp is not null")
+    found = dense_top_k(asked, vectors, pool, where, on="corp").join(asked.select("qid", "corp", "n", "place", "balanced"), ["qid", "corp"])
+    first = F.col("balanced") & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("n"))))
+    held = Window.partitionBy("qid")
+    rows = found.withColumn("first", first).withColumn("_held", F.count_if("first").over(held))
+    key = (F.desc("first"), F.when(F.col("first"), F.col("place")), F.when(F.col("first"), F.col("rank")), F.desc(F.round("score", 9)), "place", "vec_id")
+    rows = rows.withColumn("_at", F.row_number().over(held.orderBy(*key)))
+    kept = F.when(F.col("balanced"), F.col("first") | ((F.col("_held") < k) & (F.col("_at") <= pool))).otherwise(F.col("_at") <= pool)
+    return rows.where(kept).select("qid", F.col("_at").alias("rank"), "corp", "vec_id", "score")
 
 
 #: Asked terms up to this many are broadcast; more are joined by shuffling.
@@ -74,7 +112,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float
     weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
     idf = idf.join(small(terms), "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", weight.alias("idf"))
     tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(small(idf), "term").join(small(asked), "term")
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked  # a term may be asked for by many
+    hits = tf.join(small(idf), "term").join(few, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("times")
     scored = hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
@@ -130,10 +169,20 @@ def dictionary_scan(chunks: DataFrame, surfaces: list[tuple[str, str]]) -> DataF
     return chunks.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, etype string, surface string, start int")
 
 
+def near_entities(mentions: DataFrame, names: DataFrame, k: int = 3, where: Column | None = None) -> DataFrame:
+    """JON24: (surface, entity, name, score, rank): the nearest entities of each surface by their vectors.
+
+    ``mentions``: (qid, surface, query); ``names``: (vec_id, entity, name, embedding).
+    """
+    found = dense_top_k(mentions.select("qid", "query"), names, k, where)
+    return found.join(mentions.select("qid", "surface"), "qid").join(names.select("vec_id", "entity", "name"), "vec_id").select("surface", "entity", "name", "score", "rank")
+
+
 def link(mentions: DataFrame, aliases: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """ENT1 to ENT4, AGG29: canonical alias, raw alias, strict then loose vector match, else synthetic code.
 
-    ``mentions`` (surface), ``aliases`` (surface, entity, ambiguous), ``near`` (surface, entity, score, rank) with ranks 1, 2.
+    ``mentions`` (surface, and kind if vectors are looked up for organisations only), ``aliases`` (surface, entity, ambiguous), ``near`` (surface, entity, name, score, rank) with
+    ranks 1, 2. Strict: a score of 0.75 and 0.05 over the next; loose: equal canonical names from 0.55 on, whatever follows, else 0.70 and 0.03.
     """
     usable = aliases.where("not ambiguous").groupBy("surface").agg(F.max("entity").alias("entity"))
     canon = usable.select(S.canonical_name(F.col("surface")).alias("c"), "entity").groupBy("c").agg(F.max("entity").alias("by_canon"))
@@ -141,10 +190,12 @@ def link(mentions: DataFrame, aliases: DataFrame, near: DataFrame | None = None)
     stage = F.when(F.col("by_canon").isNotNull(), "alias_canonical").when(F.col("by_raw").isNotNull(), "alias_raw")
     entity = F.coalesce("by_canon", "by_raw")
     if near is not None:
-        first = near.where("rank = 1").select("surface", F.col("entity").alias("ve"), F.col("score").alias("vs"))
+        first = near.where("rank = 1").select("surface", F.col("entity").alias("ve"), F.col("score").alias("vs"), (F.col("name") if "name" in near.columns else F.lit(None).cast("string")).alias("vn"))
         second = near.where("rank = 2").select("surface", F.col("score").alias("vs2"))
         rows = rows.join(first, "surface", "left").join(second, "surface", "left")
-        margin = F.col("vs") - F.coalesce("vs2", F.lit(0.0))
-        strict, loose = (F.col("vs") >= 0.75) & (margin >= 0.05), (F.col("vs") >= 0.70) & (margin >= 0.03)
-        stage, entity = stage.when(strict, "vector_strict").when(loose, "vector_loose"), F.coalesce(entity, F.when(strict | loose, F.col("ve")))
+        fits = (F.col("kind") == "Organization") if "kind" in mentions.columns else F.lit(True)
+        margin = lambda m: F.col("vs2").isNull() | (F.col("vs") - F.col("vs2") >= m)
+        strict, loose = fits & (F.col("vs") >= 0.75) & margin(0.05), fits & (F.col("vs") >= 0.70) & margin(0.03)
+        same = fits & (F.col("c") != "") & (F.col("c") == S.canonical_name(F.col("vn"))) & (F.col("vs") >= 0.55)
+        stage, entity = stage.when(strict, "vector_strict").when(same | loose, "vector_loose"), F.coalesce(entity, F.when(strict | same | loose, F.col("ve")))
     return rows.select("surface", F.coalesce(entity, S.synthetic_code(F.col("c"))).alias("entity"), stage.otherwise("unlinked").alias("stage"))
