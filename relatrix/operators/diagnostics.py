@@ -164,3 +164,25 @@ def guarded(check: str, run: Callable[[], DataFrame], spark_scope: DataFrame) ->
         return run()
     except AnalysisException:
         return verdict(spark_scope.select("scope").distinct(), check, F.lit(0), F.lit(0), F.lit(True))
+
+
+def round_trip(left: DataFrame, right: DataFrame, key: str, fields: list[str], n: int, seed: str, check: str) -> DataFrame:
+    """DIA26: ``n`` rows of each scope of one store, looked up in the other by their key and compared field by field (NULL equals NULL).
+
+    The rows look drawn at random and are the same in every run: those with the least digests of seed and key. A key the other store has not is as bad as a
+    different field; of several rows of a key there any may match.
+    """
+    mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    drawn = left.withColumn("_r", F.row_number().over(Window.partitionBy("scope").orderBy(mixed, key))).where(F.col("_r") <= n)
+    other = right.select(key, F.struct(*fields).alias("_other"))
+    same = F.coalesce(F.struct(*fields).eqNullSafe(F.col("_other")), F.lit(False))
+    found = drawn.select("scope", key, *fields).join(other, key, "left").groupBy("scope", key).agg(F.bool_or(same).alias("same"))
+    sums = found.groupBy("scope").agg(F.count_if(~F.col("same")).alias("bad"), F.count("*").alias("total"))
+    return verdict(sums, check, F.col("bad"), F.col("total"), F.col("bad") > 0)
+
+
+def node_counts(companies: DataFrame, metrics: DataFrame) -> DataFrame:
+    """DIA20: a scope has companies (scope, corp) and metrics (scope, corp, metric); ``bad`` counts the companies without any metric."""
+    own = metrics.groupBy("scope", "corp").agg(F.count("*").alias("n"))
+    sums = companies.select("scope", "corp").distinct().join(own, ["scope", "corp"], "left").groupBy("scope").agg(F.count("*").alias("orgs"), F.sum(F.coalesce("n", F.lit(0))).alias("metrics"), F.count_if(F.col("n").isNull()).alias("bare"))
+    return verdict(sums, "I-03", F.col("bare"), F.col("orgs"), ~((F.col("orgs") > 0) & (F.col("metrics") > 0)))

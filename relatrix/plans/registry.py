@@ -60,8 +60,8 @@ def oracle(text: str) -> str:
     body = text.strip()
     if not with_:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {', '.join(with_)}, {body[5:]}"
+    if m := re.match(r"WITH (RECURSIVE )?", body):
+        return f"{m[0]}{', '.join(with_)}, {body[m.end() :]}"
     return f"WITH {', '.join(with_)} {body}"
 
 
@@ -92,4 +92,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gra1_ego_graph"](spark, sf_dir)
 
 
-from . import diagnostic_plans, document_plans, extraction_plans, graph_plans, lookup_plans, metric_plans, record_plans, scalar_plans, section_plans, sentence_plans, store_plans, table_plans, text_plans  # noqa: E402, F401
+from . import chunk_plans, diagnostic_plans, document_plans, extraction_plans, gold_plans, graph_plans, lookup_plans, metric_plans, pending_plans, profile_plans, record_plans, scalar_plans, section_plans, semantic_plans, sentence_plans, store_plans, table_plans, text_plans  # noqa: E402, F401

@@ -1,8 +1,9 @@
-"""Shipping this package to Python workers that do not have it on their path."""
+"""Shipping this package to Python workers that do not have it on their path, and folders that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,17 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(str(path))
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``; without that setting only a local session gets one, on its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="relatrix-")
+        _OWN[spark.sparkContext.applicationId] = root
+    return f"{root.rstrip('/')}/relatrix/{tag}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -58,8 +60,13 @@ def classify(code: Column, binary: Column) -> Column:
     return F.when(binary, "ok").when(code.startswith("http_"), "http_error").when(code == "parse_error", "parse_error").otherwise(known)
 
 
+#: Properties of meta tags that are read, and kinds of linked data that are articles.
+META = {"og:title": "og_title", "og:description": "og_desc", "article:published_time": "published", "og:site_name": "site"}
+ARTICLE_KINDS = ("NewsArticle", "Article")
+
+
 class _Body(HTMLParser):
-    """Visible text of a page: tables, scripts, styles and navigation are skipped by depth."""
+    """Visible text of a page: tables, scripts, styles and navigation are skipped by depth; metadata and linked data are kept apart."""
 
     SKIP = frozenset(("script", "style", "table", "nav", "noscript"))
     BREAK = frozenset(("p", "br", "div", "li", "h1", "h2", "h3", "tr", "section", "article"))
@@ -70,8 +77,17 @@ class _Body(HTMLParser):
         self.depth = 0
         self.in_title = False
         self.title = ""
+        self.meta: dict[str, str | None] = {}
+        self.linked: list[str] = []
+        self.in_linked = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        own = dict(attrs)
+        if tag == "meta" and own.get("property") in META:
+            self.meta.setdefault(META[own["property"]], own.get("content"))
+        if tag == "script" and own.get("type") == "application/ld+json":
+            self.in_linked = True
+            self.linked.append("")
         self.depth += tag in self.SKIP
         self.in_title |= tag == "title"
         if tag in self.BREAK:
@@ -79,33 +95,70 @@ class _Body(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.depth -= tag in self.SKIP and self.depth > 0
+        self.in_linked &= tag != "script"
         if tag == "title":
             self.in_title = False
         if tag in self.BREAK:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.in_linked:
+            self.linked[-1] += data
+        elif self.in_title:
             self.title += data
         elif not self.depth:
             self.parts.append(data)
 
 
-def html_body(html: str | None) -> tuple[str, str]:
-    """(title, text) of a page; lines are squeezed and blank ones dropped."""
+def _read(html: str | None) -> _Body:
     body = _Body()
     body.feed(html or "")
     body.close()
+    return body
+
+
+def _text(body: _Body) -> tuple[str, str]:
     lines = (" ".join(x.split()) for x in "".join(body.parts).split("\n"))
     return " ".join(body.title.split()), "\n".join(x for x in lines if x)
 
 
+def html_body(html: str | None) -> tuple[str, str]:
+    """(title, text) of a page; lines are squeezed and blank ones dropped."""
+    return _text(_read(html))
+
+
+def _metadata(body: _Body, url: str | None) -> dict[str, str | None]:
+    """Values of meta tags (the first of each), of linked articles (the first that is set), and the day from the address where no time is told."""
+    out: dict[str, str | None] = dict.fromkeys(("og_title", "og_desc", "published", "site", "ld_headline", "ld_published")) | body.meta
+    for text in body.linked:
+        try:
+            data = json.loads(text)
+        except ValueError:
+            continue
+        for item in data if isinstance(data, list) else [data]:
+            if isinstance(item, dict) and item.get("@type") in ARTICLE_KINDS:
+                for name, field in (("ld_headline", "headline"), ("ld_published", "datePublished")):
+                    value = item.get(field)
+                    out[name] = out[name] or (value if isinstance(value, str) else None)
+    if not out["published"] and (day := re.search(r"/(20\d{2})(\d{2})(\d{2})\d+", url or "")):
+        out["published"] = "-".join(day.groups())
+    return out
+
+
 def articles(pages: DataFrame, least: int = 100) -> DataFrame:
-    """SRC14: page_id, url, title, body of pages with at least ``least`` characters of text."""
+    """SRC14: pages with at least ``least`` characters of text: page_id, url, title, body and their metadata, NULL where a page has none.
+
+    og_title, og_desc, site and published are meta tags (published else the day in the address); ld_headline and ld_published are linked data, of which broken parts are skipped.
+    """
+    names = ("og_title", "og_desc", "published", "site", "ld_headline", "ld_published")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [html_body(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["page_id", "url", "title", "body"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, title string, body string").where(F.length("body") >= least)
+            urls = batch.column("url").to_pylist()
+            read = [_read(x) for x in batch.column("html").to_pylist()]
+            got, meta = [_text(x) for x in read], [_metadata(x, u) for x, u in zip(read, urls, strict=True)]
+            columns = [[t for t, _ in got], [b for _, b in got], *([m[n] for m in meta] for n in names)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "url", "title", "body", *names])
+
+    schema = "page_id long, url string, title string, body string, " + ", ".join(f"{n} string" for n in names)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema).where(F.length("body") >= least)

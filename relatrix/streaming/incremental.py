@@ -1,12 +1,10 @@
-"""Incremental and streaming operators: watermarks, resumable upserts, tumbling windows."""
+"""Incremental operators: watermarks and periods that are still open."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import upsert
-
 
 def after_watermark(stored: DataFrame, source: DataFrame, key: str, at: str, floor: Column) -> DataFrame:
     """STR1: source rows later than their key's latest stored time (the floor where nothing is stored)."""
@@ -25,24 +23,3 @@ def open_or_missing(periods: DataFrame, done: DataFrame, current: Column) -> Dat
     """STR4: the current period always, closed ones only if not done."""
     missing = periods.join(done, periods.columns, "left_anti")
     return missing.unionByName(periods.where(F.col("month") == current)).distinct()
-
-
-def stream_daily(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str) -> None:
-    """STR5 to STR7: drain new files of ``source`` into daily counts under ``out``, exactly once a batch.
-
-    Each micro-batch counts its rows by company and day and upserts the counts; a batch's table is written to
-    its own version folder, so a repeated batch rewrites the same version.
-    """
-    rows = spark.readStream.schema(schema).parquet(source)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.where("ts is not null").groupBy(F.col("user_id").alias("corp"), F.to_date("ts").alias("day")).agg(F.count("*").alias("mentions"))
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{out}/v{batch_id - 1}")
-            both = old.join(counts.withColumnRenamed("mentions", "_m"), ["corp", "day"])
-            counts = counts.join(old.select("corp", "day"), ["corp", "day"], "left_anti").unionByName(both.select("corp", "day", (F.col("mentions") + F.col("_m")).alias("mentions")))
-            counts = upsert(old, counts, ["corp", "day"], ["mentions"])
-        counts.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-
-    q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()

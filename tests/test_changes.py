@@ -3,11 +3,9 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from relatrix.operators import tables as T
 from relatrix.sources import readers
-from relatrix.streaming import incremental
 
 
 def test_promote(spark):
@@ -43,11 +41,12 @@ def test_html_body():
     assert (title, text) == ("T", "a & b\nc")
 
 
-def test_stream(spark, tmp_path):
-    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
-    rows = spark.range(20).select(F.col("id").alias("user_id"), F.timestamp_seconds(F.lit(86400)).alias("ts")).withColumn("user_id", F.col("user_id") % 4)
-    rows.coalesce(1).write.parquet(src)
-    incremental.stream_daily(spark, src, "user_id long, ts timestamp", out, f"{tmp_path}/cp")
-    rows.coalesce(1).write.mode("append").parquet(src)
-    incremental.stream_daily(spark, src, "user_id long, ts timestamp", out, f"{tmp_path}/cp")
-    assert {r.mentions for r in spark.read.parquet(f"{out}/v1").collect()} == {10}
+def test_metadata():
+    page = '<html><head><title>T</title><meta property="og:title" content="O &amp; o"><meta property="og:title" content="second"><meta property="og:description" content=""></head><body><p>x'
+    linked = '<script type="application/ld+json">{"@type": "Article", "headline": "H", "datePublished": 5}</script><script type="application/ld+json">[1, {"@type": "NewsArticle", "headline": "later", "datePublished": "2024-01-01"}]</script>'
+    got = lambda html, url: readers._metadata(readers._read(html), url)
+    none = dict.fromkeys(("og_title", "og_desc", "published", "site", "ld_headline", "ld_published"))
+    assert got(page + linked, "http://x/20240131") == none | {"og_title": "O & o", "og_desc": "", "ld_headline": "H", "ld_published": "2024-01-01"}  # no digit behind the day
+    assert got("", "http://x/202401319")["published"] == "2024-01-31"
+    assert got('<meta property="article:published_time" content="2020-02-02">', "http://x/202401319")["published"] == "2020-02-02"
+    assert got("<script type='application/ld+json'>{bad</script>", None) == none == got(None, None)
