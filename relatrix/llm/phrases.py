@@ -17,7 +17,7 @@ A phrase is told by the numbers of its first and last parts (all but the last, a
 the words. Scores are exact: products in 38 digits, divided to whole numbers. A candidate is dropped if a longer
 candidate around it is as frequent; then so is one longer by a word, which is what is compared.
 
-Bounds: a task holds one shard and its index (about 100 bytes a word). Shards are cut between pieces; a piece without any of the marks is
+Bounds: a task holds one shard and its index (about 60 bytes a word). Shards are cut between pieces; a piece without any of the marks is
 never cut, whatever its length.
 
 Cases: null and empty texts have no words; a null lang is "und"; ids are not read, so null and repeated ids are documents
@@ -26,6 +26,7 @@ like others, and equal documents count as often as they occur; langs without can
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 
 from .common import discard, new_path, pieces, tidy, utf8
 
-SHARD_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
+SHARD_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 #: Frequent words or phrases of one length up to this many are broadcast (about 100 bytes a word, 24 bytes a phrase).
 BROADCAST_ROWS = 300_000
 SALTS = 64
 #: Marks that end a piece become a full stop, tabs a space, A-Z lower case.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
-_SHARD = "shard long, ids binary, vocab array<struct<id: int, lang: string, word: string, n: long>>"
+_SHARD = "shard long, ids binary, langs array<struct<lang: string, ids: binary, words: binary>>"
+_WORDS = "lang string, word string, n long"
 _COUNTS = "pre long, suf long, n long"
 _FOUND = "shard long, l array<int>, r array<int>, n array<int>, pre array<long>, suf array<long>"
 
@@ -61,49 +63,67 @@ class Book:
     """Words of a shard as numbers from 1; 0 is a break between pieces."""
 
     def __init__(self) -> None:
-        self.words: list[tuple[str, bytes]] = []
+        self.count = itertools.count(1)
         self.by_lang: dict[str, Numbers] = {}
         self.ids: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, lang: str, text: bytes) -> None:
         """``text`` is whole pieces, already mapped by the byte table."""
-        numbers = self.by_lang.setdefault(lang, Numbers(lang, self.words))
+        numbers = self.by_lang.setdefault(lang, Numbers(self.count))
         split = text.replace(b".", b" . ").split()
         split.append(b".")
         self.ids.append(np.fromiter(map(numbers.__getitem__, split), dtype=np.int32, count=len(split)))
         self.bytes += len(text)
 
     def row(self, shard: int) -> pa.RecordBatch:
-        ids = np.concatenate(self.ids)
-        counts = np.bincount(ids, minlength=len(self.words) + 1)[1:]
-        vocab = pa.StructArray.from_arrays(
-            [
-                pa.array(np.arange(1, len(self.words) + 1), pa.int32()),
-                pa.array([x for x, _ in self.words], pa.string()),
-                pa.array([w for _, w in self.words], pa.binary()).cast(pa.string()),
-                pa.array(counts, pa.int64()),
-            ],
-            names=["id", "lang", "word", "n"],
-        )
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int64()), pa.array([_pack(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab)], names=["shard", "ids", "vocab"]
-        )
+        langs = []
+        for lang, numbers in self.by_lang.items():
+            del numbers[b"."]
+            if not numbers:
+                continue
+            langs.append({"lang": lang, "ids": _pack(np.fromiter(numbers.values(), dtype=np.int32, count=len(numbers))), "words": zstandard.compress(b" ".join(numbers), 1)})
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("ids", pa.binary()), ("words", pa.binary())]))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([_pack(np.concatenate(self.ids))], pa.binary()), pa.array([langs], kind)], names=["shard", "ids", "langs"])
 
 
 class Numbers(dict):
-    """Word -> number within a shard, for one lang."""
+    """Word -> number within a shard, for one lang; a break is 0."""
 
-    def __init__(self, lang: str, words: list) -> None:
+    def __init__(self, count: Iterator[int]) -> None:
         super().__init__({b".": 0})
-        self.lang, self.words = lang, words
+        self.count = count
 
     def __missing__(self, word: bytes) -> int:
-        self.words.append((self.lang, word))
-        out = self[word] = len(self.words)
+        out = self[word] = next(self.count)
         return out
 
 
+def _langs(value: pa.Scalar) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """(lang, numbers, words) of a shard."""
+    for x in value:
+        yield x["lang"].as_py(), _unpack(x["ids"].as_py()), zstandard.decompress(x["words"].as_py()).split(b" ")
+
+
+def _words(placed: bool):
+    """(lang, word, n) of the shards' words, or their (shard, id, lang, word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts = None if placed else np.bincount(_unpack(batch.column("ids")[i].as_py()))
+                for lang, ids, words in _langs(batch.column("langs")[i]):
+                    own = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(ids), dtype=np.int8)))
+                    text = pa.array(words, pa.binary()).cast(pa.string())
+                    if placed:
+                        shard = pa.array(np.full(len(ids), batch.column("shard")[i].as_py(), dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([shard, pa.array(ids), own, text], names=["shard", "id", "lang", "word"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([own, text, pa.array(counts[ids].astype(np.int64))], names=["lang", "word", "n"])
+
+    return run
+
+
 def whole_pieces(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
     """Slices of about ``limit`` bytes that end where a piece ends."""
     a = 0
@@ -130,16 +150,31 @@ def _shards(limit: int):
     return run
 
 
+def _sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (a, b, place), and where a new pair begins. Pairs with their places are sorted as one number, where 63 bits hold them."""
+    low, place = int(b.max()).bit_length(), (len(a) - 1).bit_length()
+    if int(a.max()).bit_length() + low + place < 64:
+        packed = np.sort((a.astype(np.int64) << (low + place)) | (b.astype(np.int64) << place) | np.arange(len(a)))
+        at, key = packed & ((1 << place) - 1), packed >> place
+    else:
+        key = a.astype(np.int64) << low | b
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    return at, np.concatenate([[True], key[1:] != key[:-1]])
+
+
 def order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all rotations of ``text``, sorted by their first ``depth`` ids (by doubling ranks)."""
-    rank, known = text.astype(np.int64), 1
+    rank, known = text, 1
+    at = np.argsort(text, kind="stable") if depth == 1 else text
     while known < depth:
         step = min(known, depth - known)
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
+        at, new = _sorted(rank, np.roll(rank, -step))
         known += step
         if known < depth:
-            _, rank = np.unique(key, return_inverse=True)
-    return np.argsort(key if depth > 1 else rank)
+            rank = np.empty(len(text), dtype=np.int32)
+            rank[at] = np.cumsum(new, dtype=np.int32) - 1
+    return at
 
 
 def transform(text: np.ndarray, depth: int) -> np.ndarray:
@@ -155,17 +190,17 @@ def _last_to_first(bwt: np.ndarray) -> np.ndarray:
 
 def _extend(bwt: np.ndarray, to_first: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each interval by each word before it: (interval, row in the new interval's transform, offset in the other transform, width)."""
-    which = np.repeat(np.arange(len(start)), width)
+    which = np.repeat(np.arange(len(start), dtype=np.int32), width)
     begins = np.cumsum(width) - width
-    at = start[which] + np.arange(len(which)) - begins[which]
-    word = bwt[at].astype(np.int64)
-    sort = np.argsort(which * (int(bwt.max()) + 1) + word, kind="stable")
-    which, word, at = which[sort], word[sort], at[sort]
-    first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (word[1:] != word[:-1])]))
+    rows = (start - begins)[which] + np.arange(len(which))
+    at, new = _sorted(which, bwt[rows])  # by interval, word and row
+    first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(which)))
-    keep = word[first] > 0
-    first, n = first[keep], n[keep]
-    return which[first], to_first[at[first]], first - begins[which[first]], n
+    row = rows[at[first]]
+    keep = bwt[row] > 0
+    first, n, row = first[keep], n[keep], row[keep]
+    which = which[at[first]].astype(np.int64)
+    return which, to_first[row], first - begins[which], n
 
 
 def extend(left: np.ndarray, right: np.ndarray, l: np.ndarray, r: np.ndarray, n: np.ndarray, gid: np.ndarray, firsts: tuple | None = None) -> tuple[np.ndarray, ...]:  # noqa: E741
@@ -173,7 +208,11 @@ def extend(left: np.ndarray, right: np.ndarray, l: np.ndarray, r: np.ndarray, n:
     firsts = firsts or (_last_to_first(left), _last_to_first(right))
     by, row, other, wide = _extend(left, firsts[0], l, n)  # a word before: the phrase is the longer one's last part
     by_r, row_r, other_r, _ = _extend(right, firsts[1], r, n)  # a word after: the phrase is its first part
-    _, a, b = np.intersect1d(row, l[by_r] + other_r, assume_unique=True, return_indices=True)
+    at = np.full(len(left) + 1, -1, dtype=np.int32)
+    at[row] = np.arange(len(row), dtype=np.int32)
+    a = at[l[by_r] + other_r]
+    b = np.flatnonzero(a >= 0)
+    a = a[b]
     return row[a], row_r[b], wide[a], gid[by_r[b]], gid[by[a]]
 
 
@@ -186,10 +225,10 @@ def build(ids: np.ndarray, local: np.ndarray, gid: np.ndarray, depth: int) -> tu
     """Both transforms of a shard's frequent words, and the intervals of its pairs."""
     sort = np.argsort(gid)
     local, gid = local[sort], gid[sort]
-    number = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+    number = np.zeros(int(ids.max()) + 1, dtype=np.int32)
     number[local] = np.arange(1, len(local) + 1)
     text = number[ids]
-    text = np.concatenate([[0], text[(text != 0) | (np.concatenate([[0], text[:-1]]) != 0)]])
+    text = np.concatenate([[0], text[(text != 0) | (np.concatenate([[0], text[:-1]]) != 0)]]).astype(np.int32)
     text = text[:-1] if text[-1] == 0 and len(text) > 1 else text  # rotations close the circle
     n = np.bincount(text, minlength=len(local) + 1)
     start = (np.cumsum(n) - n)[1:]
@@ -204,9 +243,13 @@ def _build(depth: int, shared=None):
         if shared is None:
             known = batch.column("known").slice(i, 1).flatten()
             return tuple(known.field(c).to_numpy(zero_copy_only=False) for c in ("id", "gid"))
-        vocab = batch.column("vocab").slice(i, 1).flatten()
-        gid = np.fromiter((shared.value.get(x, -1) for x in zip(vocab.field("lang").to_pylist(), vocab.field("word").to_pylist(), strict=True)), dtype=np.int64, count=len(vocab))
-        return vocab.field("id").to_numpy(zero_copy_only=False)[gid >= 0], gid[gid >= 0]
+        local, gid = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for lang, ids, words in _langs(batch.column("langs")[i]):
+            numbers = shared.value.get(lang, {})
+            found = np.fromiter((numbers.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+            local.append(ids[found >= 0])
+            gid.append(found[found >= 0])
+        return np.concatenate(local), np.concatenate(gid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,18 +356,22 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     shards, at = _kept(texts.mapInArrow(tidy(_shards(shard_bytes)), _SHARD), "shards", 2)
-    words = shards.select("shard", F.inline("vocab"))
-    totals, _ = _kept(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    level = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id())
+    words = shards.mapInArrow(tidy(_words(False)), _WORDS)
+    sums, own = _kept(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "sums")
+    totals, _ = _kept(sums.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    level = sums.where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id())
     level, _ = _kept(level.select("gid", "lang", F.array("word").alias("words"), F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("suf"), "n", F.array("n").alias("heads"), F.array("n").alias("tails")), "words")
+    discard(spark, own)
     levels = [level]
     if small := level.count() <= BROADCAST_ROWS:
         found = level.select("lang", F.col("words")[0].alias("word"), "gid").toArrow()
-        names = zip(found.column("lang").to_pylist(), found.column("word").to_pylist(), strict=True)
-        shared = spark.sparkContext.broadcast(dict(zip(names, found.column("gid").to_pylist(), strict=True)))
+        numbers: dict[str, dict[bytes, int]] = {}
+        for lang, word, gid in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "gid")), strict=True):
+            numbers.setdefault(lang, {})[word.encode()] = gid
+        shared = spark.sparkContext.broadcast(numbers)
         built = shards.mapInArrow(tidy(_build(longest, shared)), f"{_FOUND}, left binary, right binary")
     else:
-        known = words.join(level.select("lang", F.col("words")[0].alias("word"), "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("known"))
+        known = shards.mapInArrow(tidy(_words(True)), "shard long, id int, lang string, word string").join(level.select("lang", F.col("words")[0].alias("word"), "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("known"))
         built = shards.select("shard", "ids").join(known, "shard").mapInArrow(tidy(_build(longest)), f"{_FOUND}, left binary, right binary")
     built, index = _kept(built, "index", 2)
     discard(spark, at)
