@@ -109,13 +109,16 @@ def _encode(top: dict[bytes, int]):
     return run
 
 
-def groups(sequences: list[np.ndarray], limit: int = 1_600_000) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Sequences of like length together, longest first: indexes, and the ids by time step (time-major)."""
+def groups(sequences: list[np.ndarray], limit: int = 1_600_000, cells: int = 8_000_000) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Sequences of like length together, longest first: indexes, and the ids by time step (time-major).
+
+    A group has at most ``limit`` ids and its grid (longest x sequences) at most ``cells`` places, or is one sequence.
+    """
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest, take, held = len(sequences[order[at]]), [], 0
-        while at < len(order) and len(take) < 16384 and (not take or held + len(sequences[order[at]]) <= limit):
+        while at < len(order) and len(take) < 16384 and (not take or (held + len(sequences[order[at]]) <= limit and longest * (len(take) + 1) <= cells)):
             held += len(sequences[order[at]])
             take.append(order[at])
             at += 1
@@ -269,7 +272,7 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(tidy(lambda it: _score(*final.value)(it)), "row long, doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, class_score double")
 
     used = encoded.select("row", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("w")).select("row", F.col("w.tail_words").alias("word"), F.col("w.tail_counts").alias("k"))
-    used = used.join(tails.select("word", "c").hint("shuffle_hash"), "word", "left").withColumn("tail", F.expr(_TAIL).cast("int"))
+    used = used.join(tails.select("word", "c"), "word", "left").withColumn("tail", F.expr(_TAIL).cast("int"))
     used = used.join(F.broadcast(per_tail), "tail", "left")  # at most TAILS rows
     share = F.when(F.col("c").isNotNull(), (F.col("c") - discount) / F.col("tail_n")).when(F.col("tail_n").isNotNull(), discount * F.col("tail_v") / F.col("tail_n")).otherwise(1.0)
     used = used.groupBy("row").agg(
