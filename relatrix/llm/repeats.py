@@ -44,6 +44,25 @@ SEGMENT = "anchor long, content long, doc_id long, version long, place long"
 MEETING = "doc_id long, version long, lo int, hi int, anchor long, block int, several boolean"
 
 
+def leftmost_least(gram: np.ndarray, span: int, slice_bits: int = 25) -> np.ndarray:
+    """For each run of ``span`` hashes the place of its least one, the leftmost of equal ones; hashes are compared by their upper 38 bits.
+
+    Keys of 64 bits hold hash and place, so the places are counted within slices, whatever the length of the text.
+    """
+    low, out = np.uint64(26), []
+    for a in range(0, len(gram) - span + 1, 1 << slice_bits):
+        part = gram[a : a + (1 << slice_bits) + span - 1]
+        key = ((part >> low) << low) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if width < span:
+            key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
+        out.append((key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64) + a)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def anchored_segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text index, anchor hash, content hash, first window, number of windows) of all segments of the texts."""
     span = MIN - K + 1
@@ -57,16 +76,7 @@ def anchored_segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         prefix = prefix_hash(blob)
         at = np.arange(len(blob) - K + 1)
         gram = span_hash(prefix, at, at + K)
-        # 64-bit keys: hash above, place below, so the least key is the leftmost least hash
-        low = np.uint64(26 if len(blob) < 1 << 26 else 40)
-        key = ((gram >> low) << low) | at.astype(np.uint64)
-        width = 1
-        while 2 * width <= span:
-            key = np.minimum(key[:-width], key[width:])
-            width *= 2
-        if width < span:
-            key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
-        least = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)  # for each window start
+        least = leftmost_least(gram, span)  # for each window start
         doc = np.repeat(np.arange(b - a), np.maximum(sizes - MIN + 1, 0))
         own = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - MIN + 1, 0)) - np.maximum(sizes - MIN + 1, 0), np.maximum(sizes - MIN + 1, 0))
         start = offset[doc] + own
