@@ -1,19 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one shared queue, exact reranking.
 
 Split directions are random; split points are medians of a sample (``SAMPLE`` vectors of least id hash, or one in
-``SHARE`` if that is more, ``MOST`` at most), so the trees are small and broadcast; their depth grows with the
+``SHARE`` if that is more, at most ``MOST`` vectors and ``MOST_BYTES``), so the trees are small and broadcast; their depth grows with the
 sample, to leaves of ``LEAF`` vectors. Every vector is indexed: a task walks its vectors down all trees at once.
 A query pops nodes of all trees from one queue, nearest margin first, until the leaves it has reached hold
 as many vectors as the table needs: for ``PROBES`` of the queries the exact nearest are found in one pass over the
-table, and the budget is what reaches ``TARGET`` of them, a quarter of ``rows`` a tree at least. Equal vectors of a leaf count once. Where the budget is no
-less than the table, one tree is read whole instead, which is exact. Leaves are joined with the queries that want them, in parts of
+table, and the budget is what reaches ``TARGET`` of them, a quarter of ``rows`` a tree at least. Equal vectors of a leaf count once. The way is the same at every
+size: in a small table the queue just comes to its end. With ``exact`` one tree is read whole instead. Leaves are joined with the queries that want them, in parts of
 ``PART`` vectors where many equal vectors share a leaf; each part returns its 10 nearest by
 exact double-precision distance, without those farther than the 10th nearest of one in ``SHARE`` of the vectors
 (they cannot be among the best), and the best 10 of all parts are the answer.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most
-take no part; repeated ids count once, by their smallest distance; ties go to the smaller id; with no more
-than ``rows`` vectors the search is exact.
+take no part; repeated ids count once, by their smallest distance; ties go to the smaller id; a table whose trees hold no
+more than the budget together is searched whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SAMPLE, LEAF, ROWS, PART = 12, 20_000, 128, 12_000, 4096
-SHARE, MOST = 16, 1 << 18
+SHARE, MOST, MOST_BYTES = 16, 1 << 18, 128 << 20
 PROBES, TARGET = 128, 0.95
 USABLE = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
@@ -147,19 +147,24 @@ def _rank(near: int):
 
 
 def _nearest(shared, near: int):
-    """The nearest rows of each batch to every probe."""
+    """The nearest rows of each task to every probe; a row of an id that came before, in the same place, counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, probes = shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, probes.shape[1]))) for _ in names]
         for batch in batches:
             ids, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
-            for q, v in zip(names, probes, strict=True):
+            for i, (q, v) in enumerate(zip(names, probes, strict=True)):
                 distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
                 ok = np.flatnonzero(ids != q)
                 if len(ok) > 4 * near:
                     ok = ok[distance[ok] <= np.partition(distance[ok], near - 1)[near - 1]]
-                best = ok[np.lexsort((ids[ok], distance[ok]))[:near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), batch.column("vec_id").take(pa.array(best)), pa.array(distance[best]), batch.column("embedding").take(pa.array(best))], names=["query_id", "vec_id", "score", "embedding"])
+                all_ids, all_far, all_rows = (np.concatenate(x) for x in zip(held[i], (ids[ok], distance[ok], vectors[ok]), strict=True))
+                best = np.lexsort((all_ids, all_far))
+                once = np.sort(np.unique(all_ids[best], return_index=True)[1])[:near]
+                held[i] = all_ids[best[once]], all_far[best[once]], all_rows[best[once]]
+        for q, (ids, far, rows) in zip(names, held, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, dtype=np.int64)), pa.array(ids, pa.int64()), pa.array(far, pa.float64()), pa.array(list(rows), pa.list_(pa.float64()))], names=["query_id", "vec_id", "score", "embedding"])
 
     return run
 
@@ -192,26 +197,33 @@ def budget(usable: DataFrame, queries: DataFrame, forest: Forest, held: np.ndarr
 def _held(usable: DataFrame, forest: Forest) -> np.ndarray:
     """(2 x trees x leaves): the vectors of each leaf, and the distinct ones."""
     shared = usable.sparkSession.sparkContext.broadcast(forest)
-    distinct = usable.groupBy("embedding").agg(F.count("*").alias("n"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = shared.value.leaves(_matrix(batch.column("embedding"))).T.astype(np.int32)
+            ends = np.arange(len(leaves) + 1, dtype=np.int32) * leaves.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("same"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaves.ravel()))], names=["same", "leaves"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, len(shared.value.normal), 1 << shared.value.depth), np.int64)
         for batch in batches:
-            for t, leaf in enumerate(shared.value.leaves(_matrix(batch.column("embedding")))):
+            for t, leaf in enumerate(_matrix(batch.column("leaves")).astype(np.int64).T if batch.num_rows else ()):
                 np.add.at(seen[0, t], leaf, batch.column("n").to_numpy())
                 np.add.at(seen[1, t], leaf, 1)
         t, leaf = np.nonzero(seen[0])
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(seen[0][t, leaf]), pa.array(seen[1][t, leaf])], names=["tree", "leaf", "n", "d"])
 
     out = np.zeros((2, len(forest.normal), 1 << forest.depth), np.int64)
+    # equal vectors lie in the same leaves, so a hash tells them apart well enough and vectors are not shuffled
+    distinct = usable.select(F.xxhash64("embedding").alias("same"), "embedding").mapInArrow(place, "same long, leaves array<int>").groupBy("same", "leaves").agg(F.count("*").alias("n"))
     sums = distinct.mapInArrow(run, "tree int, leaf int, n long, d long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toArrow()
     t, leaf = sums.column("tree").to_numpy(), sums.column("leaf").to_numpy()
     out[0, t, leaf], out[1, t, leaf] = sums.column("n").to_numpy(), sums.column("d").to_numpy()
     return out
 
 
-def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int = 10, trees: int = TREES, rows: int = ROWS, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found of every row where ``is_query`` holds."""
+def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int = 10, trees: int = TREES, rows: int = ROWS, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest found of every row where ``is_query`` holds; with ``exact``, the nearest."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     usable = vectors.where(USABLE).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -221,20 +233,16 @@ def search_all(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", near: int
     usable = usable.where(F.size("embedding") == sizes["d"])
     total = sizes["count"]
     queries = usable.where(is_query).dropDuplicates(["vec_id"])
-    first = some_of(usable, max(sample, min(MOST, total // SHARE)), total).select("vec_id", "embedding").toArrow()
+    most = max(1, min(MOST, MOST_BYTES // (8 * sizes["d"])))
+    first = some_of(usable, min(most, max(sample, total // SHARE)), total).select("vec_id", "embedding").toArrow()
     seed, names = _matrix(first.column("embedding").combine_chunks()), first.column("vec_id").to_numpy()
-    once = np.sort(np.unique(names, return_index=True)[1])[: max(10 * near, min(MOST, total // SHARE))]
+    once = np.sort(np.unique(names, return_index=True)[1])[: max(10 * near, min(most, total // SHARE))]
     some = spark.sparkContext.broadcast((names[once], seed[once]))
     depth = max(0, min(math.ceil(math.log2(max(1, total / LEAF))), int(math.log2(max(1, len(seed) / 8)))))
-    reach = total  # one tree holds every vector once
-    if total > rows:
-        forest = Forest(seed, depth, trees)
-        held = _held(usable, forest)
-        reach = max(rows * trees // 4, budget(usable, queries, forest, held[1], near))
-    if total <= rows or reach >= total:
-        trees, reach = 1, total
-        forest = Forest(seed, depth, trees)
-        held = _held(usable, forest)
+    trees = 1 if exact else trees  # one tree holds every vector once
+    forest = Forest(seed, depth, trees)
+    held = _held(usable, forest)
+    reach = total if exact else max(rows * trees // 4, budget(usable, queries, forest, held[1], near))
     shared = spark.sparkContext.broadcast(forest)
     counts = spark.sparkContext.broadcast(held)
     indexed = usable.mapInArrow(_index(shared), "tree int, leaf int, vec_id long, embedding array<double>")
