@@ -93,10 +93,22 @@ def format_time(raw: Column) -> Column:
     return F.when(raw.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))).when(raw.rlike(r"^\d{6}$"), F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2))).otherwise(raw)
 
 
+def one_decimal(size: Column) -> Column:
+    """A number of at least 0 with one decimal, rounded by its binary value: 1.25 is 1.2, 1.05 (a little more in binary) is 1.1.
+
+    Against the tie of its tenth, 20 times the number is told exactly: 16 and 4 times it are exact, and so are the differences of near numbers.
+    """
+    v = size.cast("double")
+    tenths = F.floor(v * 10).cast("double")
+    over = (v * 16 - (tenths * 2 + 1)) + v * 4
+    n = tenths.cast("bigint") + ((over > 0) | ((over == 0) & (tenths % 2 == 1))).cast("int")
+    return F.concat(F.call_function("div", n, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def money_label(won: Column) -> Column:
-    """PRJ8, S20: trillions with one decimal, hundred millions without, else plain."""
-    a = F.abs(won)
-    return F.when(won.isNull(), None).when(a >= 1e12, F.concat(F.format_string("%.1f", won / 1e12), F.lit("조"))).when(a >= 1e8, F.concat(F.format_string("%.0f", won / 1e8), F.lit("억"))).otherwise(F.concat(won.cast("bigint").cast("string"), F.lit("원")))
+    """PRJ8, S20: trillions with one decimal, hundred millions without (halves to even), else plain."""
+    a, sign = F.abs(won), F.when(won < 0, "-").otherwise("")
+    return F.when(won.isNull(), None).when(a >= 1e12, F.concat(sign, one_decimal(a / 1e12), F.lit("조"))).when(a >= 1e8, F.concat(sign, F.rint(a / 1e8).cast("bigint").cast("string"), F.lit("억"))).otherwise(F.concat(won.cast("bigint").cast("string"), F.lit("원")))
 
 
 def change_percent(now: Column, before: Column) -> Column:

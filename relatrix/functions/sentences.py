@@ -1,10 +1,12 @@
-"""Sentences from account rows and amounts in texts, as column expressions. Amounts and shares round half up, in whole numbers."""
+"""Sentences from account rows and amounts in texts, as column expressions. Amounts and shares round by their binary value."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import one_decimal
+
 #: Units of an amount, largest first.
 UNITS = ((10**12, "조원"), (10**8, "억원"), (10**4, "만원"))
 #: Fixed value: shown for an undisclosed amount.
@@ -15,18 +17,12 @@ AMOUNT = r"(?<![,\d])([+-]?\d{1,3}(?:,\d{3})+|[+-]?\d{4,})원(?!\(약)"
 COMPARISON = r"^(.+?)\s*vs\s*(.+?)\s+(\d{4})년\s+(.+)$"
 
 
-def _tenths(over: Column, under: Column) -> Column:
-    """over / under (both at least 0) with one decimal, as text."""
-    t = F.call_function("div", over.cast("decimal(30,0)") * 20 + under.cast("decimal(30,0)"), under.cast("decimal(30,0)") * 2)
-    return F.concat(F.call_function("div", t, F.lit(10)).cast("string"), F.lit("."), (t % 10).cast("string"))
-
-
 def rounded_amount(won: Column) -> Column:
     """The amount in its largest unit; NULL below 10,000."""
     size = F.abs(won)
     out = F.lit(None).cast("string")
     for unit, name in reversed(UNITS):
-        out = F.when(size >= unit, F.concat(F.when(won < 0, "-").otherwise(""), _tenths(size, F.lit(unit)), F.lit(name))).otherwise(out)
+        out = F.when(size >= unit, F.concat(F.when(won < 0, "-").otherwise(""), one_decimal(size.cast("double") / float(unit)), F.lit(name))).otherwise(out)
     return out
 
 
@@ -39,7 +35,7 @@ def amount_text(won: Column, missing: str = UNDISCLOSED) -> Column:
 def change_text(now: Column, before: Column) -> Column:
     """'12.3% 증가' or '12.3% 감소'; no data when a value is missing or the base is zero."""
     known = now.isNotNull() & before.isNotNull() & (before != 0)
-    return F.when(known, F.concat(_tenths(F.abs(now - before) * 100, F.abs(before)), F.when(now >= before, "% 증가").otherwise("% 감소"))).otherwise("전년 자료 없음")
+    return F.when(known, F.concat(one_decimal(F.abs((now - before).cast("double") / F.abs(before).cast("double") * 100)), F.when(now >= before, "% 증가").otherwise("% 감소"))).otherwise("전년 자료 없음")
 
 
 def enrich_amounts(text: Column) -> Column:

@@ -25,7 +25,7 @@ FUNDS, ABROAD = "(조합|투자신탁|펀드|사모|유한책임)", r"^[A-Za-z][
 def won_text(value: Column) -> Column:
     """GRA5: trillions with one decimal, hundred millions and won in whole numbers with commas."""
     n, sign = F.abs(value.cast("double")), F.when(value < 0, "-").otherwise("")
-    shown = F.when(n >= 1e12, F.concat(F.format_string("%.1f", n / 1e12), F.lit("조원"))).when(n >= 1e8, F.concat(F.format_number(n / 1e8, 0), F.lit("억원"))).otherwise(F.concat(F.format_number(n, 0), F.lit("원")))
+    shown = F.when(n >= 1e12, F.concat(S.one_decimal(n / 1e12), F.lit("조원"))).when(n >= 1e8, F.concat(F.format_number(n / 1e8, 0), F.lit("억원"))).otherwise(F.concat(F.format_number(n, 0), F.lit("원")))
     return F.concat(sign, shown)
 
 

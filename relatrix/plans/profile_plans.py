@@ -42,7 +42,7 @@ hc AS (SELECT corp, count(*) FILTER (WHERE name = 'SEA-1') AS abroad, count(*) F
 su AS (SELECT hc.corp, concat_ws(';', (SELECT string_agg(concat_ws('|', name, CAST(CAST(round(stake * 100) AS BIGINT) AS VARCHAR)), ';' ORDER BY rn) FROM hr WHERE hr.corp = hc.corp AND rn <= 6), CASE WHEN abroad > 0 THEN concat('해외 출자법인 ', CAST(abroad AS VARCHAR), '건') END, CASE WHEN fund > 0 THEN concat('투자조합·펀드 ', CAST(fund AS VARCHAR), '건') END,
 (SELECT CASE WHEN count(*) > 6 THEN concat('기타 출자 ', CAST(count(*) - 6 AS VARCHAR), '건') END FROM ho WHERE ho.corp = hc.corp)) AS subsidiaries FROM hc),
 sh AS (SELECT corp, name, stake, row_number() OVER (PARTITION BY corp ORDER BY coalesce(stake, 0) DESC, name) AS rn, count(*) OVER (PARTITION BY corp) AS n FROM (SELECT corp, holder AS name, max(stake) AS stake FROM (SELECT {_C.format('s_suppkey')} AS corp, concat('Holder', CAST(s_suppkey // 40 % 9 AS VARCHAR)) AS holder, CASE WHEN s_suppkey % 11 > 0 THEN s_acctbal END AS stake FROM supplier) GROUP BY ALL)),
-hs AS (SELECT corp, concat_ws(';', string_agg(concat_ws('|', name, CAST(CAST(round(stake * 100) AS BIGINT) AS VARCHAR)), ';' ORDER BY rn) FILTER (WHERE rn <= 2), CASE WHEN any_value(n) > 2 THEN concat('외 ', CAST(any_value(n) - 2 AS VARCHAR), '인 · 특수관계인') END) AS shareholders FROM sh GROUP BY corp),
+hs AS (SELECT corp, concat_ws(';', string_agg(concat_ws('|', name, CAST(CAST(round(stake * 100) AS BIGINT) AS VARCHAR)), ';' ORDER BY rn) FILTER (WHERE rn <= 6), CASE WHEN any_value(n) > 6 THEN concat('외 ', CAST(any_value(n) - 6 AS VARCHAR), '인 · 특수관계인') END) AS shareholders FROM sh GROUP BY corp),
 p AS (SELECT {_C.format('user_id')} AS corp, CAST(ts AS DATE) AS day, max(CASE WHEN event_id % 3 > 0 THEN value END) AS close, min(value) AS change FROM events GROUP BY ALL), pr AS (SELECT *, row_number() OVER (PARTITION BY corp ORDER BY day DESC) AS rn FROM p),
 st AS (SELECT corp, concat_ws('|', CAST(CAST(round(max(close) FILTER (WHERE rn = 1) * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(max(change) FILTER (WHERE rn = 1) * 100) AS BIGINT) AS VARCHAR), CAST(max(day) AS VARCHAR), string_agg(CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY day)) AS stock FROM pr WHERE rn <= 30 GROUP BY corp),
 nw AS (SELECT corp, string_agg(concat_ws('|', CAST(doc_id AS VARCHAR), label, CAST(day AS VARCHAR)), ';' ORDER BY rn) AS news FROM (SELECT {_C.format('corp')} AS corp, doc_id, label, day, row_number() OVER (PARTITION BY corp % 40 ORDER BY ts DESC, doc_id) AS rn FROM docs) WHERE rn <= 10 GROUP BY corp),
@@ -113,7 +113,7 @@ def ent9_targets(read):
 
 @query(f"""WITH {_REC}, s AS (SELECT q.vec_id AS qid, v.vec_id, {_COS} AS score FROM vectors q CROSS JOIN vectors v WHERE q.vec_id % 50 = 0), h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s), top AS (SELECT qid, CAST(vec_id AS VARCHAR) AS chunk FROM h WHERE rank = 1 UNION ALL SELECT -1, NULL),
 ev AS (SELECT DISTINCT chunk, type IN ('Organization', 'Person') AS actor, entity FROM t WHERE entity IS NOT NULL)
-SELECT qid, chunk, (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk AND actor) AS actors, (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk AND NOT actor) AS objects, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier IN ('statement', 'event')) AS facts, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement') AS statements, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement' AND id[1:1] < 'c') AS with_activity,
+SELECT qid, chunk, least(5, (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk AND actor)) AS actors, least(5, (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk AND NOT actor)) AS objects, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier IN ('statement', 'event')) AS facts, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement') AS statements, (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement' AND id[1:1] < 'c') AS with_activity,
 (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement') = (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement' AND id[1:1] < 'c') AS provenance, CASE WHEN chunk IS NULL THEN 'no hit' WHEN (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk) > 0 THEN 'good' ELSE 'weak' END AS quality FROM top""")
 def ret8_scenarios(read):
     """A vector's number is an order's; a question without a vector has no hit; some statements have no activity."""

@@ -9,9 +9,9 @@ from ..functions import endpoints as N
 from ..functions import sentences as T
 from .registry import by_case, query, sql_case
 
-_SHOWN = """CASE WHEN {v} IS NULL THEN '(공시되지 않음)' ELSE concat(format('{{:,}}', {v}), '원', CASE WHEN {v} >= 100000000 THEN concat(' (약 ', (CAST({v} AS HUGEINT) * 20 + 100000000) // 200000000 // 10, '.', (CAST({v} AS HUGEINT) * 20 + 100000000) // 200000000 % 10, '억원)')
-  WHEN {v} >= 10000 THEN concat(' (약 ', ({v} * 20 + 10000) // 20000 // 10, '.', ({v} * 20 + 10000) // 20000 % 10, '만원)') ELSE '' END) END"""
-_CHANGE = """CASE WHEN {a} IS NULL OR {b} IS NULL OR {b} = 0 THEN '전년 자료 없음' ELSE concat((CAST(abs({a} - {b}) AS HUGEINT) * 2000 + {b}) // (2 * {b}) // 10, '.', (CAST(abs({a} - {b}) AS HUGEINT) * 2000 + {b}) // (2 * {b}) % 10, CASE WHEN {a} >= {b} THEN '% 증가' ELSE '% 감소' END) END"""
+_SHOWN = """CASE WHEN {v} IS NULL THEN '(공시되지 않음)' ELSE concat(format('{{:,}}', {v}), '원', CASE WHEN {v} >= 100000000 THEN concat(' (약 ', printf('%.1f', {v} / 1e8), '억원)')
+  WHEN {v} >= 10000 THEN concat(' (약 ', printf('%.1f', {v} / 1e4), '만원)') ELSE '' END) END"""
+_CHANGE = """CASE WHEN {a} IS NULL OR {b} IS NULL OR {b} = 0 THEN '전년 자료 없음' ELSE concat(printf('%.1f', abs(CAST({a} - {b} AS DOUBLE) / abs({b}) * 100)), CASE WHEN {a} >= {b} THEN '% 증가' ELSE '% 감소' END) END"""
 
 
 @query(f"""WITH s AS (SELECT corp, fs, account, year, CAST(sum(value) AS BIGINT) AS v FROM metrics GROUP BY ALL),

@@ -67,7 +67,7 @@ def txt14_treasury(read):
     return _out(_suppliers(read), T.treasury_sentences(F.col("corp"), F.col("year"), F.lit(None).cast("string"), a, b, F.lit("—"), a))
 
 
-_WON = "CASE WHEN {v} >= 10000 THEN concat(regexp_replace(CAST({v} AS VARCHAR), '([0-9]+)([0-9]{{3}})$', '\\1,\\2'), '원 (약 ', printf('%.1f', round({v} / 10000.0 + 1e-9, 1)), '만원)') WHEN {v} >= 1000 THEN concat(regexp_replace(CAST({v} AS VARCHAR), '([0-9]+)([0-9]{{3}})$', '\\1,\\2'), '원') ELSE concat(CAST({v} AS VARCHAR), '원') END"
+_WON = "CASE WHEN {v} >= 10000 THEN concat(regexp_replace(CAST({v} AS VARCHAR), '([0-9]+)([0-9]{{3}})$', '\\1,\\2'), '원 (약 ', printf('%.1f', {v} / 1e4), '만원)') WHEN {v} >= 1000 THEN concat(regexp_replace(CAST({v} AS VARCHAR), '([0-9]+)([0-9]{{3}})$', '\\1,\\2'), '원') ELSE concat(CAST({v} AS VARCHAR), '원') END"
 
 
 @query(f"""WITH s AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)

@@ -10,7 +10,7 @@ def one(spark, kind, value, f):
 
 
 def test_amounts(spark):
-    cases = {None: "(공시되지 않음)", 0: "0원", 9999: "9,999원", 10_000: "10,000원 (약 1.0만원)", -12_500: "-12,500원 (약 -1.3만원)", 123_450_000: "123,450,000원 (약 1.2억원)", 7_654_000_000_000: "7,654,000,000,000원 (약 7.7조원)"}
+    cases = {None: "(공시되지 않음)", 0: "0원", 9999: "9,999원", 10_000: "10,000원 (약 1.0만원)", -12_500: "-12,500원 (약 -1.2만원)", 123_450_000: "123,450,000원 (약 1.2억원)", 7_654_000_000_000: "7,654,000,000,000원 (약 7.7조원)"}
     for won, shown in cases.items():
         assert one(spark, "long", won, T.amount_text) == shown
 
