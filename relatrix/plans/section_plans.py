@@ -57,6 +57,6 @@ _TOLD = [("", ""), ("삼성이 인수합병을 공시", "events:인수+합병"),
 
 @query(f"SELECT doc_id, {sql_case('doc_id', [b for _, b in _TOLD])} AS found FROM chunks")
 def txt2_triggers(read):
-    found = X.triggers(F.concat("text", by_case("doc_id", [a for a, _ in _TOLD])))
+    found = X.triggers(F.concat(F.lower("text"), by_case("doc_id", [a for a, _ in _TOLD])))
     said = F.transform(found, lambda r: F.concat(r["category"], F.lit(":"), F.array_join(r["hits"], "+")))
     return read("chunks").select("doc_id", F.array_join(said, "|").alias("found"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -118,6 +119,43 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, "key string, name string, aliases array<string>, tickers array<string>, domain string")
 
 
+_GOLD = "id string, query string, category string, no_answer boolean, chunks array<string>, corps array<string>, note string"
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """SRC20: questions of gold files: entries that begin with '- id:', fields two spaces in, texts in JSON, lists in brackets.
+
+    Lines before the first entry and unknown fields are skipped; a field that an entry has not is NULL.
+    """
+    quoted, listed = {"query": "query", "note": "note"}, {"expected_chunk_ids": "chunks", "expected_corp_codes": "corps"}
+
+    def parse(text: str) -> list[dict]:
+        out: list[dict] = []
+        for line in text.splitlines():
+            if line.startswith("- id:"):
+                out.append({"id": line[5:].strip()})
+            elif out and (m := re.match(r"  (\w+):(.*)", line)):
+                field, value = m[1], m[2].strip()
+                if field in quoted:
+                    out[-1][quoted[field]] = json.loads(value)
+                elif field in listed:
+                    out[-1][listed[field]] = [x.strip() for x in value.strip("[]").split(",") if x.strip()]
+                elif field == "category":
+                    out[-1]["category"] = value
+                elif field == "no_answer":
+                    out[-1]["no_answer"] = value == "true"
+        return out
+
+    kinds = {"id": pa.string(), "query": pa.string(), "category": pa.string(), "no_answer": pa.bool_(), "chunks": pa.list_(pa.string()), "corps": pa.list_(pa.string()), "note": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for t in batch.column("value").to_pylist() for r in parse(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, _GOLD)
+
+
 def page_lookup(pages: DataFrame, texts: DataFrame, head: int = 80, least: int = 20) -> DataFrame:
     """SRC21: (text_id, page): the first page (1-based) of the document whose text holds the first characters of a text, spaces squeezed; NULL if none does.
 

@@ -52,6 +52,12 @@ def test_dictionary(spark, tmp_path):
     assert got == {"00126380": ("삼성전자", ["삼성", "Samsung"], ["005930"], "samsung.com"), "B1": ("비원", ["비", "B one"], [], None), "C1": ("C1", [], [], None)}
 
 
+def test_gold(spark, tmp_path):
+    text = '# gold\n  query: "before any entry"\n- id: q1\n  query: "삼성전자 2024년 \\"매출액\\""\n  category: 정형수치\n  no_answer: false\n  expected_chunk_ids: [a1, b2 ,]\n  expected_corp_codes: [00126380]\n  note: "n: x"\n  other: 5\n\n- id:  q2\n  no_answer: true\n  expected_chunk_ids: []\n'
+    got = {r.id: tuple(r)[1:] for r in C.read_gold(spark, write(tmp_path, {"v3.yml": text, "empty.yml": ""})).collect()}
+    assert got == {"q1": ('삼성전자 2024년 "매출액"', "정형수치", False, ["a1", "b2"], ["00126380"], "n: x"), "q2": (None, None, True, [], None, None)}
+
+
 def test_pages(spark):
     long = "이 글은 스무 글자가 넘는 본문 입니다 정말로"
     pages = spark.createDataFrame([("d", 1, "가 나 다"), ("d", 2, f"앞 {long}\n뒤".replace(" ", "  ")), ("d", 3, long)], "doc string, page int, content string")
