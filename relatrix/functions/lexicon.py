@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .sentences import enrich_amounts
+from .scalars import let
+from .sentences import between, enrich_amounts
 
 #: Acronyms and the names that are put behind them.
 ACRONYMS = {
@@ -26,8 +27,9 @@ ACRONYMS = {
 
 
 def _terms(names: dict[str, str]) -> str:
-    """A word among the names, the longest where several begin; word characters are those of Unicode."""
-    return r"(?U)\b(?:" + "|".join(rf"\Q{k}\E" for k in sorted(names, key=lambda k: (-len(k), k))) + r")\b"
+    """A word among the names, the longest where several begin; word characters are those of Unicode. Letters that begin no name are passed without more."""
+    heads = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({k[0] for k in names}))
+    return rf"(?U)(?=[{heads}])\b(?:" + "|".join(rf"\Q{k}\E" for k in sorted(names, key=lambda k: (-len(k), k))) + r")\b"
 
 
 def expand_acronyms(text: Column, names: dict[str, str] | None = None) -> Column:
@@ -36,14 +38,13 @@ def expand_acronyms(text: Column, names: dict[str, str] | None = None) -> Column
     The text is cut at all acronyms at once and put together again, so what was put in is not read again.
     """
     names = ACRONYMS if names is None else names
-    gaps, hits = F.split(text, _terms(names), -1), F.regexp_extract_all(text, F.lit(_terms(names)), F.lit(0))
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
-    def shown(hit: Column, i: Column) -> Column:
-        after = F.get(gaps, i + 1)
-        return F.concat(hit, F.when(F.startswith(after, F.lit("(")), "").otherwise(F.concat(F.lit("("), F.element_at(table, hit), F.lit(")"))), after)
+    def shown(hit: Column, after: Column) -> Column:
+        named = F.concat(hit, F.when(F.startswith(after, F.lit("(")), "").otherwise(F.concat(F.lit("("), F.element_at(table, hit), F.lit(")"))), after)
+        return F.when(hit.isNull(), after).otherwise(named)
 
-    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, shown), ""))
+    return let(text, lambda t: between(t, _terms(names), 0, shown))
 
 
 def apply_lexicon(text: Column) -> Column:

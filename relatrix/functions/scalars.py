@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ REPORT_PRIORITY = {"11011": 4, "11014": 3, "11012": 2, "11013": 1}
 REPORT_QUARTER = {"11013": 1, "11012": 2, "11014": 3, "11011": 4}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value; the value is evaluated once, however often it is used. Optimisers do not share work inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash16(*parts: Column) -> Column:
     """First 16 hex digits of md5 of the pipe-joined parts; NULL if any part is (never skipped)."""
     joined = parts[0].cast("string")
@@ -98,11 +105,12 @@ def one_decimal(size: Column) -> Column:
 
     Against the tie of its tenth, 20 times the number is told exactly: 16 and 4 times it are exact, and so are the differences of near numbers.
     """
-    v = size.cast("double")
-    tenths = F.floor(v * 10).cast("double")
-    over = (v * 16 - (tenths * 2 + 1)) + v * 4
-    n = tenths.cast("bigint") + ((over > 0) | ((over == 0) & (tenths % 2 == 1))).cast("int")
-    return F.concat(F.call_function("div", n, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    def rounded(v: Column, tenths: Column) -> Column:
+        return let((v * 16 - (tenths * 2 + 1)) + v * 4, lambda over: tenths.cast("bigint") + ((over > 0) | ((over == 0) & (tenths % 2 == 1))).cast("int"))
+
+    shown = lambda n: F.concat(F.call_function("div", n, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+    return let(let(size.cast("double"), lambda v: let(F.floor(v * 10).cast("double"), lambda tenths: rounded(v, tenths))), shown)
 
 
 def money_label(won: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import one_decimal
+from .scalars import let, one_decimal
 
 #: Units of an amount, largest first.
 UNITS = ((10**12, "조원"), (10**8, "억원"), (10**4, "만원"))
@@ -38,15 +40,24 @@ def change_text(now: Column, before: Column) -> Column:
     return F.when(known, F.concat(one_decimal(F.abs((now - before).cast("double") / F.abs(before).cast("double") * 100)), F.when(now >= before, "% 증가").otherwise("% 감소"))).otherwise("전년 자료 없음")
 
 
+def between(text: Column, pattern: str, group: int, shown: Callable[[Column, Column], Column]) -> Column:
+    """A text whose every match, with what follows it up to the next, is put as ``shown(hit, after)``; the hit of what comes before the first is NULL.
+
+    Cut and matched once a text, so the work grows with the text and not with matches x text.
+    """
+    hits = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    return F.array_join(F.zip_with(hits, F.split(text, pattern, -1), shown), "")
+
+
 def enrich_amounts(text: Column) -> Column:
     """Every amount of 10,000 won or more is followed by its rounded form; NULL and empty texts stay."""
-    gaps, hits = F.split(text, AMOUNT, -1), F.regexp_extract_all(text, F.lit(AMOUNT), 1)
+    bracket = lambda won: F.coalesce(F.concat(F.lit(" (약 "), rounded_amount(won), F.lit(")")), F.lit(""))
 
-    def shown(hit: Column, i: Column) -> Column:
+    def shown(hit: Column, after: Column) -> Column:
         won = F.regexp_replace(hit, "[,+]", "").try_cast("decimal(28,0)")
-        return F.concat(hit, F.lit("원"), F.coalesce(F.concat(F.lit(" (약 "), rounded_amount(won), F.lit(")")), F.lit("")), F.get(gaps, i + 1))
+        return F.when(hit.isNull(), after).otherwise(F.concat(hit, F.lit("원"), let(won, bracket), after))
 
-    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, shown), ""))
+    return let(text, lambda t: between(t, AMOUNT, 1, shown))
 
 
 #: Kinds of statements, and accounts that get a short sentence.
