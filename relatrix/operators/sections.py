@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.scalars import let
+
 #: Headings of three levels, and the sections that are kept.
 HEADINGS = (("roman", r"^\s*([IVXLCDM]+)\.\s+(.+?)\s*$"), ("arabic", r"^\s*(\d+)\.\s+(.+?)\s*$"), ("hangul", r"^\s*([가-힣])\.\s+(.+?)\s*$"))
 KEPT_ROMANS, KEPT_IN_III, NOTES = ("II", "IV", "V", "XI"), ("3", "4", "5"), "주석"
@@ -144,7 +146,7 @@ TRIGGERS = {
 
 def triggers(text: Column, words: dict[str, tuple[str, ...]] | None = None) -> Column:
     """TXT2: array of (category, hits) of the categories whose trigger words the text holds, in the order of the table; an empty list is no trigger."""
-    held = F.coalesce(text, F.lit(""))
-    hits = lambda ws: F.filter(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(held, w))
-    rows = [F.struct(F.lit(c).alias("category"), hits(ws).alias("hits")) for c, ws in (words or TRIGGERS).items()]
-    return F.filter(F.array(*rows), lambda r: F.size(r["hits"]) > 0)
+    hits = lambda held, ws: F.filter(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(held, w))
+    row = lambda held, c, ws: F.struct(F.lit(c).alias("category"), hits(held, ws).alias("hits"))
+    rows = lambda held: F.array(*[row(held, c, ws) for c, ws in (words or TRIGGERS).items()])
+    return F.filter(let(F.coalesce(text, F.lit("")), rows), lambda r: F.size(r["hits"]) > 0)

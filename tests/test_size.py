@@ -1,11 +1,19 @@
 """Steps whose work or memory must not grow faster than their input."""
 
+import re
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from relatrix.functions import lexicon as X
+from relatrix.operators import chunks as C
+from relatrix.operators import retrieval as R
+from relatrix.operators import sections
 from relatrix.plans import registry
+from relatrix.sources import readers
 
 
 def test_texts_full_of_acronyms(spark):
@@ -26,3 +34,52 @@ def test_edges_count_documents_in_their_own_parts(spark):
     want = spark.sql(f"SELECT src, dst, type, extracted_by, count(DISTINCT doc_id) AS evidence_count, min(day) AS first_day, max(day) AS last_day, max(stake) AS stake FROM ({registry.BINDINGS['facts']}) GROUP BY ALL", **{t: registry.read(spark, "/root/testdata/sf0.01", t) for t in ("lineitem", "orders", "customer")})
     assert edges.select(want.columns).exceptAll(want).count() == 0 == want.exceptAll(edges.select(want.columns)).count()
     assert edges.schema.simpleString() == edges.select(want.columns).schema.simpleString()
+
+
+def test_few_texts_and_pages_are_held_at_once(spark):
+    texts = pa.RecordBatch.from_pydict({"text": [f"one {i}. two three. four" for i in range(1000)]})
+    out = list(C._split(2, C.words)(iter([texts])))
+    assert max(b.num_rows for b in out) <= 64 and sum(b.num_rows for b in out) == 1000
+    assert out[-1].column("_parts")[-1].as_py() == [{"content": "one 999.", "tokens": 2}, {"content": "two three.", "tokens": 2}, {"content": "four", "tokens": 1}]
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def select(self, *_):
+            return self
+
+        where = select
+
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "url": [f"u{i}" for i in range(1000)], "html": [None, *(f"<title>t{i}</title><p>x {i}" for i in range(1, 1000))]})
+    out = list(readers.articles(Frame()).run(iter([pages])))
+    assert max(b.num_rows for b in out) <= 64 and sum(b.num_rows for b in out) == 1000
+    assert [x for b in out for x in b.column("body").to_pylist()] == ["", *(f"x {i}" for i in range(1, 1000))]
+
+
+def test_scores_of_a_slice_are_bounded():
+    rng = np.random.default_rng(7)
+    unit = lambda n: pa.array(list(rng.normal(size=(n, 4))), pa.list_(pa.float64()))
+    rows, asked = pa.table({"vec_id": np.arange(8192), "unit": unit(8192)}), pa.table({"qid": np.arange(1000), "unit": unit(1000)})
+    tracemalloc.start()
+    got = R._nearest(3)(rows, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # 8192 x 1000 scores alone are 65 MB
+    own = lambda t: np.array(t["unit"].to_pylist())
+    want = np.argsort(-np.round(own(asked) @ own(rows).T, 9), axis=1, kind="stable")[:, :3]
+    assert got["vec_id"].to_numpy().reshape(1000, 3).tolist() == want.tolist()
+
+
+def test_triggers_read_their_text_once(spark):
+    rows = spark.createDataFrame([("A 인수 B",), (None,)], "text string").select(sections.triggers(F.lower("text")).alias("t"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("lower(text") == 1
+    assert [[x["category"] for x in r["t"]] for r in rows.collect()] == [["events"], []]
+
+
+def test_documents_are_scored_in_their_own_parts(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "b1 a a"), (2, "c b2")], "qid long, text string")
+    plan = R.bm25(asked, docs, 3)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id", plan) and "WindowGroupLimit" in plan
