@@ -145,6 +145,10 @@ def _metadata(body: _Body, url: str | None) -> dict[str, str | None]:
     return out
 
 
+#: Pages whose texts are held at once; a batch of Spark's has 10,000.
+PAGES_AT_ONCE = 64
+
+
 def articles(pages: DataFrame, least: int = 100) -> DataFrame:
     """SRC14: pages with at least ``least`` characters of text: page_id, url, title, body and their metadata, NULL where a page has none.
 
@@ -154,11 +158,15 @@ def articles(pages: DataFrame, least: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            read = [_read(x) for x in batch.column("html").to_pylist()]
-            got, meta = [_text(x) for x in read], [_metadata(x, u) for x, u in zip(read, urls, strict=True)]
-            columns = [[t for t, _ in got], [b for _, b in got], *([m[n] for m in meta] for n in names)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "url", "title", "body", *names])
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(at, PAGES_AT_ONCE)
+                rows = []
+                for html, url in zip(some.column("html").to_pylist(), some.column("url").to_pylist(), strict=True):
+                    page = _read(html)  # one page's tree at a time
+                    meta = _metadata(page, url)
+                    rows.append((*_text(page), *(meta[n] for n in names)))
+                columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), *columns], names=["page_id", "url", "title", "body", *names])
 
     schema = "page_id long, url string, title string, body string, " + ", ".join(f"{n} string" for n in names)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema).where(F.length("body") >= least)
