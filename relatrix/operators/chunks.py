@@ -46,11 +46,15 @@ def split_text(text: str, most: int, size: Callable[[str], int] = words, level:
     return [x for p in pack(parts, most, size, glue) for x in split_text(p, most, size, level + 1)]
 
 
+#: Texts whose parts are held at once; a batch of Spark's has 10,000.
+TEXTS_AT_ONCE = 64
+
+
 def _split(most: int, size: Callable[[str], int]):
     """Adds ``tokens`` of the whole text and its ``parts``: (content, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             texts = batch.column("text").to_pylist()
             parts = [[(p, size(p)) for p in split_text(t, most, size)] for t in (x or "" for x in texts)]
             yield pa.RecordBatch.from_arrays(
