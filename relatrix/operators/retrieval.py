@@ -18,6 +18,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
 
 
+#: Queries that meet a slice at once: with 8192 vectors, each table of scores takes 8 MB.
+QUERIES_AT_ONCE = 128
+
+
 def _nearest(k: int, on: str | None = None):
     """The k best of a slice of unit vectors for each query of a block; with ``on``, all rows have one value of that column."""
 
@@ -25,9 +29,13 @@ def _nearest(k: int, on: str | None = None):
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
             ids, asked = rows["vec_id"].to_numpy(), queries["qid"].to_numpy()
-            score = _matrix(queries["unit"]) @ _matrix(rows["unit"]).T
-            by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-            out = [np.repeat(asked, by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()]
+            near, own = _matrix(rows["unit"]).T, _matrix(queries["unit"])
+            found = []
+            for at in range(0, len(own), QUERIES_AT_ONCE):
+                score = own[at : at + QUERIES_AT_ONCE] @ near
+                by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                found.append((np.repeat(asked[at : at + QUERIES_AT_ONCE], by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()))
+            out = [np.concatenate(x) for x in zip(*found, strict=True)]
         columns = [pa.array(x) for x in out]
         if on:
             kind = rows.schema.field(on).type
