@@ -102,11 +102,27 @@ def company_search(queries: DataFrame, vectors: DataFrame, k: int, pool: int, wh
 BROADCAST_TERMS = 200_000
 
 
+#: Documents in a part that is scored by itself: the number of parts grows with the documents, so that no task's memory does.
+PART_DOCS = 1024
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, ...) in parts of bounded size: what is grouped by document afterwards is not shuffled again."""
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // PART_DOCS))
+    return docs.repartition(parts, "doc_id")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Asked terms, broadcast while they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """RET2: BM25 (Okapi) over the whole corpus; negative idf is floored at eps times the mean idf.
 
     ``queries`` (qid, text) and ``docs`` (doc_id, text). Statistics cover all documents; a query term repeated in
-    the query counts as often. Only terms that are asked for leave the documents as rows.
+    the query counts as often. Only terms that are asked for leave the documents as rows, and these are counted and scored in
+    the documents' own parts, of which only the k best of a query are shuffled.
     """
     words = docs.select("doc_id", S.tokens(F.col("text")).alias("w"))
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -119,9 +135,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float
     small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
     weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
     idf = idf.join(small(terms), "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", weight.alias("idf"))
-    tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    few = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked  # a term may be asked for by many
-    hits = tf.join(small(idf), "term").join(few, "term")
+    own = dealt(docs.select("doc_id", "text")).select("doc_id", S.tokens(F.col("text")).alias("w"))
+    tf = own.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(small(idf), "term").join(few(asked), "term")  # a term may be asked for by many
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("times")
     scored = hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")

@@ -50,9 +50,9 @@ def ret2_bm25(read):
 f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.item, b.item) AS item, coalesce(1 / (60.0 + ra), 0) + coalesce(1 / (60.0 + rb), 0) AS score FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.item = b.item)
 SELECT qid, item, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, item) AS r FROM f) WHERE r <= 10""")
 def ret3_set5_fuse(read):
-    words = read("chunks").select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
+    words = R.dealt(read("chunks").select("doc_id", "text")).select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
     asked = read("benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
-    n = words.join(asked, "term").groupBy("qid", "item").agg(F.count("*").alias("n"))
+    n = words.join(R.few(asked), "term").groupBy("qid", "item").agg(F.count("*").alias("n"))
     overlap = n.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "item"))).where("rank <= 50")
     return R.fuse(_bm25(read, 50).withColumnRenamed("doc_id", "item"), overlap).select("qid", "item", F.round("score", 9).alias("score"))
 
