@@ -51,6 +51,8 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
+#: Ids whose shares are added up at once.
+_SLICE = 1 << 18
 #: Counts in steps that grow with them, some 15,000 at most, in the order of the counts.
 _STEP = "if(c < 4096, c, 4096 + cast(floor(log2(c) * 256) as bigint))"
 
@@ -109,7 +111,7 @@ def _encode(top: dict[bytes, int]):
     return run
 
 
-def groups(sequences: list[np.ndarray], limit: int = 1_600_000, cells: int = 8_000_000) -> Iterator[tuple[list[int], np.ndarray]]:
+def groups(sequences: list[np.ndarray], limit: int = 400_000, cells: int = 2_000_000) -> Iterator[tuple[list[int], np.ndarray]]:
     """Sequences of like length together, longest first: indexes, and the ids by time step (time-major).
 
     A group has at most ``limit`` ids and its grid (longest x sequences) at most ``cells`` places, or is one sequence.
@@ -122,7 +124,7 @@ def groups(sequences: list[np.ndarray], limit: int = 1_600_000, cells: int = 8_0
             held += len(sequences[order[at]])
             take.append(order[at])
             at += 1
-        grid = np.full((longest, len(take)), -1, dtype=np.int32)
+        grid = np.full((longest, len(take)), -1, dtype=np.int16)  # classes are below 2**15
         for j, i in enumerate(take):
             grid[: len(sequences[i]), j] = sequences[i]
         yield take, grid
@@ -132,11 +134,13 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, grid: np.ndar
     """Scaled forward recursion: natural-log likelihood of each column; with keep also the scaled values.
 
     emit is (classes x states). Columns are sorted by falling length, so the live ones are a prefix.
+    The scaled values of all steps lie one after another in one array.
     """
     steps, cols = grid.shape
-    live = (grid >= 0).sum(axis=1)
+    live = np.count_nonzero(grid >= 0, axis=1)
     loglik = np.zeros(cols)
-    alphas, scales = [], []
+    ends, scales = np.cumsum(live), []
+    alphas = np.empty((int(ends[-1]), len(start)), dtype=emit.dtype) if keep else None
     a = np.empty((0, len(start)), dtype=emit.dtype)
     for t in range(steps):
         n = live[t]
@@ -145,7 +149,7 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, grid: np.ndar
         a /= c[:, None]
         loglik[:n] += np.log(c)
         if keep:
-            alphas.append(a)
+            alphas[ends[t] - n : ends[t]] = a
             scales.append(c)
     return (loglik, alphas, scales, live) if keep else loglik
 
@@ -154,6 +158,7 @@ def expected_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, seque
     """Baum-Welch E step over whole sequences: counts of first states, moves and emissions.
 
     Steps are in single precision, sums over them in double; scores are computed apart, in double precision.
+    A state's share of a step takes the place of its forward value, so a group is held once (32 bytes an id).
     """
     k = len(start)
     start, move, emit = (x.astype(np.float32) for x in (start, move, emit))
@@ -161,21 +166,23 @@ def expected_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, seque
     for _, grid in groups(sequences):
         loglik, alphas, scales, live = forward(start, move, emit, grid, keep=True)
         total += float(loglik.sum())
-        beta = np.ones((0, k), dtype=np.float32)
-        gammas = [None] * len(alphas)
-        for t in range(len(alphas) - 1, -1, -1):
+        beta, end = np.ones((0, k), dtype=np.float32), len(alphas)
+        for t in range(len(live) - 1, -1, -1):
             n, after = live[t], len(beta)
+            alpha, end = alphas[end - n : end], end - n
             b = np.ones((n, k), dtype=np.float32)
             if after:
                 ahead = beta * emit[grid[t + 1, :after]] / scales[t + 1][:, None]
                 b[:after] = ahead @ move.T
-                moves += alphas[t][:after].T @ ahead
-            gammas[t] = alphas[t] * b
+                moves += alpha[:after].T @ ahead
+            alpha *= b
             beta = b
-        first += gammas[0].sum(axis=0, dtype=np.float64)
-        flat, ids = np.concatenate(gammas), grid[grid >= 0]
-        for s in range(k):
-            emits[:, s] += np.bincount(ids, weights=flat[:, s], minlength=len(emit))
+        first += alphas[: live[0]].sum(axis=0, dtype=np.float64)
+        ids = grid[grid >= 0]
+        for at in range(0, len(ids), _SLICE):
+            part = ids[at : at + _SLICE].astype(np.int64)
+            for s in range(k):
+                emits[:, s] += np.bincount(part, weights=alphas[at : at + _SLICE, s], minlength=len(emit))
     return first, moves * move.astype(np.float64), emits, total
 
 
