@@ -44,13 +44,34 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c) of the texts' words, the end token as a line feed; a word comes again whenever ``_HELD`` distinct ones are held."""
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words = pa.array(list(held), pa.binary()).cast(pa.string())
+        counts = pa.array(held.values(), pa.int64(), size=len(held))
+        for i in range(0, len(held), 20_000):
+            yield pa.RecordBatch.from_arrays([words.slice(i, 20_000), counts.slice(i, 20_000)], names=["word", "c"])
+
+    held: Counter[bytes] = Counter()
+    for batch in (part for whole in batches for part in pieces(whole, 1 << 20)):
+        for text in utf8(batch.column("text")):
+            held.update(text.lower().split())
+        held[b"\n"] += batch.num_rows
+        if len(held) >= _HELD:
+            yield from rows()
+            held.clear()
+    yield from rows()
+
+
 def training_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all training documents, the end token as a line feed."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    words = docs.where(~held_out()).select(F.explode(F.concat(F.split(text, r"[\x20\x09-\x0D]+"), F.array(F.lit("\n")))).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
+    counted = docs.where(~held_out()).select("text").mapInArrow(tidy(_count), "word string, c long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+#: Distinct words that a task counts at once.
+_HELD = 200_000
 #: Ids whose shares are added up at once.
 _SLICE = 1 << 18
 #: Counts in steps that grow with them, some 15,000 at most, in the order of the counts.
