@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import diagnostics as D
 from ..operators import profiles as P
 from ..operators import scenario as N
+from ..session import written
 from .registry import query
 from .semantic_plans import _REC, _frames
 from .text_plans import _COS
@@ -84,16 +85,16 @@ SELECT pairs.centre, pairs.node, concat('Name ', pairs.node) AS name, CASE WHEN
 (SELECT string_agg(concat_ws('|', CAST(doc_id AS VARCHAR), strftime(ts, '%Y-%m-%d')), ';' ORDER BY rn) FROM k WHERE k.centre = pairs.centre AND k.node = pairs.node AND rn <= 3) AS evidence, CASE WHEN CAST(pairs.node[2:] AS INT) // 2 % 2 = 0 THEN concat('S', CAST(CAST(pairs.node[2:] AS INT) // 2 * 2 AS VARCHAR)) END AS company FROM pairs""")
 def gra3_node_details(read):
     """Every supplier of odd number is a fragment of the one before; those of a number divisible by four have a company's code."""
-    facts = read("facts")
+    facts = written(read("facts").select("src", "dst", "type", "extracted_by", "doc_id", "stake"), "facts")
     pairs = facts.where("doc_id % 3 = 0").select(F.col("src").alias("centre"), F.col("dst").alias("node"))
-    edges = facts.groupBy("src", "dst", "type", "extracted_by").agg(F.count("*").alias("evidence_count"), F.max("stake").alias("stake"), F.collect_set("doc_id").alias("doc_ids"))
+    edges = facts.groupBy("src", "dst", "type", "extracted_by").agg(F.count("*").alias("evidence_count"), F.max("stake").alias("stake"))
     k = F.col("s_suppkey")
     own = F.concat(F.lit("S"), k.cast("string"))
     s = read("supplier")
     fragments = s.select(own.alias("node"), F.concat(F.lit("S"), (k - k % 2).cast("string")).alias("fragment"))
     names = s.select(own.alias("node"), F.concat(F.lit("Name "), own).alias("name"), F.when(k % 4 == 0, own).alias("corp_code"))
     documents = read("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("ts"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("url"), F.col("o_orderpriority").alias("body"), F.lit("{broken").alias("metadata"))
-    out = P.node_details(pairs, edges, documents, fragments, names, 3)
+    out = P.node_details(pairs, edges, documents, fragments, names, 3, facts)
     return out.select("centre", "node", "name", "kind", _said("relations", *(_field(f) for f in ("grp", "predicate", "evidence", "directed", "source"))), _said("evidence", _field("doc_id"), _field("day")), "company")
 
 
