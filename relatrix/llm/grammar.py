@@ -35,27 +35,25 @@ BLOCK_IDS, LEAST = 1 << 20, 8
 FILE = "part int, block int, block_ids long, doc_ids binary, no_id binary, offsets binary, n_ids binary, terms binary, symbols binary, rules binary, spans binary"
 
 
-def _repeated(sym: np.ndarray, alone: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, ...] | None:
+def _repeated(sym: np.ndarray, at: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, ...] | None:
     """(places of repeated pairs, their pair numbers, left and right symbol of each pair); None if no pair is left.
 
-    ``alone`` marks symbols that end a document. Pairs are counted by sorting (pair, place) packed in 64 bits.
+    ``at``: the places whose pairs may be repeated. Pairs are counted by sorting (pair, place) packed in 64 bits.
     """
-    code = sym[:-1] * np.int64(symbols) + sym[1:]
-    # a small table of hashed counts first drops pairs that cannot be frequent
-    slot = ((code * 0x9E3779B1) >> 7) & 0xFFFFF
-    slot[alone[:-1]] = 1 << 20
-    counts = np.bincount(slot, minlength=(1 << 20) + 1)
-    counts[1 << 20] = 0
-    at = np.flatnonzero(counts[slot] >= least)
+    code = sym[at] * np.int64(symbols) + sym[at + 1]
+    if len(at) > 1 << 16:  # a small table of hashed counts first drops pairs that cannot be frequent
+        slot = ((code * 0x9E3779B1) >> 7) & 0xFFFFF
+        kept = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
+        code, at = code[kept], at[kept]
     if not len(at):
         return None
     bits = int(len(sym)).bit_length()
     if bits + 2 * int(symbols).bit_length() < 64:
-        packed = np.sort((code[at] << bits) | at)
+        packed = np.sort((code << bits) | at)
         code, at = packed >> bits, packed & ((1 << bits) - 1)
     else:
-        by = np.argsort(code[at], kind="stable")
-        code, at = code[at][by], at[by]
+        by = np.argsort(code, kind="stable")
+        code, at = code[by], at[by]
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     n = np.diff(np.concatenate([edge, [len(code)]]))
     many = n >= least
@@ -76,12 +74,16 @@ def repair(ids: np.ndarray, docs: np.ndarray, least: int = LEAST) -> tuple[np.nd
     place[terms] = np.arange(len(terms))
     sym, length = place[ids], np.ones(len(terms), np.int64)
     rules = np.zeros((0, 2), np.int64)
+    live = np.ones(len(sym), dtype=bool)  # a pair that is too rare stays so; only pairs with a new symbol are looked at again
     while len(sym) > 1:
-        ends = np.concatenate([docs[1:] != docs[:-1], [True]])
-        found = _repeated(sym, ends, len(length), least)
+        live[:-1] &= docs[1:] == docs[:-1]
+        live[-1] = False
+        found = _repeated(sym, np.flatnonzero(live), len(length), least)
         if found is None:
             break
         at, which, left, right = found
+        live[:] = False
+        live[at] = True
         # of overlapping hits in a run, every other one is taken, from the left
         nth = np.arange(len(at))
         nth -= np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) != 1]), nth, 0))
@@ -93,11 +95,12 @@ def repair(ids: np.ndarray, docs: np.ndarray, least: int = LEAST) -> tuple[np.nd
         at, which = at[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
         left, right = left[used], right[used]
         sym[at] = len(length) + which
+        live[at] = live[np.maximum(at - 1, 0)] = True
         rules = np.concatenate([rules, np.stack([left, right], axis=1)])
         length = np.concatenate([length, length[left] + length[right]])
         stay = np.ones(len(sym), dtype=bool)
         stay[at + 1] = False
-        sym, docs = sym[stay], docs[stay]
+        sym, docs, live = sym[stay], docs[stay], live[stay]
     kind = "<u2" if len(length) <= 1 << 16 else "<u4"
     return sym.astype(kind), docs, terms.astype("<u4"), rules.astype(kind), length[len(terms) :].astype("<u4")
 

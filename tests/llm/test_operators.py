@@ -292,6 +292,16 @@ def test_grammar_random_access():
         assert (grammar.slice_ids(sym, terms, rules, spans, a, b) == ids[a:b]).all()
 
 
+def test_grammar_looks_only_at_changed_places(monkeypatch):
+    """Ten rounds read every place of the block anew; now a round reads what the last one changed or left frequent."""
+    rng, seen, repeated = np.random.default_rng(3), [], grammar._repeated
+    ids = np.concatenate([np.tile(rng.integers(0, 50, 64), 40), rng.integers(100, 60_000, 50_000)])
+    monkeypatch.setattr(grammar, "_repeated", lambda sym, at, *more: seen.append(len(at)) or repeated(sym, at, *more))
+    sym, docs, terms, rules, spans = grammar.repair(ids, np.zeros(len(ids), int))
+    assert (grammar.expand(sym, terms, rules, spans) == ids).all()
+    assert len(seen) > 3 and max(seen[1:]) < 6000
+
+
 def test_grammar_leaves_no_frequent_pair():
     rng = np.random.default_rng(9)
     ids, owner = (rng.zipf(1.3, 30_000) % 300).astype("<u4"), np.sort(rng.integers(0, 40, 30_000))
