@@ -9,6 +9,10 @@ the second); what both reach is a phrase one word longer whose two parts are liv
 Counts are summed across shards, phrases that reach the least count get a number, and the shards that hold them go on
 from there. So no shard drops a phrase by its own count, and the work of a length is bounded by the phrases alive.
 
+Numbers of a length run from 0 without gaps, so a phrase is one code of its two parts. A shard deals its codes to parts, SHARDS_A_PART
+shards' worth each, by the sum of both numbers, so that a very common word is spread over all parts; it sends a part its sorted codes as
+differences with their counts, compressed, in one row. A task adds up the codes of a part and gives a row for each that reaches the least count.
+
 Frequent words and phrases of a length go to the shards' tasks by broadcast as long as they are BROADCAST_ROWS at most; then nothing but
 counts is shuffled: a task goes through the lengths again from the pairs that its index was stored with, and keeps the phrases that it finds among the broadcast
 ones. Beyond that bound the frequent ones are joined with the shards' own rows and dealt back to the shards by shuffling.
@@ -43,11 +47,13 @@ SHARD_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 #: Frequent words or phrases of one length up to this many are broadcast (about 100 bytes a word, 24 bytes a phrase).
 BROADCAST_ROWS = 300_000
 SALTS = 64
+#: As many shards' codes are added up by one task; codes that a task holds before it adds them up.
+SHARDS_A_PART, HELD = 5, 1 << 21
 #: Marks that end a piece become a full stop, tabs a space, A-Z lower case.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _SHARD = "shard long, ids binary, langs array<struct<lang: string, ids: binary, words: binary>>"
 _WORDS = "lang string, word string, n long"
-_COUNTS = "pre long, suf long, n long"
+_COUNTS, _PARTS = "pre long, suf long, n long", "part int, data binary"
 _FOUND = "shard long, l array<int>, r array<int>, n array<int>, pre array<long>, suf array<long>"
 
 
@@ -289,10 +295,90 @@ class Survivors:
         return known, self.gid[at[known]]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of a shard's pairs, as rows."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(c).flatten().cast(pa.int64()) for c in ("pre", "suf", "n")], names=["pre", "suf", "n"])
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of one length, the bytes of equal weight together, compressed."""
+    wide = [8 if int(x.max()) >> 32 else 4 for x in columns]
+    data = b"".join([np.ascontiguousarray(x.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T).tobytes() for x, w in zip(columns, wide, strict=True)])
+    return bytes(wide) + zstandard.compress(data, 1)
+
+
+def _columns(data: bytes) -> list[np.ndarray]:
+    wide, body = data[:2], np.frombuffer(zstandard.decompress(data[2:]), dtype=np.uint8)
+    out, at, n = [], 0, len(body) // sum(wide)
+    for w in wide:
+        out.append(np.ascontiguousarray(body[at : at + n * w].reshape(w, n).T).view(f"<u{w}").ravel().astype(np.int64))
+        at += n * w
+    return out
+
+
+class Codes:
+    """A phrase as one code of its parts' numbers (both below ``numbers``); a code's part is the sum of both numbers modulo ``parts``."""
+
+    def __init__(self, numbers: int, parts: int) -> None:
+        self.parts = parts
+        self.base = numbers + (1 - numbers) % parts  # 1 modulo parts
+
+    def deal(self, pre: np.ndarray, suf: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(part, codes and counts) of a shard's phrases."""
+        code = pre.astype(np.int64) * self.base + suf
+        part = (code % self.parts).astype(np.int32)
+        sort = np.lexsort((code, part))
+        code, part, n = code[sort] // self.parts, part[sort], n[sort]
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+        for a, b in itertools.pairwise(edges):
+            yield int(part[a]), _planes(np.diff(code[a:b], prepend=0), n[a:b])
+
+    def open(self, part: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        steps, n = _columns(data)
+        return np.cumsum(steps) * self.parts + part, n
+
+    def batch(self, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Rows (part, data) of shards' (pre, suf, n)."""
+        rows = [x for columns in found for x in self.deal(*columns)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["part", "data"])
+
+
+def _added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and the sums of their counts."""
+    sort = np.argsort(code, kind="stable")  # merges what is in order already
+    code, n = code[sort], n[sort]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n, first)
+
+
+def _sums(codes: Codes, least: int):
+    """(pre, suf, n) of the phrases of whole parts that reach the least count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, limit = 0, HELD
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                held.append(codes.open(part, data.as_py()))
+                size += len(held[-1][0])
+                if size >= limit:
+                    held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    limit = size + HELD
+        if held:
+            code, n = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            code, n = code[n >= least], n[n >= least]
+            for i in range(0, len(code), 100_000):
+                own = code[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own // codes.base, own % codes.base, n[i : i + 100_000])], names=["pre", "suf", "n"])
+
+    return run
+
+
+def _dealt(codes: Codes):
+    """The counts of the shards' phrases, from rows that hold them, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield codes.batch([tuple(batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("pre", "suf", "n"))])
+
+    return run
 
 
 def _phrases(batch: pa.RecordBatch, tables: list) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
@@ -310,13 +396,13 @@ def _phrases(batch: pa.RecordBatch, tables: list) -> Iterator[tuple[int, tuple[n
         yield batch.column("shard")[i].as_py(), found
 
 
-def _walk(tables: list):
-    """The counts of the shards' phrases of the next length, as rows."""
+def _walk(tables: list, codes: Codes):
+    """The counts of the shards' phrases of the next length, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, (_, _, n, pre, suf) in _phrases(batch, tables):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pre, suf, n)], names=["pre", "suf", "n"])
+                yield codes.batch([(pre, suf, n)])
 
     return run
 
@@ -348,6 +434,18 @@ def _kept(df: DataFrame, tag: str, files: int | None = None) -> tuple[DataFrame,
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _numbered(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """``df`` written and read back with numbers from 0 without gaps in ``gid``, and their count; a count for each task that wrote rows comes to the driver."""
+    kept, _ = _kept(df.withColumn("at", F.monotonically_increasing_id()), tag)
+    first, total = [], 0
+    for task, n in sorted(kept.groupBy(F.shiftright("at", 33)).count().collect()):
+        first += [0] * (task - len(first)) + [total]
+        total += n
+    first = F.expr(f"array({', '.join(f'{x}L' for x in first or [0])})")
+    gid = F.get(first, F.shiftright("at", 33).cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.select(gid.alias("gid"), *(c for c in kept.columns if c != "at")), total
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_bytes: int = SHARD_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """One table for each length from 1 to ``longest`` (gid, lang, words, pre, suf, n, heads, tails) of the phrases found ``least`` times or more, and (lang, n).
 
@@ -359,11 +457,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     words = shards.mapInArrow(tidy(_words(False)), _WORDS)
     sums, own = _kept(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "sums")
     totals, _ = _kept(sums.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    level = sums.where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id())
-    level, _ = _kept(level.select("gid", "lang", F.array("word").alias("words"), F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("suf"), "n", F.array("n").alias("heads"), F.array("n").alias("tails")), "words")
+    level = sums.where(F.col("n") >= least)
+    level, total = _numbered(level.select("lang", F.array("word").alias("words"), F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("suf"), "n", F.array("n").alias("heads"), F.array("n").alias("tails")), "words")
     discard(spark, own)
     levels = [level]
-    if small := level.count() <= BROADCAST_ROWS:
+    parts = max(12, shards.count() // SHARDS_A_PART)
+    if small := total <= BROADCAST_ROWS:
         found = level.select("lang", F.col("words")[0].alias("word"), "gid").toArrow()
         numbers: dict[str, dict[bytes, int]] = {}
         for lang, word, gid in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "gid")), strict=True):
@@ -376,19 +475,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     built, index = _kept(built, "index", 2)
     discard(spark, at)
     flat = lambda df: df.select("shard", F.inline(F.arrays_zip("l", "r", "n", "pre", "suf")))
-    paths, rows, tables = [index], flat(built), []
+    paths, found, tables = [index], built, []
     for size in range(2, longest + 1):
-        counts = rows
-        if small:  # frequent phrases of all lengths so far are broadcast
-            counts = built.select("pre", "suf", "n").mapInArrow(tidy(_counts), _COUNTS) if size == 2 else built.mapInArrow(tidy(_walk(tables)), _COUNTS)
-        sums = counts.groupBy("pre", "suf").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
+        codes = Codes(total, parts)
+        # frequent phrases of all lengths so far are broadcast, or the shards' phrases of this length are rows
+        counts = built.mapInArrow(tidy(_walk(tables, codes)), _PARTS) if small and tables else found.select("pre", "suf", "n").mapInArrow(tidy(_dealt(codes)), _PARTS)
+        sums = counts.repartitionById(parts, "part").mapInArrow(tidy(_sums(codes, least)), _COUNTS)
         a = level.select(F.col("gid").alias("pre"), "lang", "words", F.col("heads").alias("h"))
         b = level.select(F.col("gid").alias("suf"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
-        now = sums.join(a, "pre").join(b, "suf").withColumn("gid", F.monotonically_increasing_id())
+        now = sums.join(a, "pre").join(b, "suf")
         own = F.array("n")
-        level, _ = _kept(now.select("gid", "lang", F.concat("words", F.array("last")).alias("words"), "pre", "suf", "n", F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails")), f"phrases{size}")
+        level, total = _numbered(now.select("lang", F.concat("words", F.array("last")).alias("words"), "pre", "suf", "n", F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails")), f"phrases{size}")
         levels.append(level)
-        total = level.count()
         if size == longest or not total:
             break
         if small and total > BROADCAST_ROWS:  # from here on by shuffling: the shards' phrases so far become rows
@@ -396,15 +494,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
             if tables:
                 found, path = _kept(built.mapInArrow(tidy(_found(tables)), _FOUND), "found", 2)
                 paths.append(path)
-                rows = flat(found)
         if small:
-            parts = level.select("pre", "suf", "gid").toArrow()
-            tables.append(spark.sparkContext.broadcast(Survivors(*(parts.column(c).to_numpy() for c in ("pre", "suf", "gid")))))
+            table = level.select("pre", "suf", "gid").toArrow()
+            tables.append(spark.sparkContext.broadcast(Survivors(*(table.column(c).to_numpy() for c in ("pre", "suf", "gid")))))
             continue
-        live = rows.join(level.select("pre", "suf", "gid"), ["pre", "suf"]).groupBy("shard").agg(F.collect_list(F.struct("l", "r", "n", "gid")).alias("live"))
+        live = flat(found).join(level.select("pre", "suf", "gid"), ["pre", "suf"]).groupBy("shard").agg(F.collect_list(F.struct("l", "r", "n", "gid")).alias("live"))
         found, path = _kept(built.select("shard", "left", "right").join(live, "shard").mapInArrow(tidy(_step), _FOUND), "found", 2)
         paths.append(path)
-        rows = flat(found)
     for path in paths:
         discard(spark, path)
     return levels, totals

@@ -140,6 +140,33 @@ def test_phrases_pass_the_bound_later(spark, monkeypatch):
         assert {tuple(r) for r in phrases.mine_phrases(docs, 3, shard_bytes=1000).collect()} == want
 
 
+def test_counts_meet_in_packed_parts(monkeypatch):
+    """A shard sends one row a part, however many phrases it has; the parts' sums are exact, and a common word is spread over all parts."""
+    rng = np.random.default_rng(5)
+    numbers, parts = 3_000_000, 7
+    codes, want, rows = phrases.Codes(numbers, parts), Counter(), []
+    for _ in range(6):
+        pre, suf = np.unique(np.stack([rng.choice([0, 5, numbers - 1], 4000), rng.integers(0, 3000, 4000) * 999]), axis=1)
+        n = rng.integers(1, 60, len(pre)).astype(np.int32)
+        n = np.where(suf == 0, 1 << 40, n) if len(rows) < parts else n
+        want.update({(int(a), int(b)): int(c) for a, b, c in zip(pre, suf, n, strict=True)})
+        batch = codes.batch([(pre, suf, n)])
+        assert batch.num_rows == parts == len(set(batch.column("part").to_pylist()))
+        sizes = [len(codes.open(x["part"], x["data"])[0]) for x in batch.to_pylist()]
+        assert max(sizes) < 1.5 * len(pre) / parts
+        rows += batch.to_pylist()
+    for held in (phrases.HELD, 500):
+        monkeypatch.setattr(phrases, "HELD", held)
+        got: Counter = Counter()
+        for part in range(parts):
+            own = pa.RecordBatch.from_pylist([x for x in rows if x["part"] == part], codes.batch([]).schema)
+            for out in phrases._sums(codes, 100)(iter([own])):
+                for x in out.to_pylist():
+                    assert (x["pre"], x["suf"]) not in got
+                    got[x["pre"], x["suf"]] = x["n"]
+        assert got == {k: v for k, v in want.items() if v >= 100}
+
+
 def test_interval_extension():
     rng = np.random.default_rng(3)
     text = np.concatenate([[0], rng.integers(0, 4, 300)])
