@@ -41,7 +41,7 @@ class Encoder(dict):
     A piece that begins or ends with white space (none, if spaces meet) maps to None: such a text is cut with care.
     """
 
-    LIMIT = 500_000  # pieces a worker remembers; frequent ones come early, later ones are encoded each time
+    LIMIT = 800_000  # pieces a worker remembers (some 150 bytes each); frequent ones come early, later ones are encoded each time
     LONGEST = 64  # longer pieces are not remembered
 
     def __init__(self, path: str) -> None:

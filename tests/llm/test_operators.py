@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relatrix.llm import decontaminate, grammar, language_model, line_dedup, near_dedup, neighbours, packing, repeats, sharding, toxicity
+from relatrix.llm import decontaminate, grammar, language_model, line_dedup, near_dedup, neighbours, packing, repeats, sharding, tokens, toxicity
 from relatrix.llm.common import components, table
 from relatrix.llm.tokens import default_tokenizer, encoder
 
@@ -262,6 +262,22 @@ def test_line_dedup(docs, odd):
         assert got == want
 
 
+def test_encoder_remembers_pieces_met_late(monkeypatch):
+    """A piece that comes after 600,000 others is remembered, and the memory stays within its bound."""
+    enc = tokens.Encoder(default_tokenizer())
+    made = []
+    monkeypatch.setattr(enc, "_plain", lambda spelled: made.append(1) or spelled.encode())
+    for i in range(600_000):
+        enc[f"{i:06x}".translate({48 + d: 113 + d for d in range(10)})]
+    late = [f"{i:06x}".translate({48 + d: 113 + d for d in range(10)}) for i in range(590_000, 600_000)]
+    n = len(made)
+    assert n == 600_000 and [enc[x] for x in late] == [("\u0120" + x).encode() for x in late] and len(made) == n
+    monkeypatch.setattr(enc, "LIMIT", 600_010)
+    for i in range(30):
+        enc["z" * 10 + chr(97 + i % 26) * (1 + i // 26)]
+    assert len(enc) == 600_010
+
+
 def test_encoder_equals_library():
     e = encoder(default_tokenizer())
     texts = [t for _, t in ODD if t] + ["a  b", " x ", "a\n b", "don't stop it's", "a\tb c", "x\x1cy z", "1 23a b4.,", "a\r\nb c", "日本 語。"]
