@@ -73,7 +73,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
 #: Distinct words that a task counts at once.
 _HELD = 200_000
 #: Ids whose shares are added up at once.
-_SLICE = 1 << 18
+_SLICE = 1 << 16
 #: Counts in steps that grow with them, some 15,000 at most, in the order of the counts.
 _STEP = "if(c < 4096, c, 4096 + cast(floor(log2(c) * 256) as bigint))"
 
@@ -93,38 +93,39 @@ def top_tokens(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _tail(word: bytes) -> int:
-    return TOP + 1 + zlib.crc32(word.decode()[-2:].encode()) % TAILS
+    return TOP + 1 + zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % TAILS
+
+
+class Classes(dict):
+    """Word -> class: the top words, and the first ``_HELD`` others that are met; classes of the rest are made each time."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = _tail(word)
+        if len(self) < TOP + _HELD:
+            self[word] = out
+        return out
 
 
 def _encode(top: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tails: dict[bytes, int] = {}
+        classes = Classes(top)
         row_id = TaskContext.get().partitionId() << 40
         for batch in (part for whole in batches for part in pieces(whole)):
-            ids, known, tail_words, tail_counts = [], [], [], []
+            ids, known, tail_words, tail_counts, ends = [], [], [], [], [0]
             for text in utf8(batch.column("text")):
                 words = text.lower().split()
-                row = list(map(top.get, words))
-                if None in row:
-                    rare = [i for i, c in enumerate(row) if c is None]
-                    own = [words[i] for i in rare]
-                    for i, w in zip(rare, own, strict=True):
-                        if (c := tails.get(w)) is None:
-                            if len(tails) > 200_000:
-                                tails.clear()
-                            c = tails[w] = _tail(w)
-                        row[i] = c
-                    counts = Counter(own)
-                    tail_words.append([w.decode() for w in counts])
-                    tail_counts.append(list(counts.values()))
-                else:
-                    tail_words.append([])
-                    tail_counts.append([])
-                row.append(END_CLASS)
-                ids.append(np.array(row, dtype=np.uint16).tobytes())
+                row = np.empty(len(words) + 1, dtype=np.uint16)
+                row[:-1] = list(map(classes.__getitem__, words))
+                row[-1] = END_CLASS
+                counts = Counter(map(words.__getitem__, np.flatnonzero(row > END_CLASS).tolist()))
+                tail_words += counts
+                tail_counts += counts.values()
+                ends.append(len(tail_words))
+                ids.append(row.tobytes())
                 known.append(len(row))
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_counts, pa.int32())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row_id, row_id + batch.num_rows), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(known, pa.int64()), pa.array(ids, pa.binary()), pa.array(tail_words, pa.list_(pa.string())), pa.array(tail_counts, pa.list_(pa.int32()))],
+                [pa.array(range(row_id, row_id + batch.num_rows), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(known, pa.int64()), pa.array(ids, pa.binary()), *lists],
                 names=["row", "doc_id", "held_out", "n_tokens", "ids", "tail_words", "tail_counts"],
             )
             row_id += batch.num_rows
@@ -162,11 +163,11 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, grid: np.ndar
     loglik = np.zeros(cols)
     ends, scales = np.cumsum(live), []
     alphas = np.empty((int(ends[-1]), len(start)), dtype=emit.dtype) if keep else None
-    a = np.empty((0, len(start)), dtype=emit.dtype)
+    a, ones = np.empty((0, len(start)), dtype=emit.dtype), np.ones(len(start), dtype=emit.dtype)
     for t in range(steps):
         n = live[t]
         a = (start if t == 0 else a[:n] @ move) * emit[grid[t, :n]]
-        c = a.sum(axis=1)
+        c = a @ ones
         a /= c[:, None]
         loglik[:n] += np.log(c)
         if keep:
@@ -201,9 +202,8 @@ def expected_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, seque
         first += alphas[: live[0]].sum(axis=0, dtype=np.float64)
         ids = grid[grid >= 0]
         for at in range(0, len(ids), _SLICE):
-            part = ids[at : at + _SLICE].astype(np.int64)
-            for s in range(k):
-                emits[:, s] += np.bincount(part, weights=alphas[at : at + _SLICE, s], minlength=len(emit))
+            cells = ids[at : at + _SLICE, None] * np.int64(k) + np.arange(k)
+            emits += np.bincount(cells.ravel(), weights=alphas[at : at + _SLICE].ravel(), minlength=emits.size).reshape(-1, k)
     return first, moves * move.astype(np.float64), emits, total
 
 

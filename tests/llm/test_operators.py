@@ -262,6 +262,22 @@ def test_line_dedup(docs, odd):
         assert got == want
 
 
+def test_word_classes_and_counts_in_slices(monkeypatch):
+    """Words beyond the memory's bound have their class all the same; expected emissions add up to a row an id, whatever the slices."""
+    monkeypatch.setattr(language_model, "_HELD", 3 - language_model.TOP)
+    words = [b"top", b"rare", b"x", "caf\u00e9".encode(), "\u65e5\u672c\u8a9e".encode(), b"once", b"more"]
+    classes = language_model.Classes({b"top": 0})
+    want = [0, *(language_model.TOP + 1 + zlib.crc32(w.decode()[-2:].encode()) % language_model.TAILS for w in words[1:])]
+    assert [classes[w] for w in words * 2] == want * 2 and len(classes) == 3
+    rng = np.random.default_rng(2)
+    model = language_model._starting_model(np.full(20, 0.05))
+    seqs = [rng.integers(0, 20, n).astype(np.uint16) for n in (40, 1, 7, 40, 300)]
+    whole = language_model.expected_counts(*model, seqs)
+    monkeypatch.setattr(language_model, "_SLICE", 13)
+    parts = language_model.expected_counts(*model, seqs)
+    assert np.allclose(whole[2], parts[2]) and np.allclose(whole[2].sum(axis=1), np.bincount(np.concatenate(seqs), minlength=20), rtol=1e-4)
+
+
 def test_encoder_remembers_pieces_met_late(monkeypatch):
     """A piece that comes after 600,000 others is remembered, and the memory stays within its bound."""
     enc = tokens.Encoder(default_tokenizer())
