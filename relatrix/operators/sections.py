@@ -38,8 +38,12 @@ def sections(docs: DataFrame, least: int = 30) -> DataFrame:
     number; other heading-like lines are text. Each level's latest heading is carried forward over the lines, those
     that a higher level has closed since are not.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("h", heading(F.col("line")))
+    # a document is a row: rows of one id, or without one, are told apart by their texts, and equal rows' equal lines by a number
+    own = ["doc_id", "_text"]
+    rows = docs.select("doc_id", "text", F.md5("text").alias("_text")).repartition(*own)
+    lines = rows.select(*own, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("h", heading(F.col("line")))
+    lines = lines.withColumn("_copy", F.row_number().over(Window.partitionBy(*own, "pos").orderBy("pos")))
+    w = Window.partitionBy(*own).orderBy("pos")
     at = lambda level: F.last(F.when(F.col("h.level") == level, F.col("pos")), ignorenulls=True).over(w)
     lines = lines.withColumn("p1", at(1)).withColumn("p2", at(2))
     # numbers count inside a chapter; letters where a counted number is open
@@ -47,16 +51,16 @@ def sections(docs: DataFrame, least: int = 30) -> DataFrame:
     counts = F.coalesce((F.col("h.level") == 1) | ((F.col("h.level") == 2) & F.col("p1").isNotNull()) | ((F.col("h.level") == 3) & F.col("p2").isNotNull()), F.lit(False))
     lines = lines.withColumn("opens", counts)
     start = F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(w)
-    own = lambda level: F.last(F.when(F.col("opens") & (F.col("h.level") == level), F.struct("pos", "h.key", "h.body")), ignorenulls=True).over(w)
-    lines = lines.withColumns({"start": start, "a": own(1), "b": own(2), "c": own(3)}).where("start is not null")
+    latest = lambda level: F.last(F.when(F.col("opens") & (F.col("h.level") == level), F.struct("pos", "h.key", "h.body")), ignorenulls=True).over(w)
+    lines = lines.withColumns({"start": start, "a": latest(1), "b": latest(2), "c": latest(3)}).where("start is not null and not opens")
     b = F.when(F.col("b.pos") > F.col("a.pos"), F.col("b"))
     c = F.when(F.col("c.pos") > b["pos"], F.col("c"))
     shown = lambda x: F.concat(x["key"], F.lit(". "), x["body"])
-    heads = lines.where("pos = start").select("doc_id", "start", F.array_compact(F.array(F.col("a.key"), b["key"], c["key"])).alias("path"), F.array_compact(F.array(shown(F.col("a")), shown(b), shown(c))).alias("headings"))
-    # the lines of one section make one text
-    texts = lines.where("not opens").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    out = texts.select("doc_id", "start", F.size("l").alias("n"), F.regexp_replace(F.array_join(F.expr("transform(l, x -> x.line)"), "\n"), r"(?U)^\s+|\s+$", "").alias("text"))
-    out = out.join(heads, ["doc_id", "start"]).where((F.length("text") >= least) & kept(F.col("path"), F.get("headings", F.lit(1))))
+    # the lines of one section have the same headings and make one text
+    heads = F.struct(F.array_compact(F.array(F.col("a.key"), b["key"], c["key"])).alias("path"), F.array_compact(F.array(shown(F.col("a")), shown(b), shown(c))).alias("headings"))
+    texts = lines.groupBy(*own, "_copy", "start").agg(F.any_value(heads).alias("heads"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    out = texts.select("doc_id", "start", "heads.*", F.size("l").alias("n"), F.regexp_replace(F.array_join(F.expr("transform(l, x -> x.line)"), "\n"), r"(?U)^\s+|\s+$", "").alias("text"))
+    out = out.where((F.length("text") >= least) & kept(F.col("path"), F.get("headings", F.lit(1))))
     return out.select("doc_id", (F.col("start") + 1).alias("start_line"), (F.col("start") + 1 + F.col("n")).alias("end_line"), "path", "headings", "text")
 
 
