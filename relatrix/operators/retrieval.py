@@ -18,8 +18,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
 
 
-#: Queries that meet a slice at once: with 8192 vectors, each table of scores takes 8 MB.
-QUERIES_AT_ONCE = 128
+#: Queries and vectors that meet at once: each table of scores takes 8 MB.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 128, 8192
 
 
 def _nearest(k: int, on: str | None = None):
@@ -28,13 +28,15 @@ def _nearest(k: int, on: str | None = None):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
-            ids, asked = rows["vec_id"].to_numpy(), queries["qid"].to_numpy()
-            near, own = _matrix(rows["unit"]).T, _matrix(queries["unit"])
+            asked, own = queries["qid"].to_numpy(), _matrix(queries["unit"])
             found = []
-            for at in range(0, len(own), QUERIES_AT_ONCE):
-                score = own[at : at + QUERIES_AT_ONCE] @ near
-                by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                found.append((np.repeat(asked[at : at + QUERIES_AT_ONCE], by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()))
+            for start in range(0, rows.num_rows, VECTORS_AT_ONCE):
+                part = rows.slice(start, VECTORS_AT_ONCE)
+                ids, near = part["vec_id"].to_numpy(), _matrix(part["unit"]).T
+                for at in range(0, len(own), QUERIES_AT_ONCE):
+                    score = own[at : at + QUERIES_AT_ONCE] @ near
+                    by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                    found.append((np.repeat(asked[at : at + QUERIES_AT_ONCE], by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()))
             out = [np.concatenate(x) for x in zip(*found, strict=True)]
         columns = [pa.array(x) for x in out]
         if on:
@@ -56,6 +58,16 @@ def payload_filter(must: dict[str, object]) -> Column | None:
     return out
 
 
+#: Each block of queries takes a copy of all vectors, and each slice of vectors a copy of all queries. So there are as few as give this many meetings, but none larger than this.
+MEETINGS, LARGEST_BLOCK, LARGEST_SLICE = 64, 16_384, 65_536
+
+
+def meetings(asked: int, rows: int, block: int, slice_rows: int) -> tuple[int, int]:
+    """Blocks of queries and slices of vectors: of ``block`` and ``slice_rows`` rows while that makes few meetings, then larger ones."""
+    slices = max(1, min(-(-rows // slice_rows), max(MEETINGS, -(-rows // max(slice_rows, LARGEST_SLICE)))))
+    return max(1, -(-asked // max(block, LARGEST_BLOCK)), min(-(-asked // block), -(-MEETINGS // slices))), slices
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 2048, slice_rows: int = 8192, on: str | None = None) -> DataFrame:
     """RET1, TOP7, FIL20: nearest vectors of each query by cosine after the payload filter; zero and missing vectors take no part.
 
@@ -68,7 +80,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column |
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / S.norm(F.col(c)))
     rows = rows.where(S.norm(F.col("embedding")) > 0).select(*own, F.col("vec_id").cast("long").alias("vec_id"), unit("embedding").alias("unit"))
     asked = queries.where(S.norm(F.col("query")) > 0).select(*own, F.col("qid").cast("long").alias("qid"), unit("query").alias("unit"))
-    slices, blocks = max(1, -(-rows.count() // slice_rows)), max(1, -(-asked.count() // block))
+    blocks, slices = meetings(asked.count(), rows.count(), block, slice_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).select("*", every(blocks).alias("block"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).select("*", every(slices).alias("slice"))

@@ -27,14 +27,22 @@ def er_targets(dictionary: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("corp", name.alias("name"), F.trim(text).alias("text"), F.when(F.col("_own"), "dictionary").otherwise("graph").alias("source"), S.uuid_from_id(F.concat(F.lit("orgER:"), "corp")).alias("point"))
 
 
-def scenarios(queries: DataFrame, chunks: DataFrame, evidence: DataFrame, statements: DataFrame, events: DataFrame, generated: DataFrame, k: int = 5, most: int = 5) -> DataFrame:
-    """RET8: one row a question: its hits, the best hit's neighbours and facts, and whether every statement of it tells what made it.
+def best_hits(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """RET8, the first layer: (qid, hits, chunk): each question's ``k`` hits and the best of them, both NULL without a hit.
 
-    ``queries``: (qid, query); ``chunks``: (vec_id, chunk, embedding); the others as of extracted records. Lists hold the first ``most``; a question without a hit has a NULL chunk.
+    ``queries``: (qid, query); ``chunks``: (vec_id, chunk, embedding).
     """
     hits = dense_top_k(queries, chunks, k).join(chunks.select("vec_id", "chunk"), "vec_id")
     own = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk", "score"))).alias("hits"))
-    rows = queries.select("qid").join(own, "qid", "left").withColumn("chunk", F.get("hits", F.lit(0))["chunk"])
+    return queries.select("qid").join(own, "qid", "left").withColumn("chunk", F.get("hits", F.lit(0))["chunk"])
+
+
+def scenarios(rows: DataFrame, evidence: DataFrame, statements: DataFrame, events: DataFrame, generated: DataFrame, most: int = 5) -> DataFrame:
+    """RET8: one row a question: its hits, the best hit's neighbours and facts, and whether every statement of it tells what made it.
+
+    ``rows``: (qid, hits, chunk) of the best hits, read several times; the others as of extracted records, of which only those of the best hits' chunks count.
+    Lists hold the first ``most``; a question without a hit has a NULL chunk.
+    """
     wanted = rows.select("chunk").where("chunk is not null").distinct()
     near = evidence.join(wanted, "chunk", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("chunk", "role").orderBy("name", "entity")))
     first = lambda role: F.array_sort(F.collect_list(F.when((F.col("role") == role) & (F.col("_r") <= most), F.struct("name", "type"))))

@@ -118,11 +118,12 @@ SELECT qid, chunk, least(5, (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk
 (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement') = (SELECT count(*) FROM o WHERE o.chunk = top.chunk AND tier = 'statement' AND id[1:1] < 'c') AS provenance, CASE WHEN chunk IS NULL THEN 'no hit' WHEN (SELECT count(*) FROM ev WHERE ev.chunk = top.chunk) > 0 THEN 'good' ELSE 'weak' END AS quality FROM top""")
 def ret8_scenarios(read):
     """A vector's number is an order's; a question without a vector has no hit; some statements have no activity."""
-    f = _frames(read)
     v = read("vectors")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")).unionByName(v.limit(1).select(F.lit(-1).cast("long").alias("qid"), F.lit(None).cast("array<float>").alias("query")))
     chunks = v.select("vec_id", F.col("vec_id").cast("string").alias("chunk"), "embedding")
-    out = N.scenarios(asked, chunks, f.evidence, f.statements, f.events, f.generated.where(F.substring("target_id", 1, 1) < "c"), 3)
+    hits = written(N.best_hits(asked, chunks, 3), "hits")
+    f = _frames(read, hits.select("chunk"))
+    out = N.scenarios(hits, f.evidence, f.statements, f.events, f.generated.where(F.substring("target_id", 1, 1) < "c"))
     return out.select("qid", "chunk", F.size("actors").cast("long").alias("actors"), F.size("objects").cast("long").alias("objects"), "facts", "statements", "with_activity", "provenance", "quality")
 
 

@@ -5,10 +5,12 @@ Records are made from orders: a supplier is an entity whose kind its number tell
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as Q
 from ..operators import semantic as M
+from ..session import written
 from .registry import query
 from .text_plans import _COS
 
@@ -22,13 +24,16 @@ i AS (SELECT *, md5(CASE tier WHEN 'event' THEN concat('event|', predicate, '|',
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, id ORDER BY pos DESC) AS rn FROM i) WHERE rn = 1)"""
 
 
-def _frames(read) -> M.Frames:
+def _frames(read, chunks: DataFrame | None = None) -> M.Frames:
+    """Frames of all records, or of those of some ``chunks``: a chunk's records are linked, tiered and numbered by themselves, so all frames but things and counts are the same for it."""
     k, own = F.col("l_suppkey"), F.col("l_orderkey").cast("string").alias("chunk")
     pos = (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos")
     name = F.concat(F.lit("E"), k.cast("string"))
     kind = F.when(k % 5 == 0, "Organization").when(k % 5 == 1, "Person").when(k % 5 == 2, "Product").when(k % 5 == 3, "Technology").otherwise("Place")
     surface = F.when((k % 5 == 0) & (F.col("l_linenumber") % 2 == 0), F.concat(name, F.lit(" Inc."))).otherwise(name)
-    lines = read("lineitem")
+    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    if chunks is not None:
+        lines = written(lines.join(chunks, F.col("l_orderkey").cast("string") == F.col("chunk"), "left_semi"), "records")
     entities = lines.select(own, pos, surface.alias("surface"), kind.alias("type"))
     first = lines.groupBy(own).agg(F.concat(F.lit("E"), F.min("l_suppkey").cast("string")).alias("object"))
     predicate = F.when(F.col("l_returnflag") == "R", "MERGED_WITH").when(F.col("l_returnflag") == "A", "SUPPLIES").when(F.col("l_linestatus") == "F", "INVESTED_IN").otherwise("USES")
