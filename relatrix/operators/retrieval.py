@@ -22,21 +22,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 QUERIES_AT_ONCE, VECTORS_AT_ONCE = 128, 8192
 
 
+def _best(k: int, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((ids, -np.round(score, 9)), axis=1)[:, :k]
+    return np.take_along_axis(ids, by, 1), np.take_along_axis(score, by, 1)
+
+
 def _nearest(k: int, on: str | None = None):
     """The k best of a slice of unit vectors for each query of a block; with ``on``, all rows have one value of that column."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
-            asked, own = queries["qid"].to_numpy(), _matrix(queries["unit"])
+            ids, asked = rows["vec_id"].to_numpy(), queries["qid"].to_numpy()
+            near, own = _matrix(rows["unit"]).T, _matrix(queries["unit"])
             found = []
-            for start in range(0, rows.num_rows, VECTORS_AT_ONCE):
-                part = rows.slice(start, VECTORS_AT_ONCE)
-                ids, near = part["vec_id"].to_numpy(), _matrix(part["unit"]).T
-                for at in range(0, len(own), QUERIES_AT_ONCE):
-                    score = own[at : at + QUERIES_AT_ONCE] @ near
-                    by = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                    found.append((np.repeat(asked[at : at + QUERIES_AT_ONCE], by.shape[1]), ids[by].ravel(), np.take_along_axis(score, by, 1).ravel()))
+            for at in range(0, len(own), QUERIES_AT_ONCE):
+                parts = []
+                for start in range(0, len(ids), VECTORS_AT_ONCE):
+                    score = own[at : at + QUERIES_AT_ONCE] @ near[:, start : start + VECTORS_AT_ONCE]
+                    parts.append(_best(k, np.broadcast_to(ids[start : start + VECTORS_AT_ONCE], score.shape), score))
+                best, score = _best(k, *(np.concatenate(x, axis=1) for x in zip(*parts, strict=True)))
+                found.append((np.repeat(asked[at : at + QUERIES_AT_ONCE], best.shape[1]), best.ravel(), score.ravel()))
             out = [np.concatenate(x) for x in zip(*found, strict=True)]
         columns = [pa.array(x) for x in out]
         if on:
