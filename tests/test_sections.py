@@ -10,8 +10,8 @@ from relatrix.operators import sections as X
 from relatrix.plans import registry
 
 ODD = [
-    (1, ""), (2, None), (3, "x\r"), (4, " x　"), (5, "x  "), (6, "\x1fx\x1f \t"), (7, "　"), (8, "one\ntwo\n"), (8, "other"), (9, "same"), (9, "same"),
-    (None, "none"), (None, "nil"), (10, "x"), (11, " \x85"),
+    (1, ""), (2, None), (3, "x\r"), (4, "\u00a0x\u3000"), (5, "x \u2028"), (6, "\x1fx\x1f \t"), (7, "\u3000"), (8, "one\ntwo\n"), (8, "other"), (9, "same"), (9, "same"),
+    (None, "none"), (None, "nil"), (10, "x\ue000"), (11, " \x85"),
 ]
 
 
